@@ -65,7 +65,7 @@ def starts_with_any(text: Column, prefixes: Iterable[str]) -> Column:
 
 def escape(literal: str) -> str:
     """Escape a literal for use inside a regular expression."""
-    return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in literal)
+    return "".join(c if c.isalnum() or c in " _" or not c.isascii() else "\\" + c for c in literal)
 
 
 def any_of(literals: Iterable[str]) -> str:

@@ -6,7 +6,6 @@ All points are whole hundredths until :func:`points`.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +25,8 @@ UNTITLED = "untitled"
 
 def by_name(table: Mapping[str, int], key: Column) -> Column:
     """Look a name up in a small fixed table; NULL when absent."""
-    pairs = list(chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items()))
-    return F.element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"'{name}', {number}" for name, number in table.items())
+    return F.element_at(F.expr(f"map({pairs})"), key)
 
 
 def weights_table(spark) -> DataFrame:

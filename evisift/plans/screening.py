@@ -86,14 +86,16 @@ def with_activity(
     zero = F.lit(0).cast("long")
     table = joined.withColumn("_status", status)
     known = F.col("status").isNotNull()
+    ok = F.col("parse_status") == OK
     summary = (
-        F.when(~F.col("eligible"), act.NOT_ENRICHED_SUMMARY)
+        F.when(~ok, "")
+        .when(~F.col("eligible"), act.NOT_ENRICHED_SUMMARY)
         .when(known, F.col("activity_summary"))
         .otherwise(act.status_summary(F.col("_status")))
     )
     activity = F.struct(
         F.col("_status").alias("status"),
-        F.when(~F.col("eligible"), F.col("username")).otherwise(F.col("_lookup")).alias("username"),
+        F.when(ok & ~F.col("eligible"), F.col("username")).otherwise(F.col("_lookup")).alias("username"),
         summary.alias("summary"),
         F.coalesce("activity_hundredths", zero).alias("activity_hundredths"),
         F.coalesce("repo_hundredths", zero).alias("repo_hundredths"),
@@ -164,7 +166,7 @@ def with_result_columns(rows: DataFrame, params: ScreenParams) -> DataFrame:
         F.when(ok, project_summary(
             F.when(F.col("eligible"), F.col("refined")).otherwise(F.col("projects")), params.limits
         )).otherwise("").alias("project_summary"),
-        _if_eligible(a["summary"]).alias("github_summary"),
+        F.coalesce(_if_eligible(a["summary"]), F.lit("")).alias("github_summary"),
         F.coalesce(_if_eligible(strengths(b, a, params)), none).alias("strengths"),
         F.coalesce(_if_eligible(concerns(b, a, params)), none).alias("concerns"),
         "rejection_reasons", enrichment.alias("github"), "source_file", "parse_status",

@@ -43,7 +43,8 @@ def is_handle(username: Column) -> Column:
 def days_between(then: Column, as_of: Column) -> Column:
     """Whole elapsed days, never negative; NULL for an unknown time."""
     seconds = F.unix_micros(as_of) - F.unix_micros(then)
-    return F.greatest(F.lit(0), F.floor(seconds / F.lit(86_400_000_000)).cast("int"))
+    days = F.floor(seconds / F.lit(86_400_000_000)).cast("int")
+    return F.when(days > 0, days).when(days <= 0, 0)
 
 
 def parse_time(text: Column) -> Column:

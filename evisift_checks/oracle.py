@@ -331,7 +331,7 @@ def grade_ctes(prefix: str, source: str) -> None:
     cte(f"{prefix}_docs", f"""
         SELECT doc_id, max(quality) AS best, count(*) FILTER (quality > 30000) AS solid, max(signal_count) AS best_signals,
                list(concat(shown, ': depth ', {tenths(half_up('quality', 1000))}, '/10',
-                           coalesce(concat(' — ', quality_rationale), '')) ORDER BY project_no) AS project_reasons,
+                           coalesce(' — ' || quality_rationale, '')) ORDER BY project_no) AS project_reasons,
                sum(CASE WHEN thin THEN {thin} ELSE 0 END + CASE WHEN tutorial_label IS NOT NULL THEN 30000 ELSE 0 END) AS taken,
                flatten(list(list_filter([
                  CASE WHEN thin THEN concat('Thin LLM/API wrapper, no meaningful workflow: ', shown, ' (-',

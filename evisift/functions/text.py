@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +20,10 @@ SPACE_CHARS = "".join(
     ]
     for point in range(first, last + 1)
 )
+# The same white space in the short form that Java matches fastest.
+SPACES = r"(?U)[\s\x1c-\x1f]+"
+WORD = r"(?U)[^\s\x1c-\x1f]+"
+RARE_BREAKS = BREAK_CLASS.removeprefix(r"\n")
 GLYPH_ARTEFACT = r"\(cid:\p{Nd}+\)|\x00"
 
 # Everyday words that a well separated text is expected to contain.
@@ -39,6 +43,11 @@ COMMON_WORDS = (
 LONG_TOKEN = 20
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove white space of every kind from both ends."""
     return F.btrim(text, F.lit(SPACE_CHARS))
@@ -46,7 +55,7 @@ def strip(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Strip, and turn inner runs of white space into one space."""
-    return F.regexp_replace(strip(text), f"[{SPACE_CLASS}]+", " ")
+    return F.regexp_replace(strip(text), SPACES, " ")
 
 
 def split_lines(text: Column) -> Column:
@@ -56,11 +65,7 @@ def split_lines(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{SPACE_CLASS}]+"))
-
-
-def starts_with_any(text: Column, prefixes: Iterable[str]) -> Column:
-    return text.rlike("^[" + "".join(escape(p) for p in prefixes) + "]")
+    return F.regexp_count(text, F.lit(WORD))
 
 
 def escape(literal: str) -> str:
@@ -74,11 +79,13 @@ def any_of(literals: Iterable[str]) -> str:
 
 def clean(text: Column) -> Column:
     """Drop glyph artefacts, strip every line and keep at most one blank line in a row."""
-    no_artefacts = F.regexp_replace(text, GLYPH_ARTEFACT, " ")
-    one_break = F.regexp_replace(no_artefacts, rf"\r\n|[{BREAK_CLASS}]", "\n")
-    right = F.regexp_replace(one_break, rf"(?<![{BLANK_CLASS}])[{BLANK_CLASS}]++\n", "\n")
-    left = F.regexp_replace(right, rf"\n[{BLANK_CLASS}]++", "\n")
-    return strip(F.regexp_replace(left, r"\n{3,}", "\n\n"))
+    def lines(flat: Column) -> Column:
+        return F.array_join(F.transform(F.split(flat, "\n"), strip), "\n")
+
+    dirty = F.contains(text, F.lit("(cid:")) | F.contains(text, F.lit("\x00"))
+    bare = F.when(dirty, F.regexp_replace(text, GLYPH_ARTEFACT, " ")).otherwise(text)
+    one_break = F.when(text.rlike(f"[{RARE_BREAKS}]"), F.regexp_replace(bare, rf"\r\n|[{BREAK_CLASS}]", "\n")).otherwise(bare)
+    return strip(F.regexp_replace(lines(one_break), r"\n{3,}", "\n\n"))
 
 
 def title_case(text: Column) -> Column:
@@ -96,11 +103,9 @@ def quality_hundredths(text: Column) -> Column:
     Two points per everyday word, 0.05 per token, minus five per over-long token.
     """
     lowered = F.lower(text)
-    common = F.regexp_count(
-        lowered, F.lit(f"(?<![a-z]){any_of(COMMON_WORDS)}(?![a-z])")
-    )
+    common = F.size(F.filter(F.split(lowered, "[^a-z]+"), lambda w: w.isin(COMMON_WORDS)))
     tokens = word_count(text)
-    glued = F.regexp_count(text, F.lit(f"[^{SPACE_CLASS}]{{{LONG_TOKEN + 1},}}"))
+    glued = F.size(F.filter(F.split(text, SPACES), lambda t: F.length(t) > LONG_TOKEN))
     return (
         F.when(~lowered.rlike("[a-z]{2}"), F.lit(-100))
         .otherwise(common * 200 + tokens * 5 - glued * 500)

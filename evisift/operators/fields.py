@@ -9,11 +9,11 @@ from evisift.functions.text import (
     SPACE_CLASS,
     any_of,
     file_stem,
+    let,
     split_lines,
     squeeze,
     strip,
     title_case,
-    word_count,
 )
 from evisift.operators.matching import match_rows, skills
 from evisift.operators.sections import heading_section
@@ -55,16 +55,13 @@ def handle_url(username: Column) -> Column:
 
 
 def plausible_name(line: Column) -> Column:
-    """TRUE for a line that could be a person's name, before the vocabulary is asked."""
-    name = strip(line)
-    lowered = F.lower(name)
+    """TRUE for a stripped line that could be a person's name, before the vocabulary is asked."""
+    lowered = F.lower(line)
     return (
-        name.rlike(r"^[A-Za-z][A-Za-z.\-' ]*\z")
-        & word_count(name).between(2, 4)
-        & ~lowered.contains("http")
-        & ~lowered.rlike(any_of(NOT_IN_NAME))
-        & (name != lowered)
-        & heading_section(name).isNull()
+        line.rlike(r"^[A-Za-z][A-Za-z.\-']* +(?:[A-Za-z.\-']+ +){0,2}[A-Za-z.\-']+\z")
+        & ~lowered.rlike(any_of(["http", *NOT_IN_NAME]))
+        & (line != lowered)
+        & heading_section(line).isNull()
         & ~lowered.rlike(f"(?<![a-z]){any_of(ROLE_WORDS)}(?![a-z])")
     )
 
@@ -85,17 +82,20 @@ def contact_name(text: Column, email: Column) -> Column:
         F.transform(head, lambda line: F.regexp_extract(line, PHONE_LINE, 1)),
         lambda w: (w != "") & ~F.lower(w).isin(ROLE_WORDS),
     )
-    first = F.get(firsts, F.lit(0))
     local = F.lower(F.regexp_replace(F.substring_index(email, "@", 1), "[0-9]+", ""))
-    surname = F.substring(local, F.length(first) + 1, F.length(local))
-    has_surname = (
-        local.startswith(F.lower(first))
-        & (F.length(local) > F.length(first) + 1)
-        & surname.rlike("^[a-z]+$")
-    )
-    return F.when(
-        has_surname, F.concat(title_case(first), F.lit(" "), title_case(surname))
-    ).otherwise(title_case(first))
+
+    def of_first(first: Column) -> Column:
+        surname = F.substring(local, F.length(first) + 1, F.length(local))
+        has_surname = (
+            local.startswith(F.lower(first))
+            & (F.length(local) > F.length(first) + 1)
+            & surname.rlike("^[a-z]+$")
+        )
+        return F.when(
+            has_surname, F.concat(title_case(first), F.lit(" "), title_case(surname))
+        ).otherwise(title_case(first))
+
+    return let(F.get(firsts, F.lit(0)), of_first)
 
 
 def email_name(email: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisift.functions.points import half_up
-from evisift.functions.text import any_of, escape, squeeze, strip, word_count
+from evisift.functions.text import any_of, escape, let, squeeze, strip, word_count
 from evisift.operators.matching import any_term, match_rows, skill_list
 from evisift.operators.sections import SECTION_ALIASES, with_line_sections
 from evisift.params import Limits, Penalties, Thresholds
@@ -88,14 +88,14 @@ HUNDREDTH = QUALITY_UNIT // 100
 
 def is_title(line: Column) -> Column:
     """TRUE for a line that looks like the title of a project."""
-    text = strip(line)
-    led = text.rlike("^" + any_of(BULLETS))
-    marked = text.contains("|") | text.rlike(DATE)
-    chars = F.when(marked, F.lit(LONG_TITLE)).otherwise(F.lit(SHORT_TITLE))
-    return (
-        (F.length(text) > 0) & ~led & ~text.endswith(".") & (F.length(text) <= chars)
-        & (marked | (word_count(text) <= TITLE_WORDS))
-    )
+    def of_stripped(text: Column) -> Column:
+        led = text.rlike("^" + any_of(BULLETS))
+        marked = text.contains("|") | text.rlike(DATE)
+        plain = (F.length(text) <= SHORT_TITLE) & (word_count(text) <= TITLE_WORDS)
+        fits = F.when(marked, F.length(text) <= LONG_TITLE).otherwise(plain)
+        return (F.length(text) > 0) & ~led & ~text.endswith(".") & fits
+
+    return let(strip(line), of_stripped)
 
 
 def with_project_blocks(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -202,15 +202,16 @@ def project_text(project: Column) -> Column:
 
 def signals(text: Column, vocab: Vocabulary) -> Column:
     """The struct of signals a project's text shows."""
-    lowered = F.lower(text)
+    def shown(lowered: Column) -> Column:
+        def shows(signal: Signal) -> Column:
+            by_phrase = lowered.rlike("|".join(map(escape, signal.phrases)))
+            if not signal.terms:
+                return by_phrase
+            return by_phrase | any_term(lowered, vocab, signal.terms, signal.groups)
 
-    def shows(signal: Signal) -> Column:
-        by_phrase = lowered.rlike("|".join(map(escape, signal.phrases)))
-        if not signal.terms:
-            return by_phrase
-        return by_phrase | any_term(text, vocab, signal.terms, signal.groups)
+        return F.struct(*[shows(s).alias(s.name) for s in SIGNALS])
 
-    return F.struct(*[shows(s).alias(s.name) for s in SIGNALS])
+    return let(F.lower(text), shown)
 
 
 def signal_count(found: Column) -> Column:
@@ -266,22 +267,23 @@ def assessed(project: Column, vocab: Vocabulary, penalties: Penalties) -> Column
 
     A judged project (``quality_score`` present) keeps the judge's signals and score.
     """
-    text = project_text(project)
     judged = project["quality_score"].isNotNull()
-    own = F.when(judged, project["signals"].cast(SIGNAL_TYPE)).otherwise(
-        signals(text, vocab).cast(SIGNAL_TYPE)
-    )
-    return F.struct(
-        project["name"].alias("name"),
-        project["description"].alias("description"),
-        project["domain"].alias("domain"),
-        project["quality_rationale"].alias("quality_rationale"),
-        F.round(project["quality_score"] * QUALITY_UNIT).cast("long").alias("judged_quality"),
-        own.alias("signals"),
-        mentions_model(text, vocab).alias("mentions_model"),
-        F.coalesce(project["is_thin_wrapper"], F.lit(False)).alias("is_thin_wrapper"),
-        tutorial_label(project, penalties.detail_words).alias("tutorial_label"),
-    )
+
+    def of_text(text: Column) -> Column:
+        own = F.when(judged, project["signals"].cast(SIGNAL_TYPE)).otherwise(
+            signals(text, vocab).cast(SIGNAL_TYPE)
+        )
+        return F.struct(
+            project["name"].alias("name"),
+            project["quality_rationale"].alias("quality_rationale"),
+            F.round(project["quality_score"] * QUALITY_UNIT).cast("long").alias("judged_quality"),
+            own.alias("signals"),
+            mentions_model(text, vocab).alias("mentions_model"),
+            F.coalesce(project["is_thin_wrapper"], F.lit(False)).alias("is_thin_wrapper"),
+            tutorial_label(project, penalties.detail_words).alias("tutorial_label"),
+        )
+
+    return let(project_text(project), of_text)
 
 
 def graded(project: Column) -> Column:

@@ -16,7 +16,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evisift.functions.text import SPACE_CLASS, escape, split_lines, strip, word_count
+from evisift.functions.text import SPACE_CLASS, SPACES, escape, let, split_lines, strip, word_count
 
 # Section headings in order of precedence.
 SECTION_ALIASES = {
@@ -60,20 +60,23 @@ Aliases = Mapping[str, Sequence[str]]
 def normal_heading(line: Column) -> Column:
     """A heading in comparable form: lower case, no bullets or colons, single spaces."""
     bare = F.btrim(F.lower(strip(line)), F.lit(HEADING_TRIM))
-    return F.regexp_replace(bare, f"[{SPACE_CLASS}]+", " ")
+    return F.regexp_replace(bare, SPACES, " ")
 
 
 def heading_section(line: Column, aliases: Aliases = SECTION_ALIASES) -> Column:
     """The section a heading-like line opens, or NULL."""
-    text = strip(line)
-    heading = normal_heading(line)
-    short = F.length(text).between(1, HEADING_CHARS)
-    prose = text.endswith(".") & (word_count(text) > HEADING_WORDS)
-    section = F.coalesce(*[
-        F.when(heading.rlike("^(?:" + "|".join(map(escape, names)) + ")(?:s?$| )"), F.lit(section))
-        for section, names in aliases.items() if names
-    ])
-    return F.when(short & ~prose, section)
+    def of(heading: Column) -> Column:
+        return F.coalesce(*[
+            F.when(heading.rlike("^(?:" + "|".join(map(escape, names)) + ")(?:s?$| )"), F.lit(section))
+            for section, names in aliases.items() if names
+        ])
+
+    def of_stripped(text: Column) -> Column:
+        short = F.length(text).between(1, HEADING_CHARS)
+        prose = text.endswith(".") & (word_count(text) > HEADING_WORDS)
+        return F.when(short & ~prose, let(normal_heading(text), of))
+
+    return let(strip(line), of_stripped)
 
 
 def inline_heading(line: Column) -> Column:
@@ -94,16 +97,17 @@ def _heading_candidate(aliases: Aliases) -> str:
 
 def _mark(line: Column, position: Column, aliases: Aliases) -> Column:
     """``(position, section, rest)`` when the line opens a section, else NULL."""
-    inline = heading_section(inline_heading(line), aliases)
-    own = heading_section(line, aliases)
-    section = F.coalesce(inline, own)
-    rest = F.when(inline.isNotNull(), inline_content(line))
+    found = let(
+        heading_section(inline_heading(line), aliases),
+        lambda inline: F.struct(
+            position.alias("position"),
+            F.coalesce(inline, heading_section(line, aliases)).alias("section"),
+            F.when(inline.isNotNull(), inline_content(line)).alias("rest"),
+        ),
+    )
     return F.when(
         line.rlike(_heading_candidate(aliases)),
-        F.when(
-            section.isNotNull(),
-            F.struct(position.alias("position"), section.alias("section"), rest.alias("rest")),
-        ),
+        let(found, lambda mark: F.when(mark["section"].isNotNull(), mark)),
     )
 
 

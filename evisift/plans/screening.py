@@ -1,9 +1,11 @@
-"""The whole screening run as one declared plan with two written tables.
+"""The whole screening run, cut by written tables where work would be repeated.
 
 1. ``features`` reads the text once and is written: everything after works on a table
    a small fraction of the text's size.
-2. duplicates, the gate, activity, judgements and scores follow as joins and
-   projections; ranking writes the ordered results.
+2. Duplicates, the gate, activity, judgements and scores follow as joins and
+   projections and are written, so the sampling pass of the range sort reads scores
+   instead of computing them a second time.
+3. Ranking writes the ordered results.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from evisift.operators.ranking import first_in_path_order, ranked
 from evisift.operators.scoring import concerns, points, strengths, with_breakdown
 from evisift.params import ScreenParams
 from evisift.plans.features import features
-from evisift.session import written
+from evisift.session import spread, written
 from evisift.vocabulary import Vocabulary
 
 ACTIVITY_FIELDS = (
@@ -181,7 +183,7 @@ def results(
 ) -> DataFrame:
     """Result rows before ranking."""
     chosen = first_in_path_order(docs, limit)
-    found = written(features(chosen, vocab, params), "features")
+    found = spread(written(features(chosen, vocab, params), "features"), "doc_id")
     gated = with_gate(mark_duplicates(found, params.hot_rows))
     enriched = with_judgements(with_activity(gated, activity, vocab, params), responses, params)
     return with_result_columns(
@@ -223,5 +225,6 @@ def screen(
     ``responses`` (``doc_id, response``) are optional landed tables.
     """
     vocab = vocab or Vocabulary.standard()
-    placed = ranked(results(docs, vocab, params, activity, responses, limit))
+    scored = written(results(docs, vocab, params, activity, responses, limit), "scored")
+    placed = ranked(scored)
     return Report(placed, summary(placed))

@@ -47,3 +47,16 @@ def written(table: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Give a small input one partition per core; large inputs keep their splits.
+
+    Files that together hold fewer full splits than there are cores would leave cores
+    idle in the text pass. Only then the rows are hashed to all cores first.
+    """
+    spark = table.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores, key) if size < cores * split else table

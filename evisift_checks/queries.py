@@ -17,6 +17,7 @@ from evisift.params import ScreenParams
 from evisift.plans import report as reports
 from evisift.plans import screening
 from evisift.plans.features import features
+from evisift.session import spread, written
 from evisift.sources import files
 from evisift.vocabulary import Vocabulary
 from evisift_checks import corpus
@@ -51,13 +52,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def composed(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
     """A composed input, its statement applied to the given tables."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    for name in ("documents", "events", "orders"):
+    spread(table(spark, sf_dir, "documents"), "doc_id").createOrReplaceTempView("documents")
+    for name in ("events", "orders"):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(corpus.spark_sql(statement))
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def applications(spark, sf_dir) -> DataFrame:
@@ -465,7 +467,8 @@ def gate(spark, sf_dir):
     SELECT doc_id, candidate_name, is_eligible AS eligible, array_to_string(rejection_reasons, ' | ') AS rejection_reasons, parse_status
     FROM run_gate""", "run_gate")
 def status_routing(spark, sf_dir):
-    routed = screening.with_gate(dedupe.mark_duplicates(app_features(spark, sf_dir), PARAMS.hot_rows))
+    found = written(app_features(spark, sf_dir), "features")  # read more than once below
+    routed = screening.with_gate(dedupe.mark_duplicates(found, PARAMS.hot_rows))
     return routed.select("doc_id", "candidate_name", "eligible", joined("rejection_reasons").alias("rejection_reasons"), "parse_status")
 
 

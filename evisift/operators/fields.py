@@ -41,7 +41,8 @@ CONTACT_LINES = 6
 
 def email(text: Column) -> Column:
     """The first e-mail address, or NULL."""
-    return F.nullif(F.regexp_extract(text, EMAIL, 0), F.lit(""))
+    found = F.regexp_extract(text, EMAIL, 0)
+    return F.when(F.contains(text, F.lit("@")), F.nullif(found, F.lit("")))
 
 
 def handle(text: Column) -> Column:

@@ -21,8 +21,9 @@ from evisift.functions.text import SPACE_CLASS, escape, strip
 from evisift.operators.sections import source_of
 from evisift.vocabulary import BROADCAST_SURFACES, Vocabulary
 
-TERM_COLUMNS = ["grp", "canonical", "term_ord", "tier"]
+TERM_COLUMNS = ["grp", "canonical", "term_ord", "tier", "surface"]
 GROUP_STRIDE = 100_000
+LONG_BODY = 500
 
 EVIDENCE_GROUP = {"python": "python", "ai": "ai"}
 
@@ -42,7 +43,7 @@ def surface_table(spark, vocab: Vocabulary | DataFrame) -> tuple[DataFrame, bool
         F.element_at(F.split(surface, " "), -1).alias("_tail"),
         surface.rlike("^[a-z0-9]+$").alias("_single"),
         F.concat(F.lit("(?<![a-z0-9])"), pattern, F.lit("(?![a-z0-9])")).alias("_pattern"),
-        "grp", "canonical", "tier",
+        "grp", "canonical", "tier", "surface",
         (F.col("grp_ord") * GROUP_STRIDE + F.col("ord")).alias("term_ord"),
     ), small
 
@@ -54,14 +55,16 @@ def match_rows(
     vocab: Vocabulary | DataFrame,
     carry: Column | None = None,
 ) -> DataFrame:
-    """``keys`` plus one row per surface form found in ``body``.
+    """``keys`` plus a row for every surface form found in ``body``; a form may come up twice.
 
     Rows for which ``carry`` holds pass through once with NULL terms, so per-document
     columns can travel with the hits in the same scan.
     """
     surfaces, small = surface_table(units.sparkSession, vocab)
     lowered = units.withColumn("_body", F.lower(F.col(body)))
-    tokens = F.array_distinct(F.split("_body", "[^a-z0-9]+"))
+    tokens = F.split("_body", "[^a-z0-9]+")
+    # a long text is confirmed once per form, however often the form's first run occurs
+    tokens = F.when(F.length("_body") > LONG_BODY, F.array_distinct(tokens)).otherwise(tokens)
     exploded = lowered.select(*keys, "_body", F.explode_outer(tokens).alias("_token"))
     found = F.col("_single") | (
         F.contains("_body", "_tail") & F.rlike("_body", "_pattern")
@@ -77,7 +80,7 @@ def terms_in_text(
     docs: DataFrame, vocab: Vocabulary | DataFrame, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``(key, grp, canonical, term_ord, tier)``: the terms of the whole text."""
-    return match_rows(docs, [key], text, vocab).distinct()
+    return match_rows(docs, [key], text, vocab).drop("surface").distinct()
 
 
 def skills(

@@ -45,8 +45,15 @@ def checked(name: str, sql: str | None, *needs: str):
 # ---------------------------------------------------------------------------
 # Inputs
 # ---------------------------------------------------------------------------
+_tables: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; its schema is read from the files once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        _tables[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _tables[key]
 
 
 def composed(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
@@ -282,7 +289,7 @@ def full_context(spark, sf_dir):
     GROUP BY ALL""", "plain_vocab")
 def phrase_match(spark, sf_dir):
     hits = matching.match_rows(documents(spark, sf_dir), ["doc_id"], "text", PLAIN)
-    return hits.groupBy("doc_id", "canonical").agg(F.count("*").alias("surfaces"))
+    return hits.groupBy("doc_id", "canonical").agg(F.countDistinct("surface").alias("surfaces"))
 
 
 @checked("terms_in_text", f"""

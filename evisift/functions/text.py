@@ -23,7 +23,7 @@ SPACE_CHARS = "".join(
 # The same white space in the short form that Java matches fastest.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 WORD = r"(?U)[^\s\x1c-\x1f]+"
-RARE_BREAKS = BREAK_CLASS.removeprefix(r"\n")
+RARE_BREAKS = r"\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}-\x{2029}"  # BREAK_CLASS without \n
 GLYPH_ARTEFACT = r"\(cid:\p{Nd}+\)|\x00"
 
 # Everyday words that a well separated text is expected to contain.

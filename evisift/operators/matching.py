@@ -24,6 +24,7 @@ from evisift.vocabulary import BROADCAST_SURFACES, Vocabulary
 TERM_COLUMNS = ["grp", "canonical", "term_ord", "tier", "surface"]
 GROUP_STRIDE = 100_000
 LONG_BODY = 500
+NOT_ALNUM = r"\P{Alnum}+"  # ASCII letters and digits only
 
 EVIDENCE_GROUP = {"python": "python", "ai": "ai"}
 
@@ -62,7 +63,7 @@ def match_rows(
     """
     surfaces, small = surface_table(units.sparkSession, vocab)
     lowered = units.withColumn("_body", F.lower(F.col(body)))
-    tokens = F.split("_body", "[^a-z0-9]+")
+    tokens = F.split("_body", NOT_ALNUM)
     # a long text is confirmed once per form, however often the form's first run occurs
     tokens = F.when(F.length("_body") > LONG_BODY, F.array_distinct(tokens)).otherwise(tokens)
     exploded = lowered.select(*keys, "_body", F.explode_outer(tokens).alias("_token"))

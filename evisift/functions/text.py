@@ -108,7 +108,7 @@ def quality_hundredths(text: Column) -> Column:
     glued = F.size(F.filter(F.split(text, SPACES), lambda t: F.length(t) > LONG_TOKEN))
     return (
         F.when(~lowered.rlike("[a-z]{2}"), F.lit(-100))
-        .otherwise(common * 200 + tokens * 5 - glued * 500)
+        .otherwise(common.cast("long") * 200 + tokens.cast("long") * 5 - glued.cast("long") * 500)
         .cast("long")
     )
 

@@ -221,8 +221,9 @@ def screen(
 ) -> Report:
     """Screen, score and rank documents.
 
-    ``docs`` is the table of :func:`evisift.sources.files.documents`. ``activity`` and
-    ``responses`` (``doc_id, response``) are optional landed tables.
+    ``docs`` is the table of :func:`evisift.sources.files.documents`, one row per
+    ``doc_id``. ``activity`` and ``responses`` (``doc_id, response``, at most one per
+    document) are optional landed tables.
     """
     vocab = vocab or Vocabulary.standard()
     scored = written(results(docs, vocab, params, activity, responses, limit), "scored")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evisift.operators.joins import balanced_left_join
+from evisift.operators.joins import balanced_left_join, hot_keys
 
 DUPLICATE = "duplicate"
 
@@ -43,7 +43,8 @@ def mark_duplicates(files: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     The first path in order keeps its status; every row is kept. ``files`` needs
     ``source_file`` (unique), ``filename``, ``content_hash``, ``parse_status``, ``error``.
     """
-    marked = balanced_left_join(files, first_copies(files), "content_hash", "source_file", hot_rows)
+    hot = hot_keys(files, "content_hash", hot_rows)
+    marked = balanced_left_join(files, first_copies(files), "content_hash", "source_file", hot)
     later = F.col("first_file").isNotNull() & (F.col("first_file") != F.col("source_file"))
     return marked.withColumns({
         "parse_status": F.when(later, DUPLICATE).otherwise(F.col("parse_status")),

@@ -18,17 +18,17 @@ def hot_keys(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
 
 
 def balanced_left_join(
-    left: DataFrame, right: DataFrame, key: str, row_id: str, hot_rows: int
+    left: DataFrame, right: DataFrame, key: str, row_id: str, hot: DataFrame
 ) -> DataFrame:
     """``left`` LEFT JOIN ``right`` on a string ``key`` that is unique in ``right``.
 
-    The few partner rows of hot keys are broadcast. In the shuffled join that serves
+    ``hot`` lists the keys held by many rows (:func:`hot_keys`), best counted on the
+    table that ``left`` was derived from. The few partner rows of hot keys are broadcast. In the shuffled join that serves
     every other key, rows with a hot or NULL key get a key of their own, so they
     spread over all tasks and simply find no partner.
     """
     columns = [c for c in right.columns if c != key]
     partner = right.select(key, F.struct(*columns).alias("_partner"))
-    hot = hot_keys(left, key, hot_rows)
     hot_partner = partner.join(F.broadcast(hot), key, "left_semi")
     hot_side = hot.join(F.broadcast(hot_partner), key, "left").select(
         key, F.lit(True).alias("_hot"), F.col("_partner").alias("_hot_partner")

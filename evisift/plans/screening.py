@@ -19,7 +19,7 @@ from evisift.functions.points import as_points
 from evisift.operators import activity as act
 from evisift.operators.dedupe import mark_duplicates
 from evisift.operators.gate import OK, rejection_reasons, unprocessed_reason
-from evisift.operators.joins import balanced_left_join
+from evisift.operators.joins import balanced_left_join, hot_keys
 from evisift.operators.judgements import PROJECT_TYPE, judgements, refined_projects
 from evisift.operators.projects import project_summary, with_graded_projects
 from evisift.operators.ranking import first_in_path_order, ranked
@@ -66,9 +66,12 @@ def with_gate(rows: DataFrame) -> DataFrame:
 
 
 def with_activity(
-    rows: DataFrame, tables: ActivityTables | None, vocab: Vocabulary, params: ScreenParams
+    rows: DataFrame, found: DataFrame, tables: ActivityTables | None, vocab: Vocabulary, params: ScreenParams
 ) -> DataFrame:
-    """Add the ``activity`` struct. Only eligible rows look their handle up."""
+    """Add the ``activity`` struct. Only eligible rows look their handle up.
+
+    ``found`` is the features table: handles are counted there, not after the joins.
+    """
     looked_up = F.when(F.col("eligible") & act.is_handle(F.col("username")), F.col("username"))
     rows = rows.withColumn("_lookup", looked_up)
     if tables is None:
@@ -76,9 +79,10 @@ def with_activity(
         joined = rows.select("*", *[F.lit(None).cast(t).alias(n) for n, t in types])
         missing = "disabled"
     else:
-        found = act.activity(tables.profiles, tables.events, tables.repos, vocab, params)
-        found = found.withColumnsRenamed({"username": "_lookup", "error": "activity_error"})
-        joined = balanced_left_join(rows, found, "_lookup", "doc_id", params.hot_rows)
+        landed = act.activity(tables.profiles, tables.events, tables.repos, vocab, params)
+        landed = landed.withColumnsRenamed({"username": "_lookup", "error": "activity_error"})
+        hot = hot_keys(found.select(F.col("username").alias("_lookup")), "_lookup", params.hot_rows)
+        joined = balanced_left_join(rows, landed, "_lookup", "doc_id", hot)
         missing = "error"
     status = (
         F.when(~F.col("eligible"), "disabled")
@@ -185,7 +189,7 @@ def results(
     chosen = first_in_path_order(docs, limit)
     found = spread(written(features(chosen, vocab, params), "features"), "doc_id")
     gated = with_gate(mark_duplicates(found, params.hot_rows))
-    enriched = with_judgements(with_activity(gated, activity, vocab, params), responses, params)
+    enriched = with_judgements(with_activity(gated, found, activity, vocab, params), responses, params)
     return with_result_columns(
         with_scores(enriched, vocab, params, refined=responses is not None), params
     )

@@ -139,6 +139,14 @@ def parse_status(spark, sf_dir):
     )
 
 
+@checked("decoded_text", "SELECT doc_id, text AS decoded FROM documents")
+def decoded_text(spark, sf_dir):
+    """Every other text that Latin-1 can write arrives in Latin-1, the rest in UTF-8."""
+    latin = (F.col("doc_id") % 2 == 0) & ~F.col("text").rlike(r"[^\x00-\xff]")
+    content = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return documents(spark, sf_dir).select("doc_id", files.decoded(content).alias("decoded"))
+
+
 _QUALITY = f"""CASE WHEN NOT regexp_matches(lower(text), '[a-z][a-z]') THEN -100 ELSE
     200 * len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w IN ({o.quoted(o.COMMON_WORDS)})))
     + 5 * {o.words('text')} - 500 * len(list_filter(regexp_extract_all(text, '[^{o.SPACE_CLASS}]+'), lambda t: length(t) > 20)) END"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evisift.operators import activity as act
 from evisift.operators import dedupe, judgements, projects
-from evisift.operators.joins import balanced_left_join
+from evisift.operators.joins import balanced_left_join, hot_keys
 from evisift.operators.ranking import first_in_path_order, numbered
 from evisift.operators.scoring import saturated, total_hundredths
 from evisift.params import Penalties, ScreenParams
@@ -68,6 +68,20 @@ def test_landed_json_with_bad_times(spark, tmp_path):
     assert times.count(None) == 2 and datetime(2024, 1, 2, 3, 4, 5) in times
 
 
+def test_landed_tables_round_trip(spark, tmp_path):
+    at = datetime(2024, 1, 5, 6, 7, 8)
+    for name, rows, read in (
+        ("profiles", [{"username": "a", "http_status": 200, "public_repos": 3}], landed.read_profiles),
+        ("repos", [{"username": "a", "name": "r", "topics": ["x"], "fork": False, "pushed_at": "2024-01-05T07:07:08+01:00"}], landed.read_repos),
+        ("responses", [{"doc_id": "d", "response": "{}"}], landed.read_responses),
+    ):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.json").write_text("\n".join(map(json.dumps, rows)))
+        row = read(spark, str(tmp_path / name)).collect()[0].asDict()
+        given = {**rows[0], "pushed_at": at} if name == "repos" else rows[0]
+        assert {k: row[k] for k in given} == given
+
+
 # ---- judgements ---------------------------------------------------------------
 GOOD = {"name": " A ", "description": "d", "technologies": [" b", "a", "a", ""], "domain": "data", "quality_score": 10}
 
@@ -125,7 +139,7 @@ def test_balanced_join_equals_a_left_join(spark):
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("unused", 4)], "key string, value int")
     expected = sorted(map(str, left.join(right, "key", "left").select("id", "key", "value").collect()))
     for hot_rows in (5, 300, 10**6):
-        assert sorted(map(str, balanced_left_join(left, right, "key", "id", hot_rows).select("id", "key", "value").collect())) == expected
+        assert sorted(map(str, balanced_left_join(left, right, "key", "id", hot_keys(left, "key", hot_rows)).select("id", "key", "value").collect())) == expected
 
 
 def test_hot_rows_spread_over_partitions(spark):

@@ -7,6 +7,8 @@ first ten by a rank filter that Spark applies before the shuffle too.
 
 from __future__ import annotations
 
+from datetime import timezone
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,12 @@ def days_between(then: Column, as_of: Column) -> Column:
     return F.when(days > 0, days).when(days <= 0, 0)
 
 
+def moment(params: ScreenParams) -> Column:
+    """``as_of`` as a literal; a time without a zone is UTC."""
+    as_of = params.as_of
+    return F.lit(as_of if as_of.tzinfo else as_of.replace(tzinfo=timezone.utc))
+
+
 def parse_time(text: Column) -> Column:
     """An ISO time as a timestamp; NULL when it is not one. Times without a zone are UTC."""
     return F.try_to_timestamp(text)
@@ -79,7 +87,7 @@ def relevant_repo(vocab: Vocabulary) -> Column:
 
 def event_activity(events: DataFrame, params: ScreenParams) -> DataFrame:
     """``(username, newest_event, recent_events)``."""
-    days = days_between(F.col("created_at"), F.lit(params.as_of))
+    days = days_between(F.col("created_at"), moment(params))
     recent = days <= params.thresholds.event_days
     if not params.thresholds.same_day_events:
         recent = recent & (days > 0)
@@ -90,7 +98,7 @@ def event_activity(events: DataFrame, params: ScreenParams) -> DataFrame:
 
 def repo_activity(repos: DataFrame, vocab: Vocabulary, params: ScreenParams) -> DataFrame:
     """``(username, newest_push, active_repos, relevant_count, relevant_repos)``."""
-    days = days_between(F.col("pushed_at"), F.lit(params.as_of))
+    days = days_between(F.col("pushed_at"), moment(params))
     active = ~F.coalesce("fork", F.lit(False)) & F.coalesce(days <= params.thresholds.repo_days, F.lit(False))
     judged = repos.select(
         "username", "pushed_at", F.coalesce("name", F.lit("unnamed")).alias("repo"),
@@ -150,7 +158,7 @@ def activity(
     ok = F.col("status") == "ok"
     newest = F.coalesce("newest_event", "newest_push")
     counted = joined.withColumns({
-        "days_since_last_activity": F.when(ok, days_between(newest, F.lit(params.as_of))),
+        "days_since_last_activity": F.when(ok, days_between(newest, moment(params))),
         "recent_events": F.when(ok, F.coalesce("recent_events", F.lit(0))).otherwise(0),
         "relevant_repos": F.when(ok, F.coalesce("relevant_repos", none)).otherwise(none),
     })

@@ -115,10 +115,14 @@ def with_activity(
 
 
 def with_judgements(rows: DataFrame, responses: DataFrame | None, params: ScreenParams) -> DataFrame:
-    """Add ``refined`` projects, ``judged`` and ``warnings``. Only eligible rows are refined."""
+    """Add ``refined`` projects, ``replaced``, ``judged`` and ``warnings``.
+
+    Only eligible rows are refined; ``replaced`` marks those whose projects came from a judge.
+    """
     if responses is None:
         return rows.withColumns({
             "refined": F.col("projects"),
+            "replaced": F.lit(False),
             "judged": F.lit(False),
             "warnings": F.array().cast("array<string>"),
         })
@@ -127,19 +131,32 @@ def with_judgements(rows: DataFrame, responses: DataFrame | None, params: Screen
     used = F.when(F.col("eligible"), F.col("judged_projects"))
     return joined.withColumns({
         "refined": refined_projects(F.col("projects"), used),
+        "replaced": F.coalesce(F.size(used) > 0, F.lit(False)),
         "judged": F.coalesce(F.col("eligible") & F.col("judged_projects").isNotNull(), F.lit(False)),
         "warnings": F.array_compact(F.array(F.when(F.col("eligible"), F.col("warning")))),
     }).drop("judged_projects", "warning")
 
 
 def with_scores(rows: DataFrame, vocab: Vocabulary, params: ScreenParams, refined: bool) -> DataFrame:
-    """Add the ``baseline`` breakdown (rough projects) and the ``final`` one (refined projects)."""
-    graded = with_graded_projects(rows, vocab, params.penalties, "projects", "_rough")
-    graded = with_breakdown(graded, params, "_rough", "baseline")
+    """Add the ``baseline`` breakdown (rough projects) and the ``final`` one (refined projects).
+
+    Projects are graded for eligible rows only, and a second time only where they were replaced.
+    """
+    none = F.array().cast(f"array<{PROJECT_TYPE}>")
+
+    def graded(table: DataFrame, wanted: Column, source: str, into: str) -> DataFrame:
+        chosen = table.withColumn("_chosen", F.when(wanted, F.col(source)).otherwise(none))
+        return with_graded_projects(chosen, vocab, params.penalties, "_chosen", into).drop("_chosen")
+
+    rough = graded(rows, F.col("eligible"), "projects", "_rough")
+    scored = with_breakdown(rough, params, "_rough", "baseline")
     if not refined:
-        return graded.withColumn("final", F.col("baseline")).drop("_rough")
-    graded = with_graded_projects(graded, vocab, params.penalties, "refined", "_refined")
-    return with_breakdown(graded, params, "_refined", "final").drop("_rough", "_refined")
+        return scored.withColumn("final", F.col("baseline")).drop("_rough")
+    judged = graded(scored, F.col("eligible") & F.col("replaced"), "refined", "_judged")
+    both = judged.withColumn(
+        "_refined", F.when(F.col("replaced"), F.col("_judged")).otherwise(F.col("_rough"))
+    )
+    return with_breakdown(both, params, "_refined", "final").drop("_rough", "_judged", "_refined")
 
 
 def _if_eligible(value: Column) -> Column:

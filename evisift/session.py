@@ -20,6 +20,7 @@ def local_session(cores: str = "*", name: str = "evisift", **conf: str) -> Spark
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -51,13 +52,10 @@ def written(table: DataFrame, name: str) -> DataFrame:
 
 
 def spread(table: DataFrame, key: str) -> DataFrame:
-    """Give a small input one partition per core; large inputs keep their splits.
+    """Hash the rows of a small file table to all cores; large tables keep their splits.
 
-    Files that together hold fewer full splits than there are cores would leave cores
-    idle in the text pass. Only then the rows are hashed to all cores first.
+    A table read from fewer splits than there are cores would leave cores idle in the
+    text pass. Meant for tables as read, before any shuffle.
     """
-    spark = table.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return table.repartition(cores, key) if size < cores * split else table
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table

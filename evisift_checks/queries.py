@@ -500,7 +500,7 @@ def unreadable_times(spark, sf_dir):
     read = table(spark, sf_dir, "events").select("event_type", act.parse_time(told).alias("at"))
     return read.groupBy("event_type").agg(
         F.count("*").alias("n"), F.count("at").alias("readable"),
-        F.max(act.days_between(F.col("at"), F.lit(PARAMS.as_of))).alias("oldest_days"),
+        F.max(act.days_between(F.col("at"), act.moment(PARAMS))).alias("oldest_days"),
     )
 
 
@@ -592,7 +592,7 @@ def recency_bands(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("username"), F.col("o_orderdate").cast("timestamp").alias("created_at")
     )
-    days = act.days_between(F.col("newest_event"), F.lit(params.as_of))
+    days = act.days_between(F.col("newest_event"), act.moment(params))
     return act.event_activity(orders, params).select(
         F.col("username").alias("o_custkey"), days.alias("days"),
         as_points(act.activity_hundredths(days, F.col("recent_events"))).alias("points"),

@@ -130,7 +130,7 @@ def text_clean(spark, sf_dir):
 @checked("parse_status", f"""
     SELECT doc_id, CASE WHEN failed IS NOT NULL THEN 'failed' WHEN text = '' THEN 'empty' ELSE 'ok' END AS parse_status,
            CASE WHEN failed IS NOT NULL THEN failed WHEN text = '' THEN '{files.EMPTY_ERROR}' END AS error,
-           CASE WHEN failed IS NULL THEN length(text) ELSE 0 END AS chars
+           CAST(CASE WHEN failed IS NULL THEN length(text) ELSE 0 END AS INTEGER) AS chars
     FROM (SELECT *, CASE WHEN extension NOT IN ({o.quoted(files.SUPPORTED)}) THEN concat('unsupported extension: ', extension)
                          ELSE error END AS failed FROM clean_files) AS f""", "clean_files")
 def parse_status(spark, sf_dir):

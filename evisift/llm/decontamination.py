@@ -17,9 +17,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,19 +122,19 @@ def ids_digest(ids: list[str]) -> str:
     return hashlib.sha256(",".join(ids).encode()).hexdigest()
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Every document with its hits: ``doc_id, n_words, n_hit, hit_words, spans, item_ids``."""
+def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """The items, in blocks of bounded size; one empty block if there are none."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("text IS NOT NULL AND item IS NOT NULL")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = 1 + chars // block_chars
-    if blocks == 1:
-        return scan(docs, [tuple(r) for r in items.collect()], window)
-    block = F.pmod(F.xxhash64("item"), F.lit(blocks))
-    each = [scan(docs, [tuple(r) for r in items.filter(block == b).collect()], window) for b in range(blocks)]
-    found = each[0]
-    for more in each[1:]:
-        found = found.unionByName(more)
-    return merged_blocks(found)
+    for b in range(blocks):
+        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()]
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Every document with its hits: ``doc_id, n_words, n_hit, hit_words, spans, item_ids``."""
+    each = [scan(docs, items, window) for items in item_blocks(benchmark, block_chars)]
+    return each[0] if len(each) == 1 else merged_blocks(reduce(DataFrame.unionByName, each))
 
 
 def merged_blocks(found: DataFrame) -> DataFrame:
@@ -167,10 +167,22 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit word, unchanged. A hit document goes as a whole."""
-    hit = find(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("_hit"))
-    return docs.join(hit, docs["doc_id"] == F.col("_hit"), "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents without a hit word, with all their columns unchanged. A hit document goes as a whole."""
+    for items in item_blocks(benchmark, block_chars):
+        docs = without_hits(docs, items, window)
+    return docs
+
+
+def without_hits(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(items, window)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            clean = [not len(machine) or next(machine.iter(normalised(t)), None) is None for t in texts]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 #: The same in SQL.

@@ -6,12 +6,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evisift.llm import bpe, decontamination
+from evisift.llm import bpe, decontamination, jaccard_join, quality_classifier, substring_dedup
 from evisift.llm.common import table
 from evisift.llm.queries import TOKENIZER
 from evisift.session import shared_folder
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of good quality that are not toxic."""
+    return quality_classifier.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that similar ones link."""
+    return jaccard_join.one_of_each(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each passage that documents share stays in the first of them only."""
+    return substring_dedup.cut(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -23,6 +38,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", classify),
+    ("n-gram Jaccard join", join_near_duplicates),
+    ("substring dedup", cut_repeated_passages),
     ("benchmark decontamination", decontaminate),
     ("BPE encoding and decoding", encode),
 ]

@@ -135,10 +135,13 @@ def encode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
             counts.append(len(words))
             flat += words
         coded = pa.array(flat, pa.string()).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)  # sorted words and their ids take less room
+        place = np.empty(len(order), np.int32)
+        place[order.to_numpy(zero_copy_only=False)] = np.arange(len(order), dtype=np.int32)
         return {
             "ids": part.column("doc_id").to_numpy(), "counts": np.array(counts, np.int64),
-            "codes": coded.indices.to_numpy(zero_copy_only=False),
-            "words": coded.dictionary.to_numpy(zero_copy_only=False),
+            "codes": place[coded.indices.to_numpy(zero_copy_only=False)],
+            "words": coded.dictionary.take(order).to_numpy(zero_copy_only=False),
         }
 
     def ask(body: Arrays) -> list[tuple[np.ndarray, Arrays]]:

@@ -8,7 +8,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evisift.llm import bpe, decontamination, jaccard_join, lm_scoring, quality_classifier, substring_dedup
+from evisift.llm import bpe, decontamination, html_extraction, jaccard_join, license_scan, lm_scoring
+from evisift.llm import quality_classifier, quality_rules, substring_dedup, url_filter
 from evisift.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +19,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER, texts=False)
 
@@ -26,10 +31,22 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,9 +58,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_lm_scoring, op3_bpe_codec, op4_ngram_jaccard_join, op7_benchmark_decontamination,
-        op9_quality_classifier, op10_substring_dedup,
+        op1_lm_scoring, op2_html_extraction, op3_bpe_codec, op4_ngram_jaccard_join, op5_license_scans,
+        op6_quality_rules, op7_benchmark_decontamination, op8_url_filters, op9_quality_classifier, op10_substring_dedup,
     )
 }
 
-ORACLE = {"op7_benchmark_decontamination": decontamination.ORACLE}
+ORACLE = {"op6_quality_rules": quality_rules.ORACLE, "op7_benchmark_decontamination": decontamination.ORACLE}

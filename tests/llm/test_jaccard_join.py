@@ -62,11 +62,34 @@ def test_defined_cases(spark):
 
 
 @pytest.mark.parametrize("block", [2_000, 7])
-def test_equals_comparing_all_pairs(spark, block):
+def test_equals_comparing_all_pairs(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_TEXT", 10 if block > 100 else 0.2)
     rows = near_copies(block, 60, 14)
     assert ours(spark, rows, block=block) == brute(rows)
 
 
+def test_short_texts(spark):
+    draw = random.Random(11)
+    rows = [(i, " ".join(draw.choice("abc") for _ in range(draw.randrange(4, 14)))) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"t{k + i % 7}" for k in range(8 + i % 3))) for i in range(40)]
+    assert ours(spark, rows) == brute(rows)
+
+
+def test_prefix_rule_loses_no_linked_text():
+    import numpy as np
+
+    draw = random.Random(2)
+    for _ in range(3000):
+        a = set(draw.sample(range(60), draw.randrange(1, 30)))
+        b = {draw.randrange(60) if draw.random() < 0.15 else x for x in a} | set(draw.sample(range(60), draw.randrange(0, 4)))
+        if 100 * len(a & b) >= 75 * len(a | b):
+            heads = []
+            for s in (a, b):
+                length, least = (int(x[0]) for x in jaccard_join.prefix_rule(np.array([len(s)]), 75))
+                heads.append((set(sorted(s)[:length]), least))
+            assert len(heads[0][0] & heads[1][0]) >= max(heads[0][1], heads[1][1])
+
+
 def test_shared_passage_links_nothing_by_itself(spark):
     passage = " ".join(f"p{i}" for i in range(30))
     rows = [(i, passage + " " + " ".join(f"q{i}_{k}" for k in range(30))) for i in range(50)]

@@ -216,7 +216,7 @@ class Page:
         siblings = children[up]
         columns = [
             tag, depth, np.log1p(chars), np.log1p(words), links / np.maximum(chars, 1), np.log1p((inline + count) / np.maximum(chars, 1) * 100),
-            children, siblings, place / np.maximum(siblings, 1), same, np.log1p((chars[up] - chars - own_chars[up]) / np.maximum(siblings - 1, 1)),
+            children, siblings, place / np.maximum(siblings, 1), same, np.log1p(np.maximum(chars[up] - chars - own_chars[up], 0) / np.maximum(siblings - 1, 1)),
             chars / max(chars[0], 1),
         ]
         own_bits, above_bits, inside_bits = np.array(self.parts), np.array(above), np.array(inside)
@@ -281,6 +281,9 @@ def training_pages(texts: list[list[str]], seed: int = 7) -> list[str]:
         items = "".join(box("li", made, f'<a href="#">{x}</a>') for x in some(2, 8, 2))
         return box(draw.choice(["ul", "ul", "ol"]), made, items)
 
+    def anchors() -> str:
+        return draw.choice([" ", " | ", ""]).join(f'<a href="#">{x}</a>' for x in some(1, 6, 2))
+
     def paragraphs(made: int, low: int, high: int, words: int = 0) -> str:
         return "".join(box("p", made, x) for x in some(low, high, words))
 
@@ -293,13 +296,14 @@ def training_pages(texts: list[list[str]], seed: int = 7) -> list[str]:
             lambda: box("form", 0, draw.choice(["", prose()]) + f"<label>{' '.join(some(1, 1, 2))}</label><input>", draw.choice(["", name("form")])),
             lambda: box("div", 0, prose(), name("form")),
             lambda: box(draw.choice(["section", "div", "ol"]), 0, box("h3", 0, some(1, 1, 2)[0]) + "".join(box(draw.choice(["div", "li", "article"]), 0, paragraphs(0, 1, 2), draw.choice(["", named("comment")])) for _ in range(draw.randint(1, 5))), name("comments")),
-            lambda: box("nav", 0, linked(), draw.choice(["", name("menu")])), lambda: box("div", 0, linked(), name("menu")),
+            lambda: box("nav", 0, draw.choice([linked, anchors])(), draw.choice(["", name("menu")])),
+            lambda: box("div", 0, draw.choice([linked, anchors])(), name("menu")),
         ]
         if not inside:
             kinds += [
-                lambda: box("header", 0, draw.choice([prose(), linked(), ""]) + box("h1", 0, some(1, 1, 3)[0]), draw.choice(["", name("header")])),
+                lambda: box("header", 0, draw.choice([prose(), linked(), anchors(), ""]) + draw.choice([box("h1", 0, some(1, 1, 3)[0]), draw.choice(lines)]), draw.choice(["", name("header")])),
                 lambda: box("div", 0, box("h1", 0, some(1, 1, 3)[0]) + prose(), name("header")),
-                lambda: box("footer", 0, prose() + draw.choice(["", linked()]), draw.choice(["", name("footer")])), lambda: box("div", 0, prose(), name("footer")),
+                lambda: box("footer", 0, prose() + draw.choice(["", linked(), anchors()]), draw.choice(["", name("footer")])), lambda: box("div", 0, prose(), name("footer")),
             ]
         return draw.choice(kinds)()
 

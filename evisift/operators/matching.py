@@ -19,23 +19,17 @@ from pyspark.sql import functions as F
 
 from evisift.functions.text import SPACE_CLASS, escape, strip
 from evisift.operators.sections import source_of
-from evisift.vocabulary import BROADCAST_SURFACES, Vocabulary
+from evisift.vocabulary import Vocabulary
 
 TERM_COLUMNS = ["grp", "canonical", "term_ord", "tier", "surface"]
-GROUP_STRIDE = 100_000
-LONG_BODY = 500
 NOT_ALNUM = r"\P{Alnum}+"  # ASCII letters and digits only
 
 EVIDENCE_GROUP = {"python": "python", "ai": "ai"}
 
 
-def surface_table(spark, vocab: Vocabulary | DataFrame) -> tuple[DataFrame, bool]:
-    """The join side of a vocabulary, and whether it is small enough to broadcast."""
-    if isinstance(vocab, Vocabulary):
-        table, small = vocab.table(spark), len(vocab) <= BROADCAST_SURFACES
-    else:
-        table = vocab
-        small = vocab.limit(BROADCAST_SURFACES + 1).count() <= BROADCAST_SURFACES
+def surface_table(spark, vocab: Vocabulary | DataFrame) -> DataFrame:
+    """The join side of a vocabulary. Spark knows its size and chooses how to join it."""
+    table = vocab.table(spark) if isinstance(vocab, Vocabulary) else vocab
     surface = F.lower("surface")
     escaped = F.regexp_replace(surface, r"([^a-z0-9 _])", r"\\$1")
     pattern = F.replace(escaped, F.lit(" "), F.lit(rf"[{SPACE_CLASS}\-_]+"))
@@ -45,8 +39,8 @@ def surface_table(spark, vocab: Vocabulary | DataFrame) -> tuple[DataFrame, bool
         surface.rlike("^[a-z0-9]+$").alias("_single"),
         F.concat(F.lit("(?<![a-z0-9])"), pattern, F.lit("(?![a-z0-9])")).alias("_pattern"),
         "grp", "canonical", "tier", "surface",
-        (F.col("grp_ord") * GROUP_STRIDE + F.col("ord")).alias("term_ord"),
-    ), small
+        F.struct("grp_ord", "ord").alias("term_ord"),
+    )
 
 
 def match_rows(
@@ -56,24 +50,21 @@ def match_rows(
     vocab: Vocabulary | DataFrame,
     carry: Column | None = None,
 ) -> DataFrame:
-    """``keys`` plus a row for every surface form found in ``body``; a form may come up twice.
+    """``keys`` plus a row for every surface form found in ``body``, once for each of its first runs.
 
     Rows for which ``carry`` holds pass through once with NULL terms, so per-document
     columns can travel with the hits in the same scan.
     """
-    surfaces, small = surface_table(units.sparkSession, vocab)
+    surfaces = surface_table(units.sparkSession, vocab)
     lowered = units.withColumn("_body", F.lower(F.col(body)))
-    tokens = F.split("_body", NOT_ALNUM)
-    # a long text is confirmed once per form, however often the form's first run occurs
-    tokens = F.when(F.length("_body") > LONG_BODY, F.array_distinct(tokens)).otherwise(tokens)
+    # a text is confirmed once per form, however often the form's first run occurs
+    tokens = F.array_distinct(F.split("_body", NOT_ALNUM))
     exploded = lowered.select(*keys, "_body", F.explode_outer(tokens).alias("_token"))
     found = F.col("_single") | (
         F.contains("_body", "_tail") & F.rlike("_body", "_pattern")
     )
     how, keep = ("inner", found) if carry is None else ("left", found | carry)
-    joined = exploded.join(
-        F.broadcast(surfaces) if small else surfaces, F.col("_token") == F.col("_head"), how
-    )
+    joined = exploded.join(surfaces, F.col("_token") == F.col("_head"), how)
     return joined.filter(keep).select(*keys, *TERM_COLUMNS)
 
 

@@ -11,7 +11,6 @@ from evisift.operators.dedupe import path_order
 from evisift.session import written
 
 PARTITION_BITS = 33  # the row number inside a partition takes the low bits of the id
-DRIVER_ROWS = 10_000
 
 
 def numbered(rows: DataFrame, order: Sequence[Column], into: str = "position") -> DataFrame:
@@ -66,15 +65,12 @@ def ranked(rows: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
 def first_in_path_order(files: DataFrame, limit: int | None) -> DataFrame:
     """The first ``limit`` files by path; 0 or NULL keeps all of them.
 
-    Only paths are sorted; a small limit is a top-n, a large one a distributed numbering.
+    Only paths are sorted and numbered, in parallel, whatever the limit.
     """
     if not limit:
         return files
     paths = files.select("source_file")
     order = path_order(F.col("source_file"))
-    if limit <= DRIVER_ROWS:
-        chosen = F.broadcast(paths.orderBy(order).limit(limit))
-    else:
-        keyed = numbered(paths.withColumn("_at", order), [F.col("_at")])
-        chosen = keyed.filter(F.col("position") <= limit).select("source_file")
+    keyed = numbered(paths.withColumn("_at", order), [F.col("_at")])
+    chosen = keyed.filter(F.col("position") <= limit).select("source_file")
     return files.join(chosen, "source_file", "left_semi")

@@ -25,8 +25,6 @@ from evisift.vocabulary import CLOUD_FULLSTACK_TENTHS, PYTHON_BACKEND_TENTHS, Vo
 
 DOC, TEXT, LINE, PROJECT, NAME = "doc", "text", "line", "project", "name"
 UNIT = "struct<kind:string,idx:int,source:string,body:string>"
-TERM_STRIDE = 10**8  # orders a line number before the term order within the line
-PART_STRIDE = 10**17
 
 
 def _unit(kind: str, idx: Column, source: Column, body: Column) -> Column:
@@ -79,7 +77,6 @@ def features(docs: DataFrame, vocab: Vocabulary | DataFrame, params: ScreenParam
     hits = unit_hits(docs, vocab, params)
     is_line = F.col("kind") == LINE
     line_no = F.when(is_line, F.col("idx")).otherwise(0).cast("long")
-    at = line_no * TERM_STRIDE + F.col("term_ord")
     is_python = F.col("grp") == "python"
     scored = F.col("grp") != "ai"
 
@@ -95,8 +92,8 @@ def features(docs: DataFrame, vocab: Vocabulary | DataFrame, params: ScreenParam
         F.bool_or(F.col("grp") == "engineering").alias("engineering"),
         F.min(domain_rank(F.col("grp"), F.col("canonical"), F.col("tier"))).alias("domain_rank"),
         F.max(F.when(scored, source_multiplier(F.col("source"), params))).alias("best"),
-        F.min(F.when(scored, F.when(is_python, 0).otherwise(PART_STRIDE) + at)).alias("python_at"),
-        F.min(F.when(scored, F.when(is_python, PART_STRIDE).otherwise(0) + at)).alias("other_at"),
+        F.min(F.when(scored, F.struct((~is_python).alias("part"), line_no.alias("line_no"), "term_ord"))).alias("python_at"),
+        F.min(F.when(scored, F.struct(is_python.alias("part"), line_no.alias("line_no"), "term_ord"))).alias("other_at"),
     )
 
     # 2. one row per document and unit

@@ -21,12 +21,13 @@ from evisift.operators.dedupe import mark_duplicates
 from evisift.operators.gate import OK, rejection_reasons, unprocessed_reason
 from evisift.operators.joins import balanced_left_join, hot_keys
 from evisift.operators.judgements import PROJECT_TYPE, judgements, refined_projects
+from evisift.operators.landed_keys import of_keys, one_per_key
 from evisift.operators.projects import project_summary, with_graded_projects
 from evisift.operators.ranking import first_in_path_order, ranked
 from evisift.operators.scoring import concerns, points, strengths, with_breakdown
 from evisift.params import ScreenParams
 from evisift.plans.features import features
-from evisift.session import spread, written
+from evisift.session import written
 from evisift.vocabulary import Vocabulary
 
 ACTIVITY_FIELDS = (
@@ -70,6 +71,8 @@ def with_activity(
 ) -> DataFrame:
     """Add the ``activity`` struct. Only eligible rows look their handle up.
 
+    Landed rows of other handles are left out before anything is aggregated; of several
+    snapshots of a handle the latest counts (:func:`one_per_key`).
     ``found`` is the features table: handles are counted there, not after the joins.
     """
     looked_up = F.when(F.col("eligible") & act.is_handle(F.col("username")), F.col("username"))
@@ -79,7 +82,9 @@ def with_activity(
         joined = rows.select("*", *[F.lit(None).cast(t).alias(n) for n, t in types])
         missing = "disabled"
     else:
-        landed = act.activity(tables.profiles, tables.events, tables.repos, vocab, params)
+        handles = rows.filter("_lookup IS NOT NULL").select(F.col("_lookup").alias("username")).distinct()
+        profiles, events, repos = (of_keys(t, handles, "username") for t in (tables.profiles, tables.events, tables.repos))
+        landed = act.activity(one_per_key(profiles, "username"), events, repos, vocab, params)
         landed = landed.withColumnsRenamed({"username": "_lookup", "error": "activity_error"})
         hot = hot_keys(found.select(F.col("username").alias("_lookup")), "_lookup", params.hot_rows)
         joined = balanced_left_join(rows, landed, "_lookup", "doc_id", hot)
@@ -117,7 +122,8 @@ def with_activity(
 def with_judgements(rows: DataFrame, responses: DataFrame | None, params: ScreenParams) -> DataFrame:
     """Add ``refined`` projects, ``replaced``, ``judged`` and ``warnings``.
 
-    Only eligible rows are refined; ``replaced`` marks those whose projects came from a judge.
+    Only eligible rows are refined, and only their responses are parsed, one for each document
+    (:func:`one_per_key`); ``replaced`` marks rows whose projects came from a judge.
     """
     if responses is None:
         return rows.withColumns({
@@ -126,7 +132,8 @@ def with_judgements(rows: DataFrame, responses: DataFrame | None, params: Screen
             "judged": F.lit(False),
             "warnings": F.array().cast("array<string>"),
         })
-    given = judgements(responses, params.limits).drop("failure")
+    eligible = rows.filter("eligible").select("doc_id").distinct()
+    given = judgements(one_per_key(of_keys(responses, eligible, "doc_id"), "doc_id"), params.limits).drop("failure")
     joined = rows.join(given, "doc_id", "left")
     used = F.when(F.col("eligible"), F.col("judged_projects"))
     return joined.withColumns({
@@ -204,7 +211,7 @@ def results(
 ) -> DataFrame:
     """Result rows before ranking."""
     chosen = first_in_path_order(docs, limit)
-    found = spread(written(features(chosen, vocab, params), "features"), "doc_id")
+    found = written(features(chosen, vocab, params), "features")
     gated = with_gate(mark_duplicates(found, params.hot_rows))
     enriched = with_judgements(with_activity(gated, found, activity, vocab, params), responses, params)
     return with_result_columns(
@@ -243,8 +250,8 @@ def screen(
     """Screen, score and rank documents.
 
     ``docs`` is the table of :func:`evisift.sources.files.documents`, one row per
-    ``doc_id``. ``activity`` and ``responses`` (``doc_id, response``, at most one per
-    document) are optional landed tables.
+    ``doc_id``. ``activity`` and ``responses`` (``doc_id, response``) are optional landed
+    tables; of several rows with one key, one counts.
     """
     vocab = vocab or Vocabulary.standard()
     scored = written(results(docs, vocab, params, activity, responses, limit), "scored")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -30,11 +32,17 @@ def local_session(cores: str = "*", name: str = "evisift", **conf: str) -> Spark
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's checkpoint folder.
 
-    Only where the session names none (as in tests) a temporary one is used.
+    Where the session names none, a session on one machine gets a temporary folder that goes
+    when the program ends. Several machines would not see each other's: that is an error.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="evisift-")
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all machines of {master} share")
+        folder = tempfile.TemporaryDirectory(prefix="evisift-", ignore_cleanup_errors=True)
+        atexit.register(folder.cleanup)
+        folder = folder.name
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -49,13 +57,3 @@ def written(table: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
-
-
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """Hash the rows of a small file table to all cores; large tables keep their splits.
-
-    A table read from fewer splits than there are cores would leave cores idle in the
-    text pass. Meant for tables as read, before any shuffle.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table

@@ -17,7 +17,7 @@ from evisift.params import ScreenParams
 from evisift.plans import report as reports
 from evisift.plans import screening
 from evisift.plans.features import features
-from evisift.session import spread, written
+from evisift.session import written
 from evisift.sources import files
 from evisift.vocabulary import Vocabulary
 from evisift_checks import corpus
@@ -59,14 +59,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def composed(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
     """A composed input, its statement applied to the given tables."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spread(table(spark, sf_dir, "documents"), "doc_id").createOrReplaceTempView("documents")
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
     for name in ("events", "orders"):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(corpus.spark_sql(statement))
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def applications(spark, sf_dir) -> DataFrame:
@@ -760,16 +760,40 @@ def batch_summary(spark, sf_dir):
     return run(spark, sf_dir).summary
 
 
-@checked("flat_output", """
+FLAT = """
     SELECT r.rank, r.candidate_name, r.is_eligible AS eligible, r.base_total / 100.0 AS det_total_score, r.total / 100.0 AS total_score,
            round((r.total - r.base_total) / 100.0, 2) AS llm_delta, r.ai / 100.0 AS ai_project_depth, r.base_ai / 100.0 AS ai_project_depth_deterministic,
            r.py / 100.0 AS python_backend, r.cl / 100.0 AS cloud_fullstack, CASE WHEN r.is_eligible THEN r.gh / 100.0 END AS github, r.en / 100.0 AS engineering_depth,
            -r.pen / 100.0 AS penalties, array_to_string(r.skills, '; ') AS matched_skills, array_to_string(r.rejection_reasons, '; ') AS rejection_reasons, r.source_file
-    FROM ranked AS r""", "ranked")
+    FROM ranked AS r"""
+
+
+@checked("flat_output", FLAT, "ranked")
 def flat_output(spark, sf_dir):
     return reports.flat(results(spark, sf_dir))
 
 
+def landed_twice(table: DataFrame, **earlier: Column) -> DataFrame:
+    """A landed table that has every row again, as it was fetched before."""
+    then = table.withColumns(earlier).withColumn("arrived_at", F.lit(1))
+    return then.unionByName(table.withColumn("arrived_at", F.lit(2))).unionByName(then)
+
+
+@checked("repeated_responses", FLAT, "ranked")
+def repeated_responses(spark, sf_dir):
+    responses = landed_twice(composed(spark, sf_dir, corpus.RESPONSES), response=F.lit("zzz"))
+    apps = applications(spark, sf_dir)
+    return reports.flat(screening.screen(apps, STANDARD, PARAMS, activity_tables(spark, sf_dir), responses).results)
+
+
+@checked("repeated_profiles", FLAT, "ranked")
+def repeated_profiles(spark, sf_dir):
+    landed = activity_tables(spark, sf_dir)
+    twice = screening.ActivityTables(landed_twice(landed.profiles, http_status=F.lit(999)), landed.events, landed.repos)
+    responses = composed(spark, sf_dir, corpus.RESPONSES)
+    return reports.flat(screening.screen(applications(spark, sf_dir), STANDARD, PARAMS, twice, responses).results)
+
+
 @checked("shortlist", f"""
     SELECT rank, candidate_name, base_total / 100.0 AS det_total_score, total / 100.0 AS total_score, round((total - base_total) / 100.0, 2) AS delta,
            base_ai / 100.0 AS ai_project_depth_deterministic, ai / 100.0 AS ai_project_depth, py / 100.0 AS python_backend, cl / 100.0 AS cloud_fullstack,

@@ -76,16 +76,18 @@ def test_any_term_agrees_with_the_join(spark, vocab):
     assert flagged == joined == {0, 2, 3, 5}
 
 
-def test_vocabulary_table_and_shuffled_vocabulary(spark, monkeypatch):
-    from evisift.operators import matching
-
+def test_vocabulary_table_and_shuffled_vocabulary(spark):
     small = Vocabulary.of({"g": {"One": ["one", "first one"], "Two": ["two"]}})
     docs = spark.createDataFrame([(1, "one two"), (2, "first-one"), (3, "three")], "doc_id int, text string")
     expected = {(1, "One"), (1, "Two"), (2, "One")}
     by_table = {(r.doc_id, r.canonical) for r in terms_in_text(docs, small.table(spark)).collect()}
-    monkeypatch.setattr(matching, "BROADCAST_SURFACES", 1)  # too large to broadcast
-    by_shuffle = terms_in_text(docs, small)
-    assert {(r.doc_id, r.canonical) for r in by_shuffle.collect()} == by_table == expected
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if too large to broadcast
+    try:
+        by_shuffle = {(r.doc_id, r.canonical) for r in terms_in_text(docs, small).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert by_shuffle == by_table == expected
     assert Vocabulary.from_table(small.table(spark)).entries == small.entries
 
 
@@ -114,3 +116,19 @@ def test_one_scan_one_broadcast_no_cross_join(spark, vocab):
     docs = spark.createDataFrame([(1, "python")], "doc_id int, text string")
     plan = match_rows(docs, ["doc_id"], "text", vocab)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_hits_do_not_depend_on_the_length_of_the_text(spark):
+    vocab = Vocabulary.of({"g": {"One": ["one"]}})
+    docs = spark.createDataFrame([(1, "one " * 5), (2, "one " * 500)], "doc_id int, text string")
+    assert sorted(r.doc_id for r in match_rows(docs, ["doc_id"], "text", vocab).collect()) == [1, 2]
+
+
+def test_groups_beyond_a_hundred_thousand_terms_keep_their_order(spark):
+    from evisift.vocabulary import Entry
+
+    rows = [("b", 1, "Late", 0, "late", None), ("a", 0, "Early", 200_000, "early", None)]
+    table = spark.createDataFrame(rows, ", ".join(["grp string, grp_ord int, canonical string, ord int, surface string, tier string"]))
+    docs = spark.createDataFrame([(1, "late early")], "doc_id int, text string")
+    assert skills(docs, table).collect()[0].skills == ["Early", "Late"]
+    assert Vocabulary([Entry(*r) for r in rows]).names() == ["Late", "Early"]

@@ -25,7 +25,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +33,14 @@ from evisift.llm.common import UPPER, chunked, spaced_words, word_hashes
 
 SLOTS = 2**18
 #: Most labelled documents (about) that the linear scorer is fitted on.
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 8_000
 #: A hashed word takes part if it is in so many documents of the sample.
 LEAST_DOCS = 5
 THRESHOLD = 0.5
+#: Weight of the prior that a labeller is right, in its own votes: heuristics, humans.
+TRUST = (0.2, 2.0)
+#: First letters of a word that are a feature besides the whole word: inflected forms share them.
+STEM = 5
 
 #: Insults as whole words.
 INSULTS = frozenset({"idiot", "moron", "loser", "clown", "pathetic", "stupid", "dumb", "scum", "trash", "worthless", "imbecile", "disgusting"})
@@ -45,8 +48,8 @@ SYMBOLS = b"#*$%&|<>{}\\~^="
 CAPITALS = UPPER.encode()
 
 QUALITY = ["symbols", "shouting", "few_distinct", "repeated_lines", "word_length", "human"]
-TOXICITY = ["insults", "insult_share", "toxic_human"]
-TEXT_VOTES = ["symbols", "shouting", "few_distinct", "repeated_lines", "word_length", "insults", "insult_share"]
+TOXICITY = ["insults", "shouting", "toxic_human"]
+TEXT_VOTES = ["symbols", "shouting", "few_distinct", "repeated_lines", "word_length", "insults"]
 
 VOTES = pa.schema([("doc_id", pa.int64()), *((v, pa.int8()) for v in TEXT_VOTES)])
 FEATURES = pa.schema([*VOTES, ("slots", pa.list_(pa.int32()))])
@@ -82,11 +85,11 @@ def featured(part: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndar
         "few_distinct": vote((variety < 0.35) & (counts > 20), variety > 0.45),
         "repeated_lines": vote(repeated > 0.25, repeated == 0),
         "word_length": vote((mean > 9) | (mean < 2.8), (mean > 3.5) & (mean < 7)),
-        "insults": vote(insults > 0, insults == 0),
-        "insult_share": vote((insults / n > 0.003) & (insults > 1), insults == 0),
+        "insults": vote(insults > 0, np.zeros(len(counts), bool)),  # other languages have other insults
     }
-    slots = (word_hashes(pa.array(bare, pa.string())) % np.uint64(SLOTS)).astype(np.int64)
-    pairs = np.unique(d_owner * SLOTS + slots[d_code]) if len(bare) else np.empty(0, np.int64)
+    forms = [bare, ["^" + w[:STEM] for w in bare]]
+    slots = [(word_hashes(pa.array(x, pa.string())) % np.uint64(SLOTS)).astype(np.int64) for x in forms]
+    pairs = np.unique(np.concatenate([d_owner * SLOTS + s[d_code] for s in slots])) if len(bare) else np.empty(0, np.int64)
     return votes, pairs // SLOTS, pairs % SLOTS, counts
 
 
@@ -128,21 +131,24 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     """Probability of *bad* for each vote pattern. ``patterns``: one row each, entries -1, 0, 1.
 
     Labellers are taken as independent given the truth; each has a table of vote
-    probabilities for bad and for good documents. Start: the share of bad votes, human votes
-    (the last column) counting three times.
+    probabilities for bad and for good documents. Prior: a labeller is right more often than
+    not, which counts as much as ``TRUST`` times its own votes (the human one is the last).
+    Start: the share of bad votes, weighted likewise.
     """
     if not len(patterns):
         return np.empty(0)
-    weight = np.ones(patterns.shape[1])
-    weight[-1] = 3
+    weight = np.full(patterns.shape[1], TRUST[0])
+    weight[-1] = TRUST[1]
+    right = [counts @ (patterns == v) * weight for v in (1, -1)]
     bad_votes, good_votes = ((patterns == v) @ weight for v in (1, -1))
     bad = (bad_votes + 0.1) / (bad_votes + good_votes + 0.2 + patterns.shape[1] * 0.1)
     choices = np.stack([patterns == v for v in (-1, 0, 1)])
     for _ in range(rounds):
         logs = []
-        for share in (bad, 1 - bad):
+        for share, vote_right, trusted in ((bad, 2, right[0]), (1 - bad, 0, right[1])):
             mass = counts * share
             table = np.einsum("p,vpl->vl", mass, choices) + 1.0
+            table[vote_right] += trusted
             table /= table.sum(0)
             logs.append(np.log(mass.sum() + 1.0) + np.einsum("vl,vpl->p", np.log(table), choices))
         new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -50, 50)))
@@ -152,17 +158,38 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return bad
 
 
-def fit(owner: np.ndarray, slot: np.ndarray, target: np.ndarray, rounds: int = 80, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression on presence features by Adagrad; the last weight is the constant."""
-    weights, gained = np.zeros(SLOTS + len(TEXT_VOTES) * 2 + 1), np.full(SLOTS + len(TEXT_VOTES) * 2 + 1, 1e-8)
-    n = max(len(target), 1)
+def design(votes: dict[str, np.ndarray], owner: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and slot of all features of documents: their hashed words and their votes, present or not."""
+    v_owner, v_slot = vote_features(votes)
+    return np.concatenate([owner, v_owner]), np.concatenate([slot, v_slot])
+
+
+def margins(weights: np.ndarray, owner: np.ndarray, slot: np.ndarray, docs: int) -> np.ndarray:
+    return np.bincount(owner, weights=weights[slot], minlength=docs) + weights[-1]
+
+
+def logistic(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+
+
+def fit(owner: np.ndarray, slot: np.ndarray, target: np.ndarray, rounds: int = 100, ridge: float = 1e-3) -> np.ndarray:
+    """Logistic regression on presence features; the last weight is the constant.
+
+    Starts from each feature's log-odds, drawn to none by two documents as expected in either
+    class, and goes on with Adagrad.
+    """
+    size, n = SLOTS + len(TEXT_VOTES) * 2 + 1, max(len(target), 1)
+    share = target.mean() if len(target) else 0.5
+    bad, every = np.bincount(slot, weights=target[owner], minlength=size), np.bincount(slot, minlength=size)
+    weights = np.log((bad + 2) / (every * share + 2)) - np.log((every - bad + 2) / (every * (1 - share) + 2))
+    weights[-1] = np.log((share * n + 1) / ((1 - share) * n + 1))
+    gained = np.full(size, 1e-6)
     for _ in range(rounds):
-        margin = np.bincount(owner, weights=weights[slot], minlength=len(target)) + weights[-1]
-        miss = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target
-        gradient = np.bincount(slot, weights=miss[owner], minlength=len(weights)) / n + ridge * weights / n
+        miss = logistic(margins(weights, owner, slot, len(target))) - target
+        gradient = np.bincount(slot, weights=miss[owner], minlength=size) / n + ridge * weights / n
         gradient[-1] = miss.mean() if len(target) else 0.0
         gained += gradient**2
-        weights -= 0.3 * gradient / np.sqrt(gained)
+        weights -= 0.1 * gradient / np.sqrt(gained)
     return weights
 
 
@@ -172,12 +199,12 @@ def vote_features(votes: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]
     for k, name in enumerate(TEXT_VOTES):
         for sign, v in enumerate((1, -1)):
             met = np.flatnonzero(np.asarray(votes[name]) == v)
-            owners.append(met)
-            slots.append(np.full(len(met), SLOTS + 2 * k + sign))
+            owners.append(met.astype(np.int32))
+            slots.append(np.full(len(met), SLOTS + 2 * k + sign, np.int32))
     return np.concatenate(owners), np.concatenate(slots)
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, sample_docs: int) -> pd.DataFrame:
+def sample_features(docs: DataFrame, labels: DataFrame, sample_docs: int) -> pa.Table:
     """Votes and hashed words of about ``sample_docs`` labelled documents (all, if there are fewer)."""
     human = human_votes(labels)
     share = min(1.0, sample_docs / max(human.count(), 1))
@@ -192,7 +219,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample_docs: int) -> pd.
 
     picked = narrow(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc"), "left_semi")  # bounded by sample_docs
     features = with_human(picked.mapInArrow(run, spark_schema(FEATURES)), labels)
-    return features.toPandas().sort_values("doc_id", ignore_index=True)
+    return features.toArrow().sort_by("doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
@@ -201,18 +228,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     counted = votes.groupBy(*dict.fromkeys(QUALITY + TOXICITY)).count().withColumnRenamed("count", "n")
     patterns = counted.toPandas()  # at most 3 ** labellers rows
     sample = sample_features(docs, labels, sample_docs)
-    sizes = sample["slots"].map(len).to_numpy(int) if len(sample) else np.empty(0, int)
-    owner = np.repeat(np.arange(len(sample)), sizes)
-    slot = np.concatenate([np.asarray(s, np.int64) for s in sample["slots"]]) if sizes.sum() else np.empty(0, np.int64)
+    lists = sample.column("slots").combine_chunks()
+    owner = np.repeat(np.arange(sample.num_rows, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    slot = lists.flatten().to_numpy()
     common = np.bincount(slot, minlength=SLOTS)[slot] >= LEAST_DOCS
-    v_owner, v_slot = vote_features({v: sample[v].to_numpy() for v in TEXT_VOTES})
+    features = design({v: sample.column(v).to_numpy() for v in TEXT_VOTES}, owner[common], slot[common])
     weights = []
     for labellers in (QUALITY, TOXICITY):
         grouped = patterns.groupby(labellers, as_index=False)["n"].sum().sort_values(labellers)
         bad = expectation_maximisation(grouped[labellers].to_numpy(int), grouped["n"].to_numpy(float))
         known = dict(zip(map(tuple, grouped[labellers].to_numpy(int).tolist()), bad))
-        target = np.array([known[tuple(int(x) for x in row)] for row in sample[labellers].to_numpy()])
-        weights.append(fit(np.concatenate([owner[common], v_owner]), np.concatenate([slot[common], v_slot]), target))
+        target = np.array([known[row] for row in zip(*(sample.column(v).to_pylist() for v in labellers))])
+        weights.append(fit(*features, target))
     return weights[0], weights[1]
 
 
@@ -223,12 +250,8 @@ def scorer(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS):
 
     def scores(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         votes, owner, slot, counts = featured(part)
-        v_owner, v_slot = vote_features(votes)
-        owner, slot = np.concatenate([owner, v_owner]), np.concatenate([slot, v_slot])
-        low, toxic = (
-            1 / (1 + np.exp(-np.clip(np.bincount(owner, weights=w[slot], minlength=len(counts)) + w[-1], -30, 30)))
-            for w in sent.value.astype(float)
-        )
+        features = design(votes, owner, slot)
+        low, toxic = (logistic(margins(w, *features, len(counts))) for w in sent.value.astype(float))
         return counts, np.where(counts == 0, 1.0, low), toxic
 
     return scores

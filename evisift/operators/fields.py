@@ -16,7 +16,7 @@ from evisift.functions.text import (
     title_case,
 )
 from evisift.operators.matching import match_rows, skills
-from evisift.operators.sections import heading_section
+from evisift.operators.sections import SECTION_ALIASES, Aliases, heading_section
 from evisift.vocabulary import Vocabulary
 
 # Fixed values.
@@ -55,25 +55,25 @@ def handle_url(username: Column) -> Column:
     return F.concat(F.lit(PROFILE_URL), username)
 
 
-def plausible_name(line: Column) -> Column:
+def plausible_name(line: Column, aliases: Aliases = SECTION_ALIASES) -> Column:
     """TRUE for a stripped line that could be a person's name, before the vocabulary is asked."""
     lowered = F.lower(line)
     return (
         line.rlike(r"^[A-Za-z][A-Za-z.\-']* +(?:[A-Za-z.\-']+ +){0,2}[A-Za-z.\-']+\z")
         & ~lowered.rlike(any_of(["http", *NOT_IN_NAME]))
         & (line != lowered)
-        & heading_section(line).isNull()
+        & heading_section(line, aliases).isNull()
         & ~lowered.rlike(f"(?<![a-z]){any_of(ROLE_WORDS)}(?![a-z])")
     )
 
 
-def name_candidates(text: Column) -> Column:
+def name_candidates(text: Column, aliases: Aliases = SECTION_ALIASES) -> Column:
     """``array<struct<line_no, line>>``: plausible names among the first lines."""
     head = F.slice(split_lines(text), 1, NAME_LINES)
     numbered = F.transform(
         head, lambda line, i: F.struct(i.alias("line_no"), strip(line).alias("line"))
     )
-    return F.filter(numbered, lambda x: plausible_name(x["line"]))
+    return F.filter(numbered, lambda x: plausible_name(x["line"], aliases))
 
 
 def contact_name(text: Column, email: Column) -> Column:
@@ -123,14 +123,14 @@ def choose_name(candidates: Column, rejected_lines: Column, fallback: Column) ->
     return F.coalesce(F.get(free, F.lit(0))["line"], fallback)
 
 
-def with_contact_fields(docs: DataFrame) -> DataFrame:
+def with_contact_fields(docs: DataFrame, aliases: Aliases = SECTION_ALIASES) -> DataFrame:
     """Add ``email``, ``username``, ``name_candidates`` and ``name_fallback``."""
     found = docs.withColumns({
         "email": email(F.col("text")),
         "username": handle(F.col("text")),
     })
     return found.withColumns({
-        "name_candidates": name_candidates(F.col("text")),
+        "name_candidates": name_candidates(F.col("text"), aliases),
         "name_fallback": F.coalesce(
             contact_name(F.col("text"), F.col("email")),
             email_name(F.col("email")),

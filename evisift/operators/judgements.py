@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisift.functions.text import squeeze, strip, word_count
+from evisift.operators.landed_keys import one_per_key
 from evisift.operators.projects import DOMAINS, SIGNAL_TYPE, SIGNALS
 from evisift.params import Limits
 
@@ -209,10 +210,13 @@ def merged(profiles: DataFrame, given: DataFrame) -> DataFrame:
     """Profiles refined by full extractions.
 
     ``profiles`` needs ``candidate_name``, ``skills``, ``projects`` and ``experience``;
-    contact fields found in the text are never replaced.
+    contact fields found in the text are never replaced. Where ``has_text`` is there and
+    false, nothing is refined and the warning says why. Of several extractions of a document
+    one counts (:func:`one_per_key`).
     """
-    joined = profiles.join(given, "doc_id", "left")
-    used = F.col("given_skills").isNotNull()
+    joined = profiles.join(one_per_key(given, "doc_id"), "doc_id", "left")
+    has_text = F.coalesce("has_text", F.lit(False)) if "has_text" in profiles.columns else F.lit(True)
+    used = F.col("given_skills").isNotNull() & has_text
     name = F.col("given_name")
     good_name = (
         (F.length(name) > 0) & (word_count(name) <= NAME_WORDS) & ~name.rlike(r"\p{Nd}")
@@ -221,9 +225,9 @@ def merged(profiles: DataFrame, given: DataFrame) -> DataFrame:
     return joined.withColumns({
         "candidate_name": F.when(used & good_name, name).otherwise(F.col("candidate_name")),
         "skills": F.when(used, F.array_distinct(F.concat("skills", "given_skills"))).otherwise(F.col("skills")),
-        "projects": refined_projects(F.col("projects"), F.col("given_projects")),
-        "experience": F.when(F.size(F.coalesce("given_experience", none)) > 0, F.col("given_experience"))
+        "projects": F.when(used, refined_projects(F.col("projects"), F.col("given_projects"))).otherwise(F.col("projects")),
+        "experience": F.when(used & (F.size(F.coalesce("given_experience", none)) > 0), F.col("given_experience"))
         .otherwise(F.col("experience")),
         "extraction_method": F.when(used, "hybrid").otherwise("deterministic"),
-        "warnings": F.array_compact(F.array("warning")),
+        "warnings": F.array_compact(F.array(F.when(has_text, F.col("warning")).otherwise("no_text_to_extract"))),
     }).drop("given_name", "given_skills", "given_projects", "given_experience", "warning")

@@ -14,7 +14,6 @@ from evisift.functions.points import as_points, clamp, half_up, one_decimal, ten
 from evisift.operators.activity import activity_points
 from evisift.operators.projects import QUALITY_UNIT, SIGNALS, thin_deduction
 from evisift.params import ScreenParams
-from evisift.vocabulary import CLOUD_FULLSTACK_TENTHS, PYTHON_BACKEND_TENTHS
 
 CATEGORIES = [
     "ai_project_depth", "python_backend", "cloud_fullstack", "github", "engineering_depth",
@@ -25,14 +24,16 @@ UNTITLED = "untitled"
 
 def by_name(table: Mapping[str, int], key: Column) -> Column:
     """Look a name up in a small fixed table; NULL when absent."""
-    pairs = ", ".join(f"'{name}', {number}" for name, number in table.items())
-    return F.element_at(F.expr(f"map({pairs})"), key)
+    if not table:
+        return F.lit(None).cast("int")
+    pairs = [F.lit(x) for name, number in table.items() for x in (name, number)]
+    return F.element_at(F.create_map(*pairs), key)
 
 
-def weights_table(spark) -> DataFrame:
+def weights_table(spark, params: ScreenParams) -> DataFrame:
     """``(category, term, weight_tenths)``."""
-    rows = [("python_backend", t, w) for t, w in PYTHON_BACKEND_TENTHS.items()]
-    rows += [("cloud_fullstack", t, w) for t, w in CLOUD_FULLSTACK_TENTHS.items()]
+    rows = [("python_backend", t, w) for t, w in params.python_backend_tenths.items()]
+    rows += [("cloud_fullstack", t, w) for t, w in params.cloud_fullstack_tenths.items()]
     return spark.createDataFrame(rows, "category string, term string, weight_tenths int")
 
 
@@ -77,7 +78,7 @@ def best_mentions(evidence_rows: DataFrame, params: ScreenParams) -> DataFrame:
 def weighted_scores(evidence_rows: DataFrame, params: ScreenParams) -> DataFrame:
     """``(doc_id, category, weighted_sum, points_hundredths, terms)`` for both weighted categories."""
     th, w = params.thresholds, params.weights
-    weights = weights_table(evidence_rows.sparkSession)
+    weights = weights_table(evidence_rows.sparkSession, params)
     hits = best_mentions(evidence_rows, params).join(F.broadcast(weights), "term")
     is_python = F.col("category") == "python_backend"
     totals = hits.groupBy("doc_id", "category").agg(

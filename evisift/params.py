@@ -6,9 +6,12 @@ so sums do not depend on the order in which a shuffle delivers rows.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, fields
 from datetime import datetime
 
+from evisift.vocabulary import CLOUD_FULLSTACK_TENTHS, PYTHON_BACKEND_TENTHS
+
 
 @dataclass(frozen=True)
 class Weights:
@@ -87,6 +90,11 @@ class ScreenParams:
     thresholds: Thresholds = field(default_factory=Thresholds)
     limits: Limits = field(default_factory=Limits)
     as_of: datetime = datetime(2024, 2, 1)
+    # Term weights in tenths for the two weighted categories, by term name.
+    python_backend_tenths: Mapping[str, int] = field(default_factory=lambda: PYTHON_BACKEND_TENTHS)
+    cloud_fullstack_tenths: Mapping[str, int] = field(default_factory=lambda: CLOUD_FULLSTACK_TENTHS)
+    # Section headings by section, in order of precedence; None: the fixed ones.
+    aliases: Mapping[str, Sequence[str]] | None = None
     # A join key held by at least this many rows is joined through a broadcast of
     # its few partner rows, so it never meets in a single task. The number of such
     # keys is at most rows / hot_rows.

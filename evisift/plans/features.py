@@ -19,9 +19,9 @@ from evisift.operators.judgements import PROJECT_TYPE, rough_project
 from evisift.operators.matching import match_rows
 from evisift.operators.projects import domain_of, domain_rank, with_project_blocks
 from evisift.operators.scoring import by_name, source_multiplier, where_label
-from evisift.operators.sections import source_of, with_line_sections
+from evisift.operators.sections import SECTION_ALIASES, source_of, with_line_sections
 from evisift.params import ScreenParams
-from evisift.vocabulary import CLOUD_FULLSTACK_TENTHS, PYTHON_BACKEND_TENTHS, Vocabulary
+from evisift.vocabulary import Vocabulary
 
 DOC, TEXT, LINE, PROJECT, NAME = "doc", "text", "line", "project", "name"
 UNIT = "struct<kind:string,idx:int,source:string,body:string>"
@@ -38,8 +38,9 @@ def units(docs: DataFrame, params: ScreenParams) -> DataFrame:
     """``(doc_id, payload, kind, idx, source, body)``; the carrier unit has kind ``doc``."""
     none = F.lit(None)
     text = F.when(F.col("parse_status") == OK, F.col("text")).otherwise("")
-    known = with_contact_fields(docs.withColumn("text", F.coalesce(text, F.lit(""))))
-    parsed = with_project_blocks(with_line_sections(known), params.limits)
+    aliases = SECTION_ALIASES if params.aliases is None else params.aliases
+    known = with_contact_fields(docs.withColumn("text", F.coalesce(text, F.lit(""))), aliases)
+    parsed = with_project_blocks(with_line_sections(known, aliases), params.limits)
     content = F.filter("line_sections", lambda x: F.length(strip(x["line"])) > 0)
     rough = F.transform("blocks", lambda b: F.struct(b["name"].alias("name"), b["description"].alias("description")))
     payload = F.struct(
@@ -99,8 +100,8 @@ def features(docs: DataFrame, vocab: Vocabulary | DataFrame, params: ScreenParam
     # 2. one row per document and unit
     name = F.col("canonical")
     told = F.concat(name, F.lit(" ("), where_label(F.col("best"), params), F.lit(")"))
-    python_weight = F.when(F.col("best").isNotNull(), by_name(PYTHON_BACKEND_TENTHS, name))
-    cloud_weight = F.when(F.col("best").isNotNull(), by_name(CLOUD_FULLSTACK_TENTHS, name))
+    python_weight = F.when(F.col("best").isNotNull(), by_name(params.python_backend_tenths, name))
+    cloud_weight = F.when(F.col("best").isNotNull(), by_name(params.cloud_fullstack_tenths, name))
 
     def in_order(condition: Column, order: Column, value: Column) -> Column:
         pairs = F.collect_list(F.when(condition, F.struct(order.alias("at"), value.alias("value"))))

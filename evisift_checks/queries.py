@@ -657,8 +657,8 @@ o.cte("given_fields", """
 def merged_profiles(spark, sf_dir):
     apps = applications(spark, sf_dir)
     experience = sections.section_texts(apps).filter(F.col("section") == "experience").select("doc_id", "section_text")
-    base = app_features(spark, sf_dir).select("doc_id", "candidate_name", "skills", "projects").join(experience, "doc_id", "left").select(
-        "doc_id", "candidate_name", "skills", "projects",
+    base = app_features(spark, sf_dir).select("doc_id", "candidate_name", "skills", "projects", "has_text").join(experience, "doc_id", "left").select(
+        "doc_id", "candidate_name", "skills", "projects", "has_text",
         F.array_compact(F.array("section_text")).alias("experience"),
     )
     given = judgements.extractions(composed(spark, sf_dir, corpus.EXTRACTION_RESPONSES), PARAMS.limits)

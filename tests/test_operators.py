@@ -227,3 +227,34 @@ def test_folder_to_report(spark, folder):
 
     summary = screen(files.documents(files.kept(files.scan_folder(spark, folder)))).summary.collect()[0]
     assert (summary.total_resumes, summary.parsed_ok, summary.parse_failed) == (5, 2, 3)
+
+
+def test_full_merge_leaves_blank_texts_alone(spark):
+    from evisift.operators.judgements import PROJECT_TYPE, extractions, merged
+
+    profile = f"doc_id int, candidate_name string, skills array<string>, projects array<{PROJECT_TYPE}>, experience array<string>, has_text boolean"
+    profiles = spark.createDataFrame([(1, "Ada", ["Python"], [], [], True), (2, "b.pdf", [], [], [], False)], profile)
+    given = spark.createDataFrame([(i, '{"candidate_name": "Ada Lovelace", "skills": ["Go"]}') for i in (1, 2, 2)], "doc_id int, response string")
+    rows = {r.doc_id: r for r in merged(profiles, extractions(given)).collect()}
+    assert (rows[1].candidate_name, rows[1].skills, rows[1].extraction_method, rows[1].warnings) == ("Ada Lovelace", ["Python", "Go"], "hybrid", [])
+    assert (rows[2].candidate_name, rows[2].skills, rows[2].extraction_method, rows[2].warnings) == ("b.pdf", [], "deterministic", ["no_text_to_extract"])
+
+
+def test_several_machines_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from evisift.session import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+
+
+def test_the_last_landing_counts(spark):
+    from evisift.operators.landed_keys import one_per_key
+
+    rows = [("a", 200, None, 1), ("a", 404, "gone", 2), ("b", 200, "x", 1), ("b", 200, "x", 1)]
+    table = spark.createDataFrame(rows, "username string, http_status int, error string, arrived_at int")
+    assert {(r.username, r.http_status) for r in one_per_key(table, "username").collect()} == {("a", 404), ("b", 200)}
+    assert one_per_key(table, "username").columns == table.columns

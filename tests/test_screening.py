@@ -164,3 +164,19 @@ def test_text_is_scanned_once_and_shuffled_never(spark, docs_of, vocab, tmp_path
     exchange = plan[plan.index("Exchange hashpartitioning"):].splitlines()[1]
     assert "body" not in exchange.split("Project")[1] and "text#" not in exchange
     assert "Window" not in plan and "NestedLoop" not in plan
+
+
+def test_weights_aliases_and_vocabulary_are_parameters(spark, docs_of):
+    from evisift.params import ScreenParams
+    from evisift.plans.features import features
+    from evisift.vocabulary import Vocabulary
+
+    vocab = Vocabulary.of({"python": {"Snake": ["snake"]}, "backend": {"Lake": ["lake"]}}, {})
+    params = ScreenParams(
+        python_backend_tenths={"Snake": 30}, cloud_fullstack_tenths={"Lake": 7}, aliases={"projects": ["things made"]},
+    )
+    docs = docs_of({"a.txt": "Things made\nsnake at the lake\n"})
+    row = features(docs, vocab, params).collect()[0]
+    assert (row.python_sum, row.cloud_sum, row.python_terms, row.cloud_terms) == (300, 70, ["Snake (project)"], ["Lake (project)"])
+    plain = features(docs, vocab, ScreenParams()).collect()[0]
+    assert (plain.python_sum, plain.cloud_sum) == (0, 0)

@@ -3,21 +3,21 @@
 Two texts link when ``100 * common >= 75 * all`` of their distinct 5-word shingles, that is
 when their distance is at most r = 0.25. The join is exact. Steps:
 
-1. *Which texts can link at all.* Of two linked texts at least one of the n - ceil(0.75 n) + 1
-   smallest shingle hashes is common. Every text asks whether any of these occurs in another
-   text (``chunks``); then, among the texts left, whether three quarters of *all* its shingles
-   do. A text that fails either is at a distance over r from every other one. Texts with
-   the same set count once.
+1. *Which texts can link at all.* Of the half of n shingles with the smallest hashes, n / 4 are also
+   in that half of any linked text. Every text asks which of these occur in another text (``chunks``); then, among the texts left, whether three quarters of *all* its
+   shingles do. A text that fails either is at a distance over r from every other one. Texts
+   with the same set count once.
 2. *Pivots and regions.* Texts with the same smallest shingle under one of several hash
    functions form a region around the region's first text, its pivot; linked texts
-   share a region of one function with a chance of three quarters or more. The exact distance
-   of every text to its pivots is measured, and the nearest pivot is its Voronoi region.
-   Links to pivots join texts into components.
-3. *Boundaries.* What is left are links between different components. Their texts share one of
-   the smallest hashes of step 1, so the texts of every such hash that still spans several
-   components are brought together (a text on the boundary of several regions is replicated
-   to each of them), and joined recursively: a pivot is measured against all, and the
-   others are split at a distance m from it into two regions, of which the outer one
+   share a region of one function with a chance of three quarters or more. The pivot with which
+   a text shares the most regions is taken as its nearest: its Voronoi region. The exact
+   distance to it is measured, and links to pivots join texts into components.
+3. *Boundaries.* What is left are links between different components. Two linked texts share one
+   of the n - ceil(0.75 n) + 1 rarest shingles of either, so the texts of every such shingle that
+   still spans several components are brought together: a text on the boundary of several
+   regions is replicated to each of them. Few pairs across components are measured one by
+   one, unless their distances to a common pivot differ by more than r. Many are joined
+   recursively: a pivot is measured against all, and the others are split at a distance m from it into two regions, of which the outer one
    also gets the texts within r inside the boundary. By the triangle inequality no link is
    lost. Regions whose texts are of one component are done.
 
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisift.llm import chunks
@@ -48,6 +48,8 @@ from evisift.session import written
 PIVOT_FUNCTIONS = 4
 #: Most texts of a region in one task, before it is dealt into blocks.
 BLOCK = 2_000
+#: Pairs across components for each text of a block, up to which a region compares single pairs.
+PAIRS_PER_TEXT = 10
 
 SETS = "doc_id long, n_shingles long, set_a long, set_b long, shingles array<long>, anchors array<long>"
 SETS_ARROW = pa.schema([
@@ -56,9 +58,16 @@ SETS_ARROW = pa.schema([
 ])
 
 
-def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    """How many of the smallest of n shingles hold at least one of any linked text's."""
-    return n - -(-percent * n // 100) + 1
+def prefix_rule(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the smallest of n shingles to look at, and how many of these any linked text looks at too.
+
+    Of two linked texts with n <= m shingles, c >= percent * m / 100 are common. The j-th common one is
+    at most at place j + n - c of one and j + m - c of the other, so inside the first half of both
+    for every j up to c - m / 2, which is (percent - 50) * m / 100 or more.
+    """
+    lacking = n - -(-percent * n // 100)
+    length = np.minimum(np.maximum(-(-n // 2), lacking + 1), n)
+    return length, np.maximum(-(-(percent - 50) * n // 100), 1)
 
 
 def distinct_sets(shingles: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +99,7 @@ def shingle_sets(docs: DataFrame, percent: int) -> DataFrame:
     chars = chunks.corpus_chars(docs)
 
     def prefix(sizes: np.ndarray) -> np.ndarray:
-        return ranks(sizes) < np.repeat(prefix_length(sizes, percent), sizes)
+        return ranks(sizes) < np.repeat(prefix_rule(sizes, percent)[0], sizes)
 
     def ask(body: Arrays) -> list[tuple[np.ndarray, Arrays]]:
         shingles, sizes = sets_of(body)
@@ -109,7 +118,7 @@ def shingle_sets(docs: DataFrame, percent: int) -> DataFrame:
         owner = np.repeat(np.arange(texts), sizes)
         common = np.zeros(len(shingles), bool)
         common[prefix(sizes)] = reply("0.common")
-        shared = np.bincount(owner[common], minlength=texts) > 0
+        shared = (np.bincount(owner[common], minlength=texts) >= prefix_rule(sizes, percent)[1]) & (sizes > 0)
         identity = [np.zeros(texts, np.uint64) for _ in range(2)]
         for seed, total in enumerate(identity):
             np.add.at(total, owner, mixed(shingles, 101 + seed))
@@ -174,11 +183,12 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def pivot_regions(sets: DataFrame) -> DataFrame:
-    """Each set with the pivots of its regions, and its distance to each: ``doc_id, pivot, common, whole``."""
+    """Each set with the pivot nearest to it and the distance: ``doc_id, pivot, common, whole``."""
     seats = sets.select("doc_id", F.posexplode("anchors").alias("function", "anchor"))
     pivots = seats.groupBy("function", "anchor").agg(F.min("doc_id").alias("pivot"))
-    pairs = seats.join(pivots, ["function", "anchor"]).filter("doc_id <> pivot").select("doc_id", "pivot").distinct()
-    return measured(pairs, sets)
+    shared = seats.join(pivots, ["function", "anchor"]).filter("doc_id <> pivot").groupBy("doc_id", "pivot").count()
+    nearest = shared.groupBy("doc_id").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("pivot"))
+    return measured(nearest, sets)
 
 
 def linked(measures: DataFrame, percent: int) -> DataFrame:
@@ -192,24 +202,71 @@ def labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     ).drop("node")
 
 
-def boundary_links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links between different components of ``sets(doc_id, shingles, label)``, enough to join them all: ``a, b``."""
-    n = F.size("shingles")
-    length = n - F.ceil(n * percent / 100) + 1
-    # the smallest as unsigned numbers, as in step 1: the order in which the sets were written
-    seats = sets.select("doc_id", "label", F.explode(F.slice("shingles", F.lit(1), length.cast("int"))).alias("seat"))
-    regions = seats.groupBy("seat").agg(
-        F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
-        F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.sum(F.xxhash64("doc_id").cast("decimal(38)")).alias("who_too"),
-    ).filter("low <> high")
+def rarest_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, seat``: of each set of ``sets(doc_id, shingles)`` the n - ceil(percent * n / 100) + 1 shingles that
+    occur in the fewest of the sets, without those that occur in no other.
+
+    Two linked sets have one of them in common. A line that very many texts share is among the
+    last, so it brings no texts together that have nothing else in common.
+    """
+    each = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("seat"))
+    held = each.groupBy("seat").agg(F.count("*").alias("sets"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("sets", "seat"))
+    ranked = each.join(held, "seat").withColumn("place", place)
+    return ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("sets") > 1)).select("doc_id", "seat")
+
+
+def boundary_seats(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Who stands on a boundary: ``doc_id, label, n, pivot, distance, seat`` for each of the rarest shingles of
+    ``sets``; and the regions (shingles) whose texts are of several components, with the number of pairs across.
+    """
+    about = sets.select("doc_id", "label", F.size("shingles").alias("n"), "pivot", "distance")
+    seats = written(rarest_shingles(sets, percent).join(about, "doc_id"), "seats")
+    counted = seats.groupBy("seat", "label").agg(
+        F.count("*").alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38)")).alias("sum"), F.bit_xor(F.xxhash64("doc_id")).alias("xor")
+    )
+    regions = counted.groupBy("seat").agg(
+        F.sum("c").alias("size"), F.count("*").alias("labels"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("across"),
+        F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"),
+    ).filter("labels > 1")
     # several hashes often gather the same texts: one of them is enough
-    regions = regions.groupBy("who", "who_too", "size").agg(F.min("seat").alias("seat"))
-    split = regions.select("seat", "size", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    alike = ["size", "labels", "across", "sum", "xor"]
+    return seats, regions.groupBy(*alike).agg(F.min("seat").alias("seat")).drop("sum", "xor")
+
+
+def may_link(percent: int):
+    """Sizes that allow the similarity, and distances to a common pivot that differ by the radius at most."""
+    near = F.abs(F.col("distance") - F.col("_distance")) <= 1 - percent / 100 + 1e-9
+    return (
+        (F.lit(100) * F.least("n", "_n") >= F.lit(percent) * F.greatest("n", "_n"))
+        & ((F.col("pivot") != F.col("_pivot")) | near | F.col("pivot").isNull() | F.col("_pivot").isNull())
+    )
+
+
+def crossing_pairs(seats: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
+    """Pairs of texts of different components in these regions, each pair once: ``doc_id, pivot``."""
+    mine = seats.join(regions.select("seat"), "seat")
+    others = mine.select("seat", *(F.col(c).alias(f"_{c}") for c in ("doc_id", "label", "n", "pivot", "distance")))
+    pairs = mine.join(others, "seat").filter((F.col("doc_id") < F.col("_doc_id")) & (F.col("label") != F.col("_label")) & may_link(percent))
+    return pairs.select("doc_id", F.col("_doc_id").alias("pivot")).distinct()
+
+
+def boundary_links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links between different components of ``sets(doc_id, shingles, label, pivot, distance)``, enough to join them all: ``a, b``.
+
+    Regions with few pairs across components compare these pairs, each once however many
+    regions have it; the others are joined region by region.
+    """
+    seats, found = boundary_seats(sets, percent)
+    regions = written(found, "regions")
+    pairs = crossing_pairs(seats, regions.filter(F.col("across") <= block * PAIRS_PER_TEXT), percent)
+    few = linked(measured(pairs, sets), percent).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    split = regions.filter(F.col("across") > block * PAIRS_PER_TEXT).select("seat", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     members = seats.join(split, "seat").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # block i meets block j in task (i, j), i <= j; with one block that is the region itself
     tasks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "doc_id", "label", "seat", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
+    ).distinct()
     with_sets = tasks.join(sets.select("doc_id", "shingles"), "doc_id")
 
     def join_region(group: pa.Table) -> pa.Table:
@@ -220,7 +277,7 @@ def boundary_links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFra
         ).links()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return with_sets.groupBy("seat", "i", "j").applyInArrow(join_region, "a long, b long")
+    return few.union(with_sets.groupBy("seat", "i", "j").applyInArrow(join_region, "a long, b long"))
 
 
 class RegionJoin:
@@ -272,12 +329,13 @@ def join(docs: DataFrame, percent: int = SIMILAR_PERCENT, block: int = BLOCK) ->
     sets = written(shingle_sets(docs, percent), "sets")
     same_set = ["set_a", "set_b", "n_shingles"]
     first = sets.filter("n_shingles > 0").groupBy(*same_set).agg(F.min("doc_id").alias("first"))
-    candidates = sets.filter(F.size("shingles") > 0)
-    heads = candidates.join(first.select("set_a", "set_b", "first"), ["set_a", "set_b"]).filter("doc_id = first")
-    distinct = heads.dropDuplicates(["doc_id", "set_a", "set_b"]).select("doc_id", "n_shingles", "shingles", "anchors")
+    candidates = sets.filter(F.size("shingles") > 0).select("doc_id", "n_shingles", "shingles", "anchors")
+    distinct = candidates.join(first.select(F.col("first").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
     near = written(mostly_common(distinct, percent), "near")
-    pivot_links = written(linked(pivot_regions(near), percent).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), "links")
-    regions = labelled(near.select("doc_id", "shingles"), pivot_links)
+    measures = written(pivot_regions(near), "measures")
+    pivot_links = linked(measures, percent).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    placed = measures.select("doc_id", "pivot", (1 - F.col("common") / F.col("whole")).alias("distance"))
+    regions = written(labelled(near.select("doc_id", "shingles").join(placed, "doc_id", "left"), pivot_links), "regions")
     more = boundary_links(regions, percent, block)
     labels = components(pivot_links.union(more))
     whole = sets.select("doc_id", *same_set).join(first, same_set, "left")

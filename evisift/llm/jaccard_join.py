@@ -293,9 +293,11 @@ class RegionJoin:
         todo = [np.arange(len(self.ids))]
         while todo:
             members = todo.pop()
-            if len(members) < 2 or (self.parent[members] == self.parent[members[0]]).all():
+            _, label, counts = np.unique(self.parent[members], return_inverse=True, return_counts=True)
+            if len(counts) < 2:
                 continue
-            pivot, rest = members[0], members[1:]
+            rarest = int(np.argmin(counts[label]))  # texts of one large component need no pivot among themselves
+            pivot, rest = members[rarest], np.delete(members, rarest)
             common, whole = self.measure(pivot, rest)
             for other in rest[100 * common >= self.percent * whole]:
                 self.unite(pivot, other)

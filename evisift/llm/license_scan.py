@@ -18,6 +18,7 @@ score 0; repeated rows of a doc_id get the same result each; other columns are i
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,8 +108,8 @@ class SignatureRule:
 
 
 def plain_words(pattern: str) -> list[str]:
-    """Words of an expression that have no alternatives in them."""
-    return [w for w in pattern.split(" ") if w.isalnum()]
+    """Words that stand in every text of an expression: not those with alternatives, nor those that may be run together."""
+    return [w for w in re.split(r" (?!\?)", pattern) if w.isalnum()]
 
 
 def version_pattern(name: str, version: str, addition: str) -> str:

@@ -58,6 +58,40 @@ def test_given_documents(spark):
     assert sorted((tuple(r) for r in ls.scan(docs).collect()), key=str) == brute(rows, ls.rules())
 
 
+def spellings(pattern):
+    """Every text of an expression of literals, ``(?:a|b)`` and ``[cs]``, each perhaps optional."""
+    m = re.search(r"(\(\?:([^()]*)\)|\[(\w+)\]|.)\?|\(\?:([^()]*)\)|\[(\w+)\]", pattern)
+    if not m:
+        return {pattern}
+    group, letters = m[2] or m[4], m[3] or m[5]
+    choices = group.split("|") if group else list(letters) if letters else [m[1]]
+    if m[0].endswith("?"):
+        choices = [*choices, ""]
+    return {x for c in choices for x in spellings(pattern[: m.start()] + c + pattern[m.end() :])}
+
+
+def test_every_spelling_of_every_rule(spark):
+    chosen = ls.rules()
+    texts = set()
+    for r in chosen:
+        found = sorted(spellings(r.pattern))
+        assert all(re.fullmatch(r.pattern, x) for x in found), r
+        texts.update([*found[:2], *found[-2:]] if r.priority == ls.VERSIONED else found)
+    assert "creative commons attribution noncommercial sharealike" in texts
+    rows = list(enumerate([*sorted(texts), "Creative Commons Attribution-ShareAlike", "Attribution-NonCommercial-NoDerivatives 4.0, Creative Commons"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["label"], r["priority"], r["start"], r["end"]) for r in ls.detections(docs).collect()}
+    compiled = [(re.compile(rf"(?<= ){r.pattern}(?= )"), r) for r in chosen]
+    expected = set()
+    for doc, text in rows:
+        line = " " + " ".join(re.findall(r"[a-z0-9]+", text.lower())) + " "
+        for expression, r in compiled:
+            for m in expression.finditer(line):
+                start = line[: m.start()].count(" ") - 1
+                expected.add((doc, r.label, r.priority, start, start + m.group().count(" ") + 1))
+    assert got == expected
+
+
 def test_empty_table(spark):
     assert ls.scan(spark.createDataFrame([], "doc_id long, text string, label string")).collect() == []
 

@@ -61,7 +61,7 @@ def automaton(items: list[tuple[str, str | None]], window: int = WINDOW_WORDS) -
     """Pattern: a window with its bounding spaces; value: its number of words and the items that have it."""
     owners: dict[str, tuple[int, set[str]]] = {}
     for item, text in items:
-        words = normalised(text).split()
+        words = [w for w in words_of(text) if w]
         width = min(window, len(words))
         for start in range(len(words) - width + 1 if words else 0):
             owners.setdefault(" " + " ".join(words[start : start + width]) + " ", (width, set()))[1].add(item)

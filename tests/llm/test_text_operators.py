@@ -158,6 +158,20 @@ def test_decontamination_in_blocks(spark):
     assert decontamination.clean_documents(docs, none).count() == 6
 
 
+def test_decontamination_splits_both_sides_at_the_same_places(spark):
+    """No-break, ideographic and other spaces beyond ASCII are inside words, of items and of documents."""
+    texts = [f"one{c}two three" for c in "\u00a0\u3000\u2003\u0085 "] + [
+        " ".join(f"w{k}" for k in range(8)) + f" end{c}of it all" for c in "\u00a0\u3000\u0085 "
+    ]
+    docs = table(spark, texts)
+    bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(texts)], "item_id string, text string")
+    for chars in (10**6, 40):
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontamination.find(docs, bench, block_chars=chars).collect()}
+        for k, t in enumerate(texts):
+            n = len([w for w in t.split(" ") if w])
+            assert got[k] == (n, n, [f"i{k}"])
+
+
 # --- URL filters ---
 
 URLS = [

@@ -14,7 +14,8 @@ adverts, forms and reader comments around and inside the article, named as such
 usually are. Each node's label is known from its making.
 
 Defined results: null and empty html have no text; scripts, styles, comments and markup never
-appear; unclosed and stray tags are repaired the way browsers do for paragraphs, lists and
+appear; of an unclosed button, select, object, svg, template or noscript what comes before the next
+block element is lost, of an unclosed script, style, textarea, title or iframe the rest of the page; other unclosed and stray tags are repaired the way browsers do for paragraphs, lists and
 table cells; equal pages get equal texts; other columns are ignored.
 """
 
@@ -43,6 +44,8 @@ NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"
 PART = re.compile(r"[a-z]+", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe object select button head".split())
+#: Of these, what browsers read as text up to the end tag or else the end of the page; and what can't hold its like.
+TO_END, NOT_NESTED = frozenset("script style textarea title iframe".split()), frozenset("button select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr img br input".split()
@@ -52,6 +55,8 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = frozenset("ul ol dl table div section article main body".split())
 
 TAGS = "html body article main section div p h1 h2 h3 ul ol li nav header footer aside form table td blockquote pre figure".split()
+#: An element of RAW without its end tag ends before the next of these, start or end.
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(TAGS[1:])}|h[4-6]|dl|dt|dd|tr|th|address|details|fieldset|hr)(?=[\s/>])", re.I)
 TAG_NUMBER = {t: i + 1 for i, t in enumerate(TAGS)}
 
 #: Words that name parts of a page, by part. A longer word that starts with one counts too.
@@ -98,6 +103,7 @@ class Page:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones carry their block's number
         node, at, link, size = 0, 0, 0, len(html)
         pieces = self.pieces
+        unclosed: set[str] = set()  # no end tag is left on the page
         for m in iter(lambda: TOKEN.search(html, at), None):
             if m.start() > at:
                 self.text(node, html[at : m.start()], link)
@@ -121,13 +127,20 @@ class Page:
                     stack = [("html", 0)]
                 continue
             if tag in RAW:
-                found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
-                end = found.start() if found else -1
+                kind = f"</?{tag}" if tag in NOT_NESTED else f"</{tag}"
+                found = None if tag in unclosed else re.compile(rf"{kind}(?=[\s/>])", re.I).search(html, at)
+                if not found:
+                    unclosed.add(tag)
+                end = found.start() if found and html[found.start() + 1] == "/" else -1
                 if m.group(3).endswith("/") and tag == "svg":
                     continue
                 close = html.find(">", end) if end >= 0 else -1
                 if tag == "head" and end < 0:
                     continue
+                if end < 0 and tag not in TO_END:
+                    block = BLOCK_TAG.search(html, at)
+                    at = block.start() if block else size
+                    continue
                 at = close + 1 if close >= 0 else size
                 continue
             if tag == "html":

@@ -212,6 +212,23 @@ def test_url_model_tells_the_classes_apart(spark):
 # --- HTML extraction ---
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "template", "noscript"])
+@pytest.mark.parametrize("later", ["", "<footer><button>Send</button><select><option>x</select></footer>"])
+def test_unclosed_elements_before_the_article(tag, later):
+    page = html_extraction.Page(f"<body><header>Site <{tag} class=menu>Menu <i>open</i></header><article><p>First words.</p><p>Second.</p></article>{later}")
+    text = page.main_text([True] * len(page.tags))
+    assert text.split("\n")[:3] == ["Site", "First words.", "Second."]
+    bare = html_extraction.Page(f"<{tag}>Menu<article><p>First words.</p></article>")
+    assert bare.main_text([True] * len(bare.tags)) == "First words."
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "textarea", "title", "iframe"])
+def test_raw_text_goes_to_the_end(tag):
+    page = html_extraction.Page(f"<p>Before</p><{tag}><p>inside</p>")
+    assert page.main_text([True] * len(page.tags)) == "Before"
+
+
+
 def test_html_of_given_pages(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = {r["page_id"]: r for r in html_extraction.extract(pages).collect()}

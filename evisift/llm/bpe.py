@@ -11,7 +11,7 @@ The tokenizer file is a parameter and is never copied. Results equal those of th
 text becomes that token, as there.
 
 Defined results: null and empty text have no ids and decode to the empty text; equal texts
-get equal ids; other columns of the input are ignored.
+get equal ids; a null doc_id stays null; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -139,7 +139,7 @@ def encode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
         place = np.empty(len(order), np.int32)
         place[order.to_numpy(zero_copy_only=False)] = np.arange(len(order), dtype=np.int32)
         return {
-            "ids": part.column("doc_id").to_numpy(), "counts": np.array(counts, np.int64),
+            **chunks.ids_of(part), "counts": np.array(counts, np.int64),
             "codes": place[coded.indices.to_numpy(zero_copy_only=False)],
             "words": coded.dictionary.take(order).to_numpy(zero_copy_only=False),
         }
@@ -161,7 +161,7 @@ def encode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
         sizes = np.concatenate([[0], np.cumsum(n_ids[body["codes"]] if len(n_ids) else [])]).astype(np.int64)
         ends = np.cumsum(body["counts"])
         out = {f.name: [] for f in (CODES_ARROW if texts else DIGEST_ARROW)}
-        for doc, a, b in zip(body["ids"].tolist(), (ends - body["counts"]).tolist(), ends.tolist()):
+        for doc, a, b in zip(chunks.with_nulls(body).to_pylist(), (ends - body["counts"]).tolist(), ends.tolist()):
             all_ids = ",".join(ids[a:b])
             text = b"".join(decoded[a:b]).decode("utf-8", "replace")
             out["doc_id"].append(doc)

@@ -11,18 +11,21 @@ would shuffle a row per token. Here documents are gathered in chunks first:
 4. answers return to their chunk, which then works its documents through from left to right.
 
 Keys that a third of all tokens share cost one entry per chunk, not one per token, so no
-bucket is hot. The memory of a step is that of one chunk, or of one bucket; the number of
+bucket is hot. That holds for words and bigrams; where documents ask with shingles, a key costs
+one entry for each document that has it. The memory of a step is that of one chunk, or of one bucket; the number of
 buckets grows with the corpus. Both branches use the same exchange of chunks, so texts are
 tokenised once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +44,20 @@ def corpus_chars(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
 
 
-def chunk_name(doc_ids: np.ndarray) -> str:
-    """The same for the same documents, whichever attempt of whichever task packs them."""
-    if not len(doc_ids):
-        return "none"
-    digest = pd.util.hash_array(doc_ids)
-    return f"{doc_ids[0]}-{len(doc_ids)}-{int((digest * np.arange(1, len(digest) + 1, dtype=np.uint64)).sum()):x}"
+def ids_of(docs: pa.Table) -> Arrays:
+    """The documents' ids, and which of them are null (0 stands in their place)."""
+    ids = docs.column("doc_id")
+    return {"ids": pc.fill_null(ids, 0).to_numpy(), "null_ids": pc.is_null(ids).to_numpy()}
+
+
+def with_nulls(body: Arrays) -> pa.Array:
+    """The ids as a column of the result."""
+    return pa.array(body["ids"], pa.int64(), mask=body["null_ids"])
+
+
+def chunk_name(partition: int, number: int, body: bytes) -> str:
+    """Of its own for each chunk of a task, and the same for whichever attempt of the task packs the same documents."""
+    return f"{partition}-{number}-{hashlib.blake2b(body, digest_size=12).hexdigest()}"
 
 
 def ask_all(
@@ -69,9 +80,10 @@ def ask_all(
     buckets = max(1, int(chars) // BUCKET_CHARS)
 
     def pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunked(batches, chars=CHUNK_CHARS):
-            ids = part.column("doc_id").to_numpy()
-            yield pa.RecordBatch.from_pydict({"chunk": [chunk_name(ids)], "body": [packed(**pack(part))]}, schema=CHUNK)
+        partition = TaskContext.get().partitionId()
+        for number, part in enumerate(chunked(batches, chars=CHUNK_CHARS)):
+            body = packed(**pack(part))
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk_name(partition, number, body)], "body": [body]}, schema=CHUNK)
 
     def dealt(body: Arrays) -> list[tuple[np.ndarray, np.ndarray, Arrays]]:
         """Per set of keys: the order that sorts it by bucket, where each bucket begins, its arrays."""

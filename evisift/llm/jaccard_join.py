@@ -26,7 +26,8 @@ task holds an unbounded region; none of it is dropped.
 
 Defined results: texts without words (or null) link with nothing; with fewer than 5 words the
 whole sequence is the one shingle; repeated rows of a doc_id count as one document if
-their texts are equal (the result has a row for each).
+their texts are equal (the result has a row for each); a row with a null doc_id has the component
+of the texts with the same set of shingles, else a null one, and links no others.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def distinct_sets(shingles: np.ndarray, owner: np.ndarray, texts: int) -> tuple[
 
 def pack(part: pa.Table) -> Arrays:
     counts, codes, words = spaced_words(part.column("text"))
-    return {"ids": part.column("doc_id").to_numpy(), "counts": counts, "codes": codes, "hashes": word_hashes(words)}
+    return {**chunks.ids_of(part), "counts": counts, "codes": codes, "hashes": word_hashes(words)}
 
 
 def sets_of(body: Arrays) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +130,7 @@ def shingle_sets(docs: DataFrame, percent: int) -> DataFrame:
         for k in range(PIVOT_FUNCTIONS):
             anchors[:, k] = np.minimum.reduceat(mixed(shingles[kept], 201 + k), starts) if len(starts) else 0
         return pa.RecordBatch.from_arrays([
-            pa.array(body["ids"]), pa.array(sizes.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in identity),
+            chunks.with_nulls(body), pa.array(sizes.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in identity),
             listed(shingles[kept].view(np.int64), kept_sizes),
             listed(anchors.reshape(-1).view(np.int64), np.where(shared, PIVOT_FUNCTIONS, 0)),
         ], schema=SETS_ARROW)

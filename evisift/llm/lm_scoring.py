@@ -16,6 +16,7 @@ chunk of documents gets the part of it that its own bigrams can reach (``chunks`
 Tokens are the words between ASCII white space, ASCII lower-cased, and an end after each text.
 Defined results: null or empty text is the end alone; without any training document every
 token is unknown. Equal texts get equal scores.
+A null doc_id is held out or not as one and the same id; each such row has its own result.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def held_out(doc_ids: list) -> np.ndarray:
 
 def pack(docs: pa.Table) -> Arrays:
     """Token codes per document; the last code is the end."""
-    ids = docs.column("doc_id").to_numpy()
+    ids = chunks.ids_of(docs)
     counts, codes, words = spaced_words(docs.column("text"))
     hashes = np.append(word_hashes(words), END)
     ends = np.cumsum(counts) + np.arange(len(counts))
@@ -63,7 +64,8 @@ def pack(docs: pa.Table) -> Arrays:
     inside = np.ones(len(tokens), bool)
     inside[ends] = False
     tokens[inside], tokens[ends] = codes, len(hashes) - 1
-    return {"ids": ids, "counts": counts + 1, "tokens": tokens, "hashes": hashes, "held": held_out(ids.tolist())}
+    held = held_out(docs.column("doc_id").to_pylist())
+    return {**ids, "counts": counts + 1, "tokens": tokens, "hashes": hashes, "held": held}
 
 
 def bigrams(body: Arrays) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +187,7 @@ def score(docs: DataFrame, mass: float = BACKOFF_MASS) -> DataFrame:
         n = body["counts"].astype(np.int64)
         sums = np.add.reduceat(base, starts) if len(starts) else np.empty(0)
         return pa.RecordBatch.from_pydict({
-            "doc_id": body["ids"], "held_out": body["held"], "n_tokens": n, "n_known": known[ends] - known[starts],
+            "doc_id": chunks.with_nulls(body), "held_out": body["held"], "n_tokens": n, "n_known": known[ends] - known[starts],
             "train_tokens": np.full(len(n), total, np.int64), "base_score": sums - n * np.log10(total + distinct + 1.0),
             "score": [s for s, _ in scored], "n_backoffs": [k for _, k in scored],
         }, schema=SCORES_ARROW)

@@ -8,8 +8,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evisift.llm import bpe, decontamination, html_extraction, jaccard_join, license_scan, lm_scoring
-from evisift.llm import quality_classifier, quality_rules, substring_dedup, url_filter
+from evisift.llm import bpe, decontamination, html_extraction, importance_resampling, jaccard_join, license_scan, line_dedup
+from evisift.llm import lm_scoring, periodic_runs, quality_classifier, quality_rules, substring_dedup, url_filter
 from evisift.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,12 +55,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
+def op12_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(table(spark, sf_dir, "documents"), rewrite=periodic_runs.repeating_tail))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_html_extraction, op3_bpe_codec, op4_ngram_jaccard_join, op5_license_scans,
         op6_quality_rules, op7_benchmark_decontamination, op8_url_filters, op9_quality_classifier, op10_substring_dedup,
+        op11_line_dedup, op12_periodic_run_detection, op13_importance_resampling,
     )
 }
 
-ORACLE = {"op6_quality_rules": quality_rules.ORACLE, "op7_benchmark_decontamination": decontamination.ORACLE}
+ORACLE = {
+    "op6_quality_rules": quality_rules.ORACLE, "op7_benchmark_decontamination": decontamination.ORACLE,
+    "op11_line_dedup": line_dedup.ORACLE,
+}

@@ -4,10 +4,12 @@ A term matches where one of its surface forms stands in the text, whatever the c
 not flanked by a letter or digit; a space in a surface form stands for one or more of
 white space, ``-`` and ``_``.
 
-The match is an equi-join: the distinct letter/digit runs of a text are exploded and
-joined to the surface forms by the first run of each form. For forms that are a single
-run the join alone decides; the others are confirmed on the few rows that remain.
-Nothing is ever compared pair by pair.
+The match is an equi-join in either of two forms, and nothing is ever compared pair by pair.
+A :class:`Vocabulary` is an object of the driver, so its size is bounded and its rows are
+broadcast: the distinct letter/digit runs of a text are exploded and joined to the surface
+forms by the first run of each form; forms of several runs are confirmed on the few rows
+that remain. A vocabulary *table* may have any size and meets the texts' word n-grams
+(:mod:`evisift.operators.phrases`), so that no text crosses an exchange.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisift.functions.text import SPACE_CLASS, escape, strip
+from evisift.operators.phrases import match_grams
 from evisift.operators.sections import source_of
 from evisift.vocabulary import Vocabulary
 
@@ -27,9 +30,9 @@ NOT_ALNUM = r"\P{Alnum}+"  # ASCII letters and digits only
 EVIDENCE_GROUP = {"python": "python", "ai": "ai"}
 
 
-def surface_table(spark, vocab: Vocabulary | DataFrame) -> DataFrame:
-    """The join side of a vocabulary. Spark knows its size and chooses how to join it."""
-    table = vocab.table(spark) if isinstance(vocab, Vocabulary) else vocab
+def surface_table(spark, vocab: Vocabulary) -> DataFrame:
+    """The join side of a vocabulary object, a local relation of known size."""
+    table = vocab.table(spark)
     surface = F.lower("surface")
     escaped = F.regexp_replace(surface, r"([^a-z0-9 _])", r"\\$1")
     pattern = F.replace(escaped, F.lit(" "), F.lit(rf"[{SPACE_CLASS}\-_]+"))
@@ -55,6 +58,8 @@ def match_rows(
     Rows for which ``carry`` holds pass through once with NULL terms, so per-document
     columns can travel with the hits in the same scan.
     """
+    if not isinstance(vocab, Vocabulary):
+        return match_grams(units, keys, body, vocab, TERM_COLUMNS, carry)
     surfaces = surface_table(units.sparkSession, vocab)
     lowered = units.withColumn("_body", F.lower(F.col(body)))
     # a text is confirmed once per form, however often the form's first run occurs

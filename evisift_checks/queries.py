@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evisift.functions.points import as_points
-from evisift.functions.text import clean, clip_words, quality_hundredths, strip
+from evisift.functions.text import SPACE_CLASS, clean, clip_words, quality_hundredths, strip
 from evisift.operators import activity as act
 from evisift.operators import dedupe, fields, judgements, matching, projects, ranking, scoring, sections
 from evisift.operators import gate as gates
@@ -313,6 +313,42 @@ def terms_in_pages(spark, sf_dir):
     return matching.terms_in_text(table(spark, sf_dir, "pages"), PLAIN, "page_id", "html").select("page_id", "canonical")
 
 
+def phrases_of_documents(spark, sf_dir) -> DataFrame:
+    """A vocabulary of every two neighbouring words of the given documents: it grows with them."""
+    words = F.filter(F.split(F.lower("text"), f"[{SPACE_CLASS}]+"), lambda w: F.length(w) > 0)
+    listed = documents(spark, sf_dir).select(words.alias("words")).filter(F.size("words") > 1)
+    pairs = listed.select(F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.slice("words", i, 2))
+    )).alias("surface"))
+    known = pairs.distinct().filter(F.col("surface").rlike("[a-z0-9]"))
+    return written(known.select(
+        F.lit("given").alias("grp"), F.lit(0).alias("grp_ord"), F.col("surface").alias("canonical"),
+        F.lit(0).alias("ord"), "surface", F.lit(None).cast("string").alias("tier"),
+    ), "phrases")
+
+
+_PAIR_FORMS = rf"""
+    WITH pairs AS (
+      SELECT DISTINCT concat(words[i], ' ', words[i + 1]) AS form FROM (
+        SELECT words, unnest(range(1, len(words))) AS i FROM (
+          SELECT list_filter(regexp_split_to_array(lower(text), '[{SPACE_CLASS}]+'), lambda w: length(w) > 0) AS words FROM documents))),
+    forms AS (
+      SELECT form, regexp_extract_all(form, '[a-z0-9]+') AS runs,
+        concat('(^|[^a-z0-9])', replace(regexp_replace(form, '([!-/:-@\[-^`{{-~])', '\\\1', 'g'), ' ', '[{SPACE_CLASS}\-_]+'), '([^a-z0-9]|$)') AS pattern
+      FROM pairs WHERE regexp_matches(form, '[a-z0-9]')),
+    turns AS (SELECT conv_id, turn, lower(text) AS body, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS heads FROM conversations),
+    met AS (SELECT conv_id, turn, body, unnest(heads) AS head FROM turns)"""
+
+
+@checked("terms_of_any_size", _PAIR_FORMS + """
+    SELECT DISTINCT met.conv_id, met.turn, forms.form FROM met JOIN forms ON met.head = forms.runs[1]
+    WHERE contains(met.body, forms.runs[-1]) AND regexp_matches(met.body, forms.pattern)""")
+def terms_of_any_size(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    found = matching.match_rows(turns, ["conv_id", "turn"], "text", phrases_of_documents(spark, sf_dir))
+    return found.select("conv_id", "turn", F.col("canonical").alias("form")).distinct()
+
+
 @checked("line_evidence", "SELECT doc_id, evidence_group, term, source, context, line_no FROM evidence", "evidence")
 def line_evidence(spark, sf_dir):
     return app_evidence(spark, sf_dir).drop("term_ord")

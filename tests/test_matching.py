@@ -1,11 +1,13 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from evisift.operators.matching import any_term, evidence, match_rows, skills, terms_in_text
 from evisift.operators.sections import lines
 from evisift.vocabulary import Vocabulary
+from plan_shape import exchanges
 
 
 def names(spark, vocab, text, grp=None):
@@ -49,11 +51,17 @@ def brute_force(vocab, text):
     return hits
 
 
-def test_equals_brute_force_on_random_texts(spark, vocab):
+ODD_FORMS = ["r & d", ".net", "c++ 11", "a--b", "x - y", "_self_", "fine tuning", "fine-tuning", "r&d", "a.b.c.d.e", "(ok)", "e 9"]
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_equals_brute_force_on_random_texts(spark, vocab, as_table):
     rng = random.Random(7)
+    if as_table:
+        vocab = Vocabulary([*vocab.entries, *Vocabulary.of({"odd": {f.upper(): [f] for f in ODD_FORMS}}).entries])
     surfaces = [e.surface for e in vocab.entries]
     pieces = [w for s in surfaces for w in re.split(r"[ \-/.]", s) if w] + ["x", "9", "the"]
-    glue = [" ", "  ", "-", "_", "\n", ".", "/", ", ", "", "é", " - ", "(", ")", "+"]
+    glue = [" ", "  ", "-", "_", "\n", ".", "/", ", ", "", "é", " - ", "(", ")", "+", "--", "🙂 ", " & ", "\x00"]
     texts = []
     for _ in range(400):
         words = [rng.choice(surfaces if rng.random() < 0.3 else pieces) for _ in range(rng.randint(1, 12))]
@@ -61,7 +69,7 @@ def test_equals_brute_force_on_random_texts(spark, vocab):
     texts.append("rest " * 300 + "api")  # long enough for the distinct path
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     found = {i: set() for i in range(len(texts))}
-    for r in terms_in_text(docs, vocab).collect():
+    for r in terms_in_text(docs, vocab.table(spark) if as_table else vocab).collect():
         found[r.doc_id].add((r.grp, r.canonical))
     for i, text in enumerate(texts):
         assert found[i] == brute_force(vocab, text), repr(text)
@@ -81,6 +89,8 @@ def test_vocabulary_table_and_shuffled_vocabulary(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, "first-one"), (3, "three")], "doc_id int, text string")
     expected = {(1, "One"), (1, "Two"), (2, "One")}
     by_table = {(r.doc_id, r.canonical) for r in terms_in_text(docs, small.table(spark)).collect()}
+    assert match_rows(docs.limit(0), ["doc_id"], "text", small.table(spark)).collect() == []
+    assert match_rows(docs, ["doc_id"], "text", small.table(spark).limit(0)).collect() == []
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if too large to broadcast
     try:
@@ -132,3 +142,36 @@ def test_groups_beyond_a_hundred_thousand_terms_keep_their_order(spark):
     docs = spark.createDataFrame([(1, "late early")], "doc_id int, text string")
     assert skills(docs, table).collect()[0].skills == ["Early", "Late"]
     assert Vocabulary([Entry(*r) for r in rows]).names() == ["Late", "Early"]
+
+
+def test_no_text_crosses_an_exchange_on_a_term_key(spark, vocab, tmp_path):
+    docs = spark.createDataFrame([(1, "python and fastapi")], "doc_id int, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if too large to broadcast
+    try:
+        found = match_rows(docs, ["doc_id"], "text", vocab.table(spark))
+        assert {r.canonical for r in found.collect()} == {"Python", "FastAPI"}
+        found = match_rows(docs, ["doc_id"], "text", vocab.table(spark))
+        seen = [what for how, what in exchanges(found) if "_key" in how]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # a gram is as long as a form, and the text is not there
+    assert [sorted(set(what) - {"_carry"}) for what in seen] == [["_gram", "_key", "_share", "doc_id"]]
+
+
+def test_a_frequent_core_is_dealt_over_several_tasks(spark):
+    from evisift.operators.phrases import SPREAD, match_grams
+
+    docs = spark.range(200).selectExpr("id AS doc_id", "'the the end' AS text")
+    table = Vocabulary.of({"g": {"The": ["the"], "End": ["the end"]}}).table(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = match_grams(docs, ["doc_id"], "text", table, ["canonical", "_share"])
+        counts = {(r.canonical, r._share): r["count"] for r in hits.groupBy("canonical", "_share").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # "the the" gives two grams of "the": the characters beside them differ
+    assert len(counts) == 2 * SPREAD and sum(counts.values()) == 600 and max(counts.values()) < 600 / 4

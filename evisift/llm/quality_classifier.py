@@ -22,14 +22,16 @@ they get equal scores.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisift.llm.common import UPPER, chunked, spaced_words, word_hashes
+from evisift.llm.common import UPPER, chunked, one_array, spaced_words, word_hashes
 
 SLOTS = 2**18
 #: Most labelled documents (about) that the linear scorer is fitted on.
@@ -37,8 +39,11 @@ SAMPLE_DOCS = 8_000
 #: A hashed word takes part if it is in so many documents of the sample.
 LEAST_DOCS = 5
 THRESHOLD = 0.5
-#: Weight of the prior that a labeller is right, in its own votes: heuristics, humans.
-TRUST = (0.2, 2.0)
+#: Characters of text in one chunk, of which all words are held at once.
+CHARS = 2_000_000
+#: Weight of the prior that a labeller is right, in its own votes; that of labellers named here differs.
+TRUST = 0.2
+TRUST_IN = {"human": 2.0, "toxic_human": 2.0}
 #: First letters of a word that are a feature besides the whole word: inflected forms share them.
 STEM = 5
 
@@ -60,23 +65,61 @@ def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.where(bad, 1, np.where(good, -1, 0)).astype(np.int8)
 
 
-def featured(part: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Votes per document; then owner and slot of each distinct hashed word of a document; words per document."""
-    counts, codes, words = spaced_words(part.column("text"))
-    texts = [t or "" for t in part.column("text").to_pylist()]
-    n = np.maximum(counts, 1)
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order; much faster on millions of them than a hash table."""
+    ordered = np.sort(numbers)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
+def bytes_in(texts: pa.Array, wanted: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: bytes among ``wanted``, and all bytes."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    among = np.zeros(256, np.uint8)
+    among[list(wanted)] = 1
+    places = np.flatnonzero(among[data]) + offsets[0]
+    return np.diff(np.searchsorted(places, offsets)), np.diff(offsets)
+
+
+def repeated_lines(texts: pa.Array) -> np.ndarray:
+    """Per text: the share of its lines with content that equal an earlier one."""
+    lists = pc.split_pattern(texts, "\n")
+    lines = lists.flatten()
+    full = pc.greater(pc.binary_length(pc.utf8_trim_whitespace(lines)), 0)
+    owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))[full.to_numpy(zero_copy_only=False)]
+    coded = lines.filter(full).dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    found = distinct(owner.astype(np.int64) * size + coded.indices.to_numpy()) // size
+    return 1 - np.bincount(found, minlength=len(texts)) / np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+
+
+@dataclass(frozen=True)
+class Words:
+    """The words of a chunk: per document how many, and the distinct ones of each document."""
+
+    counts: np.ndarray
+    bare: list[str]  # the distinct words of the chunk without punctuation
+    owner: np.ndarray  # of each distinct word of a document
+    code: np.ndarray
+
+
+def votes_of(part: pa.Table) -> tuple[dict[str, np.ndarray], Words]:
+    """The votes of the text labellers on each document, and its words."""
+    texts = pc.fill_null(one_array(part.column("text")), "")
+    repeated = repeated_lines(texts)
+    n_symbols, _ = bytes_in(texts, SYMBOLS)
+    n_capitals, n_bytes = bytes_in(texts, CAPITALS)
+    counts, codes, words = spaced_words(texts)
+    n, size, listed = np.maximum(counts, 1), max(len(words), 1), words.to_pylist()
     owner = np.repeat(np.arange(len(counts)), counts)
-    letters = np.array([len(w) for w in words.to_pylist()] or [0])
-    distinct = np.unique(owner.astype(np.int64) * max(len(words), 1) + codes)
-    d_owner, d_code = distinct // max(len(words), 1), distinct % max(len(words), 1)
-    bare = [re.sub(r"\W+", "", w) for w in words.to_pylist()]
+    letters = np.array([len(w) for w in listed] or [0])
+    pairs = distinct(owner.astype(np.int64) * size + codes)
+    d_owner, d_code = pairs // size, pairs % size
+    bare = [w if w.isalnum() else re.sub(r"\W+", "", w) for w in listed]
     insult = np.array([w in INSULTS for w in bare] or [False])
-    insults = np.bincount(owner, weights=insult[codes] if len(codes) else None, minlength=len(counts))
-    coded = [t.encode("utf-8", "surrogatepass") for t in texts]
-    symbols = np.array([len(c) - len(c.translate(None, SYMBOLS)) for c in coded]) / n
-    shouting = np.array([len(c) - len(c.translate(None, CAPITALS)) for c in coded]) / np.maximum([len(c) for c in coded], 1)
-    lines = [[x for x in t.split("\n") if x.strip()] for t in texts]
-    repeated = np.array([1 - len(set(x)) / max(len(x), 1) for x in lines])
+    insults = np.bincount(d_owner[insult[d_code]], minlength=len(counts))
+    symbols, shouting = n_symbols / n, n_capitals / np.maximum(n_bytes, 1)
     variety = np.bincount(d_owner, minlength=len(counts)) / n
     mean = np.bincount(owner, weights=letters[codes] if len(codes) else None, minlength=len(counts)) / n
     votes = {
@@ -87,18 +130,26 @@ def featured(part: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndar
         "word_length": vote((mean > 9) | (mean < 2.8), (mean > 3.5) & (mean < 7)),
         "insults": vote(insults > 0, np.zeros(len(counts), bool)),  # other languages have other insults
     }
-    forms = [bare, ["^" + w[:STEM] for w in bare]]
+    return votes, Words(counts, bare, d_owner, d_code)
+
+
+def featured(part: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Votes per document; then owner and slot of each distinct hashed word of a document; words per document."""
+    votes, words = votes_of(part)
+    if not words.bare:
+        return votes, np.empty(0, np.int64), np.empty(0, np.int64), words.counts
+    forms = [words.bare, ["^" + w[:STEM] for w in words.bare]]
     slots = [(word_hashes(pa.array(x, pa.string())) % np.uint64(SLOTS)).astype(np.int64) for x in forms]
-    pairs = np.unique(np.concatenate([d_owner * SLOTS + s[d_code] for s in slots])) if len(bare) else np.empty(0, np.int64)
-    return votes, pairs // SLOTS, pairs % SLOTS, counts
+    pairs = distinct(np.concatenate([words.owner * SLOTS + s[words.code] for s in slots]))
+    return votes, pairs // SLOTS, pairs % SLOTS, words.counts
 
 
 def text_votes(docs: DataFrame) -> DataFrame:
     """The votes of the text labellers on every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunked(batches):
-            votes, *_ = featured(part)
+        for part in chunked(batches, chars=CHARS):
+            votes, _ = votes_of(part)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").combine_chunks(), **votes}, schema=VOTES)
 
     return narrow(docs).mapInArrow(run, spark_schema(VOTES))
@@ -127,18 +178,17 @@ def with_human(votes: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.fillna(0, ["human", "toxic_human"])
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers: Sequence[str] = (), rounds: int = 60) -> np.ndarray:
     """Probability of *bad* for each vote pattern. ``patterns``: one row each, entries -1, 0, 1.
 
     Labellers are taken as independent given the truth; each has a table of vote
     probabilities for bad and for good documents. Prior: a labeller is right more often than
-    not, which counts as much as ``TRUST`` times its own votes (the human one is the last).
-    Start: the share of bad votes, weighted likewise.
+    not, which counts as much as ``TRUST`` times its own votes, or ``TRUST_IN`` times for those of
+    the given names that it lists. Start: the share of bad votes, weighted likewise.
     """
     if not len(patterns):
         return np.empty(0)
-    weight = np.full(patterns.shape[1], TRUST[0])
-    weight[-1] = TRUST[1]
+    weight = np.array([TRUST_IN.get(name, TRUST) for name in labellers] or [TRUST] * patterns.shape[1])
     right = [counts @ (patterns == v) * weight for v in (1, -1)]
     bad_votes, good_votes = ((patterns == v) @ weight for v in (1, -1))
     bad = (bad_votes + 0.1) / (bad_votes + good_votes + 0.2 + patterns.shape[1] * 0.1)
@@ -208,10 +258,11 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample_docs: int) -> pa.
     """Votes and hashed words of about ``sample_docs`` labelled documents (all, if there are fewer)."""
     human = human_votes(labels)
     share = min(1.0, sample_docs / max(human.count(), 1))
-    chosen = human.filter(F.pmod(F.xxhash64("_doc"), F.lit(1_000_000)) < int(share * 1_000_000))
+    bound = min(2**63 - 1, int((share - 0.5) * 2**64))  # of 64-bit hashes, so that no share rounds to none
+    chosen = human.filter(F.xxhash64("_doc") <= bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunked(batches):
+        for part in chunked(batches, chars=CHARS):
             votes, owner, slot, _ = featured(part)
             bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
             slots = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(slot, pa.int32()))
@@ -236,7 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     weights = []
     for labellers in (QUALITY, TOXICITY):
         grouped = patterns.groupby(labellers, as_index=False)["n"].sum().sort_values(labellers)
-        bad = expectation_maximisation(grouped[labellers].to_numpy(int), grouped["n"].to_numpy(float))
+        bad = expectation_maximisation(grouped[labellers].to_numpy(int), grouped["n"].to_numpy(float), labellers)
         known = dict(zip(map(tuple, grouped[labellers].to_numpy(int).tolist()), bad))
         target = np.array([known[row] for row in zip(*(sample.column(v).to_pylist() for v in labellers))])
         weights.append(fit(*features, target))
@@ -262,7 +313,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     scores = scorer(docs, labels, sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunked(batches):
+        for part in chunked(batches, chars=CHARS):
             counts, low, toxic = scores(part)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": part.column("doc_id").combine_chunks(), "n_words": counts.astype(np.int64),
@@ -278,7 +329,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE
     scores = scorer(docs, labels, sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunked(batches):
+        for part in chunked(batches, chars=CHARS):
             _, low, toxic = scores(part)
             yield from part.filter(pa.array((low < THRESHOLD) & (toxic < THRESHOLD))).to_batches()
 

@@ -1,23 +1,25 @@
 """The whole screening run, cut by written tables where work would be repeated.
 
-1. ``features`` reads the text once and is written: everything after works on a table
-   a small fraction of the text's size.
-2. Duplicates, the gate, activity, judgements and scores follow as joins and
-   projections and are written, so the sampling pass of the range sort reads scores
-   instead of computing them a second time.
-3. Ranking writes the ordered results.
+1. Later copies are found on narrow rows and leave the texts by an anti join.
+2. ``features`` reads the other texts once and is written in buckets of ``doc_id``: everything after works on a
+   table a small fraction of the text's size.
+3. The gate, activity, judgements and scores follow as joins and projections. Only narrow rows are
+   dealt by content, handle or document; the wide row stays in its bucket. Copies join as rows without features.
+   The result is written, so the sampling pass of the range sort reads scores
+   instead of computing them a second time; the run's counters are taken from the rows as they are written.
+4. Ranking writes the ordered results: the one exchange of whole rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evisift.functions.points import as_points
 from evisift.operators import activity as act
-from evisift.operators.dedupe import mark_duplicates
+from evisift.operators.dedupe import DUPLICATE, duplicate_of, later_copies
 from evisift.operators.gate import OK, rejection_reasons, unprocessed_reason
 from evisift.operators.joins import balanced_left_join, hot_keys
 from evisift.operators.judgements import PROJECT_TYPE, judgements, refined_projects
@@ -27,7 +29,7 @@ from evisift.operators.ranking import first_in_path_order, ranked
 from evisift.operators.scoring import concerns, points, strengths, with_breakdown
 from evisift.params import ScreenParams
 from evisift.plans.features import features
-from evisift.session import written
+from evisift.session import written, written_by_key
 from evisift.vocabulary import Vocabulary
 
 ACTIVITY_FIELDS = (
@@ -37,6 +39,13 @@ ACTIVITY_FIELDS = (
 )
 
 
+SUMMARY = (
+    "total_resumes bigint, parsed_ok bigint, parse_failed bigint, duplicates_skipped bigint, eligible bigint, rejected bigint, "
+    "llm_used boolean, github_enriched bigint, github_failures bigint, llm_scored bigint, "
+    "github_tagged_rate_limited bigint, github_tagged_error bigint, github_no_profile bigint, llm_skipped_by_gate bigint"
+)
+
+
 @dataclass(frozen=True)
 class ActivityTables:
     """Landed snapshots; see :mod:`evisift.sources.landed`."""
@@ -87,7 +96,10 @@ def with_activity(
         landed = act.activity(one_per_key(profiles, "username"), events, repos, vocab, params)
         landed = landed.withColumnsRenamed({"username": "_lookup", "error": "activity_error"})
         hot = hot_keys(found.select(F.col("username").alias("_lookup")), "_lookup", params.hot_rows)
-        joined = balanced_left_join(rows, landed, "_lookup", "doc_id", hot)
+        # handles meet their activity on narrow rows, which then go to their documents
+        looked = rows.filter("_lookup IS NOT NULL").select("doc_id", "_lookup")
+        met = balanced_left_join(looked, landed, "_lookup", "doc_id", hot).drop("_lookup")
+        joined = rows.join(met, "doc_id", "left")
         missing = "error"
     status = (
         F.when(~F.col("eligible"), "disabled")
@@ -119,11 +131,14 @@ def with_activity(
     return table.select(*kept, activity.alias("activity"))
 
 
-def with_judgements(rows: DataFrame, responses: DataFrame | None, params: ScreenParams) -> DataFrame:
+def with_judgements(
+    rows: DataFrame, responses: DataFrame | None, params: ScreenParams, gated: DataFrame | None = None
+) -> DataFrame:
     """Add ``refined`` projects, ``replaced``, ``judged`` and ``warnings``.
 
     Only eligible rows are refined, and only their responses are parsed, one for each document
-    (:func:`one_per_key`); ``replaced`` marks rows whose projects came from a judge.
+    (:func:`one_per_key`); ``replaced`` marks rows whose projects came from a judge. ``gated`` may give the eligible
+    rows before other joins.
     """
     if responses is None:
         return rows.withColumns({
@@ -132,7 +147,7 @@ def with_judgements(rows: DataFrame, responses: DataFrame | None, params: Screen
             "judged": F.lit(False),
             "warnings": F.array().cast("array<string>"),
         })
-    eligible = rows.filter("eligible").select("doc_id").distinct()
+    eligible = (rows if gated is None else gated).filter("eligible").select("doc_id").distinct()
     given = judgements(one_per_key(of_keys(responses, eligible, "doc_id"), "doc_id"), params.limits).drop("failure")
     joined = rows.join(given, "doc_id", "left")
     used = F.when(F.col("eligible"), F.col("judged_projects"))
@@ -211,22 +226,46 @@ def results(
 ) -> DataFrame:
     """Result rows before ranking."""
     chosen = first_in_path_order(docs, limit)
-    found = written(features(chosen, vocab, params), "features")
-    gated = with_gate(mark_duplicates(found, params.hot_rows))
-    enriched = with_judgements(with_activity(gated, found, activity, vocab, params), responses, params)
+    narrow = chosen.select("doc_id", "source_file", "filename", "content_hash")
+    later = written(later_copies(narrow, params.hot_rows), "later")
+    fresh = chosen.join(later.select("doc_id"), "doc_id", "left_anti")
+    found = written_by_key(features(fresh, vocab, params), "features", "doc_id")
+    return processed(found, vocab, params, activity, responses).unionByName(
+        processed(unfeatured(later, found), vocab, params, None, None)
+    )
+
+
+def unfeatured(later: DataFrame, found: DataFrame) -> DataFrame:
+    """Copies as rows of the features table, whose text was never looked at."""
+    given = {
+        "doc_id": F.col("doc_id"), "source_file": F.col("source_file"), "filename": F.col("filename"),
+        "content_hash": F.col("content_hash"), "parse_status": F.lit(DUPLICATE), "error": duplicate_of(F.col("first_name")),
+        "projects": F.array(), "has_text": F.lit(False), "has_python": F.lit(False), "has_ai": F.lit(False),
+    }
+    return later.select(*[
+        given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in found.schema
+    ])
+
+
+def processed(
+    found: DataFrame, vocab: Vocabulary, params: ScreenParams, activity: ActivityTables | None, responses: DataFrame | None
+) -> DataFrame:
+    """Result rows from feature rows."""
+    gated = with_gate(found)
+    enriched = with_judgements(with_activity(gated, found, activity, vocab, params), responses, params, gated)
     return with_result_columns(
         with_scores(enriched, vocab, params, refined=responses is not None), params
     )
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """The counters of a run, one row."""
+def counters() -> list[Column]:
+    """The counters of a run over its result rows."""
     status, state = F.col("parse_status"), F.col("github.status")
-    counts = rows.agg(
-        F.count("*").alias("total_resumes"),
+    return [
+        F.count(F.lit(1)).alias("total_resumes"),
         F.count_if(status == OK).alias("parsed_ok"),
         F.count_if(status.isin("failed", "empty")).alias("parse_failed"),
-        F.count_if(status == "duplicate").alias("duplicates_skipped"),
+        F.count_if(status == DUPLICATE).alias("duplicates_skipped"),
         F.count_if("eligible").alias("eligible"),
         F.count_if(~F.col("eligible")).alias("rejected"),
         F.coalesce(F.bool_or("llm_applied"), F.lit(False)).alias("llm_used"),
@@ -236,10 +275,21 @@ def summary(rows: DataFrame) -> DataFrame:
         F.count_if(state == "rate_limited").alias("github_tagged_rate_limited"),
         F.count_if(state == "error").alias("github_tagged_error"),
         F.count_if(state == "no_profile").alias("github_no_profile"),
-    )
-    return counts.withColumn(
-        "llm_skipped_by_gate", F.greatest(F.lit(0), F.col("parsed_ok") - F.col("eligible"))
-    )
+    ]
+
+
+def counted(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Write result rows, and the one row of their counters, which the writing tasks bring along.
+
+    The counters stand right above the write, so each row counts once, for the task that wrote it.
+    """
+    seen = Observation(name)
+    table = written(rows.observe(seen, *counters()), name)
+    found = seen.get
+    names = [f.strip() for f in SUMMARY.split(",")]
+    row = [found[n.split(" ")[0]] for n in names[:-1]]
+    skipped = max(0, found["parsed_ok"] - found["eligible"])
+    return table, rows.sparkSession.createDataFrame([(*row, skipped)], SUMMARY)
 
 
 def screen(
@@ -254,6 +304,5 @@ def screen(
     tables; of several rows with one key, one counts.
     """
     vocab = vocab or Vocabulary.standard()
-    scored = written(results(docs, vocab, params, activity, responses, limit), "scored")
-    placed = ranked(scored)
-    return Report(placed, summary(placed))
+    scored, summary = counted(results(docs, vocab, params, activity, responses, limit), "scored")
+    return Report(ranked(scored), summary)

@@ -57,3 +57,18 @@ def written(table: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def written_by_key(table: DataFrame, name: str, key: str) -> DataFrame:
+    """Write a table to the shared folder in buckets of ``key`` and read it back.
+
+    Joins and aggregations on the key then need no exchange of its rows. There are as many buckets as
+    shuffle partitions, so what joins it is dealt the same way. The table is registered in the session's
+    catalog under a name of its own.
+    """
+    spark = table.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{named}"
+    table.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(named)
+    return spark.table(named)

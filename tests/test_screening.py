@@ -180,3 +180,66 @@ def test_weights_aliases_and_vocabulary_are_parameters(spark, docs_of):
     assert (row.python_sum, row.cloud_sum, row.python_terms, row.cloud_terms) == (300, 70, ["Snake (project)"], ["Lake (project)"])
     plain = features(docs, vocab, ScreenParams()).collect()[0]
     assert (plain.python_sum, plain.cloud_sum) == (0, 0)
+
+
+def test_copies_leave_before_the_text_is_matched(spark, docs_of, tmp_path):
+    from plan_shape import exchanges, nodes
+
+    from evisift.operators.dedupe import later_copies
+    from evisift.plans.features import unit_hits
+    from evisift.vocabulary import Vocabulary
+
+    docs_of({"a.txt": AGENTIC, "b.txt": AGENTIC, "c.txt": WEB}).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    narrow = docs.select("doc_id", "source_file", "filename", "content_hash")
+    later = later_copies(narrow)
+    assert [(r.filename, r.first_name) for r in later.collect()] == [("b.txt", "a.txt")]
+    assert all("text" not in columns for _, columns in exchanges(later))
+    fresh = docs.join(later.select("doc_id"), "doc_id", "left_anti")
+    plan = [n.nodeName() + n.toString().split("\n")[0] for n in nodes(unit_hits(fresh, Vocabulary.standard(), ScreenParams()))]
+    anti = next(i for i, name in enumerate(plan) if "LeftAnti" in name)
+    explodes = [i for i, name in enumerate(plan) if name.startswith("Generate")]
+    # top down: texts are cut into units and tokens above the anti join only
+    assert explodes and all(i < anti for i in explodes)
+
+
+def test_a_copy_gets_no_features(spark, docs_of, monkeypatch):
+    from evisift.plans import screening
+
+    seen = []
+    real = screening.features
+    monkeypatch.setattr(screening, "features", lambda docs, *a: seen.append(docs) or real(docs, *a))
+    rows = by_file(screen(docs_of({"a.txt": AGENTIC, "b.txt": AGENTIC, "c.txt": AGENTIC, "w.txt": WEB})))
+    assert {r.filename for r in seen[0].collect()} == {"a.txt", "w.txt"}
+    assert [rows[n].parse_status for n in ("b.txt", "c.txt")] == ["duplicate", "duplicate"]
+    assert rows["c.txt"].rejection_reasons == ["Resume not processed (duplicate): duplicate of a.txt"]
+
+
+def test_the_wide_row_stays_in_its_bucket(spark, docs_of):
+    from plan_shape import exchanges
+
+    from evisift.plans.screening import results
+    from evisift.vocabulary import Vocabulary
+
+    tables = snapshots(spark, [("anasol", 404, None, None)])
+    responses = spark.createDataFrame([(0, JUDGED)], "doc_id long, response string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if every table were large
+    try:
+        rows = results(docs_of({"a.txt": AGENTIC, "b.txt": AGENTIC, "c.txt": WEB}), Vocabulary.standard(), ScreenParams(), tables, responses)
+        crossed = exchanges(rows)
+        assert rows.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert crossed and not any("projects" in columns or "python_terms" in columns for _, columns in crossed)
+
+
+def test_counters_come_with_the_write(spark, docs_of):
+    from plan_shape import nodes
+
+    report = screen(docs_of({"a.txt": AGENTIC, "b.txt": AGENTIC, "c.txt": WEB}))
+    row = report.summary.collect()[0]
+    assert (row.total_resumes, row.parsed_ok, row.duplicates_skipped, row.eligible, row.rejected, row.llm_used) == (3, 2, 1, 1, 2, False)
+    assert not [n for n in nodes(report.summary) if "FileScan" in n.toString() or n.nodeName() == "Exchange"]
+    empty = screen(docs_of({"a.txt": AGENTIC}).limit(0))
+    assert empty.results.collect() == [] and empty.summary.collect()[0].total_resumes == 0

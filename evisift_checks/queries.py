@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -17,8 +18,8 @@ from evisift.params import ScreenParams
 from evisift.plans import report as reports
 from evisift.plans import screening
 from evisift.plans.features import features
-from evisift.session import written
-from evisift.sources import files
+from evisift.session import shared_folder, written
+from evisift.sources import files, store
 from evisift.vocabulary import Vocabulary
 from evisift_checks import corpus
 from evisift_checks import oracle as o
@@ -213,6 +214,23 @@ def pending_requests(spark, sf_dir):
     return dedupe.pending(wanted, done, "username").select("username")
 
 
+@checked("rerun_requests", """
+    SELECT DISTINCT c.username, p.public_repos, p.username IS NULL AS pending_again
+    FROM contacts AS c LEFT JOIN (SELECT * FROM profiles WHERE http_status = 200) AS p USING (username)
+    WHERE c.username IS NOT NULL""", "contacts", "profiles")
+def rerun_requests(spark, sf_dir):
+    """Two runs on one store: the second asks only for what the first did not get."""
+    handles = applications(spark, sf_dir).select(fields.handle(F.col("text")).alias("username")).filter("username IS NOT NULL")
+    wanted = written(handles.distinct().withColumn("key", dedupe.payload_key("username")), "wanted")
+    kept = store.ResultStore(spark, f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}", "public_repos int")
+    answers = composed(spark, sf_dir, corpus.ACTIVITY_PROFILES)
+    first = kept.missing(wanted).join(answers, "username")
+    kept.append(dedupe.storable(first, F.col("http_status") == 200))
+    again = kept.missing(wanted).select("key", F.lit(True).alias("pending_again"))
+    found = wanted.join(kept.results(wanted), "key", "left").join(again, "key", "left")
+    return found.select("username", "public_repos", F.coalesce("pending_again", F.lit(False)).alias("pending_again"))
+
+
 # ---------------------------------------------------------------------------
 # Lines and sections
 # ---------------------------------------------------------------------------

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisift.llm.common import CHUNK_CHARS, chunked, packed, unpacked
+from evisift.llm.common import CHUNK_CHARS, chunked, give_back, packed, unpacked
 
 #: Characters of text whose keys share one bucket: with it a bucket stays at some MB.
 BUCKET_CHARS = 12_000_000
@@ -106,13 +106,18 @@ def ask_all(
                     for b in range(buckets)
                 ]
                 yield pa.RecordBatch.from_pydict({"bucket": list(range(buckets)), "chunk": [chunk] * buckets, "keys": keys}, schema=ASKED)
+                del sets, keys
+                give_back()
 
     def answer_bucket(asked: pa.Table) -> pa.Table:
         replies = answer([unpacked(x.as_py()) for x in asked.column("keys")])
-        return pa.table({
+        out = pa.table({
             "bucket": asked.column("bucket"), "chunk": asked.column("chunk"),
             "keys": pa.array([packed(**x) for x in replies], pa.binary()),
         }, schema=ASKED)
+        del replies
+        give_back()
+        return out
 
     def finish_chunk(bodies: pa.Table, replies: pa.Table) -> pa.Table:
         if bodies.num_rows != 1 or replies.num_rows != buckets:
@@ -128,7 +133,9 @@ def ask_all(
             out[order] = got
             return out
 
-        return pa.Table.from_batches([finish(body, reply)])
+        out = pa.Table.from_batches([finish(body, reply)])
+        give_back()
+        return out
 
     chunks = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -12,6 +12,7 @@ with a chance of about n * n / 2**65 over n distinct ones.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Iterator
 
@@ -29,6 +30,9 @@ SHINGLE_WORDS = 5
 #: Similarity from which texts and passages are near duplicates, as percent.
 SIMILAR_PERCENT = 75
 
+#: The C library's call that returns free memory, where there is one.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words as runs between ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -57,10 +61,19 @@ def chunked(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int =
                 held.append(batch.slice(start, row + 1 - start))
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size, start = [], 0, row + 1
+                give_back()
         if start < batch.num_rows:
             held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+        give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the machine: a Python worker lives on after its task, with other workers beside it."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
 
 
 def one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:

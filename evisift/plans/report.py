@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evisift.functions.text import clip_words
 from evisift.operators.scoring import CATEGORIES
 from evisift.plans.screening import Report
+from evisift.sources import ordered
 
 REJECTED_SKILLS = 10
 TOP_REASONS = 3
@@ -89,23 +90,29 @@ def rejected(results: DataFrame) -> DataFrame:
 
 
 def top_reasons(results: DataFrame, top: int = 5) -> DataFrame:
-    """Why the first documents stand where they stand: depth reasons and penalties."""
+    """Why the first documents stand where they stand: activity (NULL where there is nothing to say), depth reasons and penalties."""
     rationale = F.col("score_breakdown")["rationale"]
     penalties = F.filter(rationale["penalties"], lambda r: ~r.contains(NO_PENALTIES))
     return results.filter("eligible").orderBy("rank").limit(top).select(
         "rank", "candidate_name", "total_score",
         clip_words(F.col("project_summary"), 240).alias("project"),
+        F.when(F.length("github_summary") > 0, F.col("github_summary")).alias("activity"),
         F.slice(rationale["ai_project_depth"], 1, TOP_REASONS).alias("reasons"),
         penalties.alias("penalties"),
     )
 
 
 def write_json(report: Report, folder: str) -> None:
-    """Nested results and the summary as JSON datasets."""
-    report.results.drop("total_hundredths").write.mode("overwrite").json(f"{folder}/candidates", ignoreNullFields=False)
+    """Nested results, in files whose order is that of the ranks, and the summary as JSON datasets."""
+    ordered.write(report.results.drop("total_hundredths"), f"{folder}/candidates")
     report.summary.write.mode("overwrite").json(f"{folder}/summary")
 
 
+def read_json(spark: SparkSession, folder: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """What :func:`write_json` wrote, checked against its manifest; from position ``first`` to ``last`` only, where given."""
+    return ordered.read(spark, f"{folder}/candidates", first, last)
+
+
 def write_csv(report: Report, folder: str) -> None:
     """The flat table in output order, NULL as blank."""
     in_order(flat(report.results)).write.mode("overwrite").csv(folder, header=True, nullValue="", escape='"')

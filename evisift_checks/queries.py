@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evisift.functions.points import as_points
@@ -19,7 +19,7 @@ from evisift.plans import report as reports
 from evisift.plans import screening
 from evisift.plans.features import features
 from evisift.session import shared_folder, written
-from evisift.sources import files, store
+from evisift.sources import files, landed, ordered, store
 from evisift.vocabulary import Vocabulary
 from evisift_checks import corpus
 from evisift_checks import oracle as o
@@ -794,6 +794,73 @@ def output_order(spark, sf_dir):
     return results(spark, sf_dir).select("doc_id", "position", "candidate_name", "source_file")
 
 
+@checked("json_report", """
+    SELECT doc_id, position, rank, candidate_name, CASE WHEN is_eligible THEN total / 100.0 END AS total_score,
+           array_to_string(rejection_reasons, ' | ') AS rejection_reasons, parse_status, true AS in_place FROM ranked""", "ranked")
+def json_report(spark, sf_dir):
+    """Written as files in rank order, read back by the manifest; ``in_place``: the row stands where its position says."""
+    folder = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    reports.write_json(run(spark, sf_dir), folder)
+    files_of = ordered.manifest(spark, f"{folder}/candidates")
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    lines = spark.read.text(f"{folder}/candidates").select(
+        name.alias("file"), F.monotonically_increasing_id().alias("at"),
+        F.get_json_object("value", "$.position").cast("long").alias("told"),
+    )
+    # a file holds one range of positions: its lines are numbered on their own
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+    placed = lines.withColumn("nth", nth).join(F.broadcast(files_of), "file").select(
+        F.col("told").alias("position"), (F.col("told") == F.col("first") + F.col("nth") - 1).alias("in_place")
+    )
+    back = reports.read_json(spark, folder).select(
+        "doc_id", "position", "rank", "candidate_name", "total_score",
+        joined("rejection_reasons").alias("rejection_reasons"), "parse_status",
+    )
+    return back.join(placed, "position")
+
+
+_LANDED = """
+    SELECT kind, coalesce(fault, 'sound') AS fault, count(*) AS n, count(DISTINCT CASE WHEN fault IS NULL THEN username END) AS users,
+           sum(CASE WHEN fault IS NULL THEN amount ELSE 0 END) AS amount
+    FROM (
+      SELECT 'profiles' AS kind, username, public_repos AS amount, http_status = 404 AS mistyped FROM profiles UNION ALL
+      SELECT 'events', username, CASE WHEN created_at IS NULL THEN 0 ELSE 1 END, false FROM event_lines UNION ALL
+      SELECT 'repos', username, CASE WHEN fork THEN 1 ELSE 0 END, false FROM repo_lines
+    ) AS r, LATERAL (SELECT CASE WHEN ascii(right(username, 1)) % 5 = 0 OR mistyped THEN 'unreadable line'
+                                 WHEN ascii(right(username, 1)) % 5 = 1 THEN 'no key' END AS fault) AS f
+    GROUP BY ALL"""
+o.cte("event_lines", corpus.duckdb_sql(corpus.ACTIVITY_EVENTS))
+o.cte("repo_lines", corpus.duckdb_sql(corpus.ACTIVITY_REPOS))
+
+
+@checked("landed_round_trip", _LANDED, "profiles", "event_lines", "repo_lines")
+def landed_round_trip(spark, sf_dir):
+    """Snapshots written as lines, some of them spoilt, then landed: what is sound, and what went to quarantine."""
+    folder = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    told = []
+    amounts = {
+        "profiles": F.col("public_repos"), "events": F.col("created_at").isNotNull().cast("int"), "repos": F.col("fork").cast("int"),
+    }
+    inputs = {"profiles": corpus.ACTIVITY_PROFILES, "events": corpus.ACTIVITY_EVENTS, "repos": corpus.ACTIVITY_REPOS}
+    for kind in (landed.PROFILES, landed.EVENTS, landed.REPOS):
+        rows = composed(spark, sf_dir, inputs[kind.name])
+        spoil = F.ascii(F.right("username", F.lit(1))) % 5
+        line = F.regexp_replace(F.to_json(F.struct("*")), '"http_status":404', '"http_status":"gone"')
+        cut = F.left("line", F.length("line") - 3)
+        keyless = F.regexp_replace("line", '"username":"[^"]*",?', "")
+        spoilt = F.when(spoil == 0, cut).when(spoil == 1, keyless).otherwise(F.col("line"))
+        rows.withColumn("line", line).select(spoilt.alias("value")).write.text(f"{folder}/{kind.name}")
+        good = landed.land(spark, f"{folder}/{kind.name}", kind, f"{folder}/quarantine")
+        told.append(good.agg(
+            F.lit(kind.name).alias("kind"), F.lit("sound").alias("fault"), F.count("*").alias("n"),
+            F.count_distinct("username").alias("users"), F.sum(amounts[kind.name]).alias("amount"),
+        ))
+    set_aside = landed.quarantined(spark, f"{folder}/quarantine").groupBy("kind", "fault").agg(
+        F.count("*").alias("n"), F.lit(0).cast("long").alias("users"), F.lit(0).cast("long").alias("amount")
+    )
+    return told[0].union(told[1]).union(told[2]).union(set_aside)
+
+
 @checked("ranked_and_rejected", """
     SELECT 'ranked' AS part, doc_id, rank FROM ranked WHERE is_eligible UNION ALL SELECT 'rejected', doc_id, NULL FROM ranked WHERE NOT is_eligible""", "ranked")
 def ranked_and_rejected(spark, sf_dir):
@@ -881,6 +948,7 @@ def rejected(spark, sf_dir):
 @checked("top_reasons", f"""
     SELECT r.rank, r.candidate_name, r.total / 100.0 AS total_score, array_to_string(ai_reasons[1:3], ' | ') AS reasons,
            array_to_string(list_filter(pen_reasons, lambda p: NOT contains(p, 'No project-quality')), ' | ') AS penalties,
+           CASE WHEN gh_summary <> '' THEN gh_summary END AS activity,
            CASE WHEN length(told) <= 240 THEN told ELSE concat(regexp_replace(left(told, 240), ' [^ ]*$', ''), '…') END AS project
     FROM (SELECT k.*, {o.squeeze(o.SUMMARY)} AS told FROM ranked AS k LEFT JOIN refined_summary AS s USING (doc_id) WHERE k.rank <= 5) AS r""",
     "ranked", "refined_summary")

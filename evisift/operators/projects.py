@@ -6,7 +6,7 @@ on a table of projects or inside an array of them.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from evisift.functions.points import half_up
 from evisift.functions.text import any_of, escape, let, squeeze, strip, word_count
-from evisift.operators.matching import any_term, match_rows, skill_list
+from evisift.operators.matching import match_rows, skill_list
 from evisift.operators.sections import SECTION_ALIASES, with_line_sections
+from evisift.operators.signals import PHRASE, TERM, SignalTable
 from evisift.params import Limits, Penalties, Thresholds
 from evisift.vocabulary import Vocabulary
 
@@ -38,6 +39,8 @@ TUTORIAL_MARKERS = ["tutorial", "follow-along", "follow along", "clone of", "fro
 
 MODEL_TERMS = ["LLM", "OpenAI API", "Anthropic", "Gemini", "Hugging Face", "Fine-tuning",
                "LangChain", "LlamaIndex", "MCP", "Prompt Engineering", "DSPy"]
+#: What a table calls the forms that name a model.
+MODEL = "mentions_model"
 
 
 @dataclass(frozen=True)
@@ -200,18 +203,26 @@ def project_text(project: Column) -> Column:
     )
 
 
-def signals(text: Column, vocab: Vocabulary) -> Column:
-    """The struct of signals a project's text shows."""
-    def shown(lowered: Column) -> Column:
-        def shows(signal: Signal) -> Column:
-            by_phrase = lowered.rlike("|".join(map(escape, signal.phrases)))
-            if not signal.terms:
-                return by_phrase
-            return by_phrase | any_term(lowered, vocab, signal.terms, signal.groups)
+def standard_signals(vocab: Vocabulary) -> SignalTable:
+    """The fixed signals above as rows: surface forms of their terms, phrases, and the two marks that are no signals."""
+    def rows():
+        for s in SIGNALS:
+            yield from ((s.name, TERM, form) for form in vocab.surfaces(s.terms, s.groups))
+            yield from ((s.name, PHRASE, form) for form in s.phrases)
+        yield from ((MODEL, TERM, form) for form in vocab.surfaces(MODEL_TERMS, ("ai",)))
 
-        return F.struct(*[shows(s).alias(s.name) for s in SIGNALS])
+    return SignalTable.of(rows())
 
-    return let(F.lower(text), shown)
+
+def signals(text: Column, table: SignalTable | Vocabulary) -> Column:
+    """The struct of signals a project's text shows, and ``mentions_model``; the text is looked through once for all."""
+    table = standard_signals(table) if isinstance(table, Vocabulary) else table
+
+    def told(found: Column) -> Column:
+        names = [s.name for s in SIGNALS] + [MODEL]
+        return F.struct(*[table.shows(found, name).alias(name) for name in names])
+
+    return let(F.lower(text), lambda lowered: let(table.found(lowered), told))
 
 
 def signal_count(found: Column) -> Column:
@@ -238,16 +249,12 @@ def estimated_quality(found: Column) -> Column:
     return F.least(score, most).cast("long") * HUNDREDTH
 
 
-def mentions_model(text: Column, vocab: Vocabulary) -> Column:
-    return any_term(text, vocab, MODEL_TERMS, ("ai",))
-
-
-def tutorial_label(project: Column, detail_words: int) -> Column:
+def tutorial_label(project: Column, detail_words: int, markers: Sequence[str] = tuple(TUTORIAL_MARKERS)) -> Column:
     """Why a project counts as a tutorial or undetailed, or NULL."""
     told = F.lower(F.concat_ws(" ", project["name"], project["description"]))
     return (
         F.when(project["is_tutorial"], F.lit("tutorial/boilerplate"))
-        .when(told.rlike("|".join(map(escape, TUTORIAL_MARKERS))), F.lit("tutorial-style"))
+        .when(told.rlike("|".join(map(escape, markers)) or "(?!)"), F.lit("tutorial-style"))
         .when(
             word_count(project["description"]) < detail_words,
             F.lit("listed without implementation detail"),
@@ -262,28 +269,31 @@ def thin_deduction(quality: Column, penalties: Penalties) -> Column:
     return F.lit(penalties.thin_min * QUALITY_UNIT) + F.lit(span * QUALITY_UNIT) - half_up(within * span, 10)
 
 
-def assessed(project: Column, vocab: Vocabulary, penalties: Penalties) -> Column:
+def assessed(
+    project: Column, table: SignalTable, penalties: Penalties, markers: Sequence[str] = tuple(TUTORIAL_MARKERS)
+) -> Column:
     """A project with its signals, quality, thinness and tutorial label.
 
     A judged project (``quality_score`` present) keeps the judge's signals and score.
     """
     judged = project["quality_score"].isNotNull()
 
-    def of_text(text: Column) -> Column:
+    def of_text(shown: Column) -> Column:
+        names = [s.name for s in SIGNALS]
         own = F.when(judged, project["signals"].cast(SIGNAL_TYPE)).otherwise(
-            signals(text, vocab).cast(SIGNAL_TYPE)
+            F.struct(*[shown[name].alias(name) for name in names]).cast(SIGNAL_TYPE)
         )
         return F.struct(
             project["name"].alias("name"),
             project["quality_rationale"].alias("quality_rationale"),
             F.round(project["quality_score"] * QUALITY_UNIT).cast("long").alias("judged_quality"),
             own.alias("signals"),
-            mentions_model(text, vocab).alias("mentions_model"),
+            shown[MODEL].alias(MODEL),
             F.coalesce(project["is_thin_wrapper"], F.lit(False)).alias("is_thin_wrapper"),
-            tutorial_label(project, penalties.detail_words).alias("tutorial_label"),
+            tutorial_label(project, penalties.detail_words, markers).alias("tutorial_label"),
         )
 
-    return let(project_text(project), of_text)
+    return let(signals(project_text(project), table), of_text)
 
 
 def graded(project: Column) -> Column:
@@ -304,11 +314,17 @@ def graded(project: Column) -> Column:
 def with_graded_projects(
     rows: DataFrame, vocab: Vocabulary, penalties: Penalties = Penalties(),
     projects: str = "projects", into: str = "graded",
+    table: SignalTable | None = None, markers: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add the graded AI projects of each row, in order."""
+    """Add the graded AI projects of each row, in order.
+
+    ``table`` and ``markers`` take the place of the fixed signals and tutorial markers; the signals keep their names.
+    """
+    table = standard_signals(vocab) if table is None else table
+    markers = TUTORIAL_MARKERS if markers is None else markers
     ai_only = F.filter(projects, lambda p: p["domain"].isin(AI_DOMAINS))
     assessed_rows = rows.withColumn(
-        "_assessed", F.transform(ai_only, lambda p: assessed(p, vocab, penalties))
+        "_assessed", F.transform(ai_only, lambda p: assessed(p, table, penalties, markers))
     )
     return assessed_rows.withColumn(into, F.transform("_assessed", graded)).drop("_assessed")
 

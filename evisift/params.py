@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, fields
 from datetime import datetime
 
+from evisift.operators.signals import SignalTable
 from evisift.vocabulary import CLOUD_FULLSTACK_TENTHS, PYTHON_BACKEND_TENTHS
 
 
@@ -99,3 +100,6 @@ class ScreenParams:
     # its few partner rows, so it never meets in a single task. The number of such
     # keys is at most rows / hot_rows.
     hot_rows: int = 1_000_000
+    # Forms that show a project's signals, and markers of tutorials; None for the fixed ones.
+    signals: SignalTable | None = None
+    tutorial_markers: tuple[str, ...] | None = None

@@ -24,7 +24,7 @@ from evisift.operators.gate import OK, rejection_reasons, unprocessed_reason
 from evisift.operators.joins import balanced_left_join, hot_keys
 from evisift.operators.judgements import PROJECT_TYPE, judgements, refined_projects
 from evisift.operators.landed_keys import of_keys, one_per_key
-from evisift.operators.projects import project_summary, with_graded_projects
+from evisift.operators.projects import MODEL_TERMS, SIGNALS, project_summary, with_graded_projects
 from evisift.operators.ranking import first_in_path_order, ranked
 from evisift.operators.scoring import concerns, points, strengths, with_breakdown
 from evisift.params import ScreenParams
@@ -168,7 +168,9 @@ def with_scores(rows: DataFrame, vocab: Vocabulary, params: ScreenParams, refine
 
     def graded(table: DataFrame, wanted: Column, source: str, into: str) -> DataFrame:
         chosen = table.withColumn("_chosen", F.when(wanted, F.col(source)).otherwise(none))
-        return with_graded_projects(chosen, vocab, params.penalties, "_chosen", into).drop("_chosen")
+        return with_graded_projects(
+            chosen, vocab, params.penalties, "_chosen", into, params.signals, params.tutorial_markers
+        ).drop("_chosen")
 
     rough = graded(rows, F.col("eligible"), "projects", "_rough")
     scored = with_breakdown(rough, params, "_rough", "baseline")
@@ -220,7 +222,7 @@ def with_result_columns(rows: DataFrame, params: ScreenParams) -> DataFrame:
 
 
 def results(
-    docs: DataFrame, vocab: Vocabulary, params: ScreenParams = ScreenParams(),
+    docs: DataFrame, vocab: Vocabulary | DataFrame, params: ScreenParams = ScreenParams(),
     activity: ActivityTables | None = None, responses: DataFrame | None = None,
     limit: int | None = None,
 ) -> DataFrame:
@@ -230,11 +232,21 @@ def results(
     later = written(later_copies(narrow, params.hot_rows), "later")
     fresh = chosen.join(later.select("doc_id"), "doc_id", "left_anti")
     found = written_by_key(features(fresh, vocab, params), "features", "doc_id")
-    return processed(found, vocab, params, activity, responses).unionByName(
-        processed(unfeatured(later, found), vocab, params, None, None)
+    known = named_terms(vocab)
+    return processed(found, known, params, activity, responses).unionByName(
+        processed(unfeatured(later, found), known, params, None, None)
     )
 
 
+def named_terms(vocab: Vocabulary | DataFrame) -> Vocabulary:
+    """The terms that later steps ask for by name or tier; of a vocabulary table, only these become an object."""
+    if isinstance(vocab, Vocabulary):
+        return vocab
+    names = {t for s in SIGNALS for t in s.terms} | set(MODEL_TERMS)
+    core = (F.col("grp") == "ai") & (F.col("tier") == "core")
+    return Vocabulary.from_table(vocab.filter(core | F.col("canonical").isin(sorted(names))))
+
+
 def unfeatured(later: DataFrame, found: DataFrame) -> DataFrame:
     """Copies as rows of the features table, whose text was never looked at."""
     given = {
@@ -293,7 +305,7 @@ def counted(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 
 
 def screen(
-    docs: DataFrame, vocab: Vocabulary | None = None, params: ScreenParams = ScreenParams(),
+    docs: DataFrame, vocab: Vocabulary | DataFrame | None = None, params: ScreenParams = ScreenParams(),
     activity: ActivityTables | None = None, responses: DataFrame | None = None,
     limit: int | None = None,
 ) -> Report:
@@ -301,8 +313,8 @@ def screen(
 
     ``docs`` is the table of :func:`evisift.sources.files.documents`, one row per
     ``doc_id``. ``activity`` and ``responses`` (``doc_id, response``) are optional landed
-    tables; of several rows with one key, one counts.
+    tables; of several rows with one key, one counts. ``vocab`` may be an object or a table of any size.
     """
-    vocab = vocab or Vocabulary.standard()
+    vocab = Vocabulary.standard() if vocab is None else vocab
     scored, summary = counted(results(docs, vocab, params, activity, responses, limit), "scored")
     return Report(ranked(scored), summary)

@@ -14,6 +14,7 @@ from evisift.functions.text import SPACE_CLASS, clean, clip_words, quality_hundr
 from evisift.operators import activity as act
 from evisift.operators import dedupe, fields, judgements, matching, projects, ranking, scoring, sections
 from evisift.operators import gate as gates
+from evisift.operators import signals as sig
 from evisift.params import ScreenParams
 from evisift.plans import report as reports
 from evisift.plans import screening
@@ -494,11 +495,38 @@ _SIGNALS = ", ".join(o.SIGNAL_NAMES)
 def project_signals(spark, sf_dir):
     found = projects.projects(applications(spark, sf_dir), STANDARD).filter(F.col("domain").isin(projects.AI_DOMAINS))
     text = projects.project_text(F.struct("name", "description", "technologies"))
-    told = found.select("doc_id", "project_no", text.alias("told")).withColumns({
-        "signals": projects.signals(F.col("told"), STANDARD),
-        "mentions_model": projects.mentions_model(F.col("told"), STANDARD),
-    })
-    return told.select("doc_id", "project_no", "signals.*", projects.signal_count(F.col("signals")).alias("signal_count"), "mentions_model")
+    told = found.select("doc_id", "project_no", projects.signals(text, STANDARD).alias("signals"))
+    return told.select("doc_id", "project_no", "signals.*", projects.signal_count(F.col("signals")).alias("signal_count"))
+
+
+# another table: forms that share beginnings, stand inside each other, or differ by a hyphen
+OTHER_SIGNALS = [
+    ("licensing", "term", "license"), ("licensing", "term", "licensed under"), ("licensing", "phrase", "copyright"),
+    ("articles", "term", "the"), ("articles", "term", "the of"), ("articles", "phrase", "th"), ("hyphen", "term", "re-use"),
+    ("hyphen", "term", "re use"), ("ending", "phrase", "tion"), ("ending", "phrase", "tions"), ("french", "term", "le"),
+    ("french", "term", "de la"), ("contact", "phrase", "@"), ("contact", "phrase", "http"), ("contact", "phrase", "https"),
+]
+
+
+def _shows(kind: str, form: str) -> str:
+    if kind == "phrase":
+        return f"contains(lower(text), '{form}')"
+    return f"regexp_matches(lower(text), '{o.bounded(form)}')"
+
+
+_OTHER = ", ".join(
+    "(" + " OR ".join(_shows(k, f) for n, k, f in OTHER_SIGNALS if n == name) + f") AS {name}"
+    for name in dict.fromkeys(n for n, _, _ in OTHER_SIGNALS)
+)
+
+
+@checked("text_signals", f"SELECT doc_id, {_OTHER} FROM documents")
+def text_signals(spark, sf_dir):
+    """Signals of another table, handed over as a table, in whole documents."""
+    listed = spark.createDataFrame(OTHER_SIGNALS, "signal string, kind string, form string")
+    wanted = sig.SignalTable.from_table(listed)
+    found = documents(spark, sf_dir).select("doc_id", wanted.found(F.lower("text")).alias("found"))
+    return found.select("doc_id", *[wanted.shows(F.col("found"), name).alias(name) for name in sorted(wanted.names())])
 
 
 @checked("project_quality", """

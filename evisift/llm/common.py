@@ -44,6 +44,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one if a column has it already, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_partners(rows: DataFrame, partners: DataFrame, keys: list[str], copies: str, share: int = 10_000) -> DataFrame:
+    """``rows`` LEFT JOIN ``partners``, which have each combination of ``keys`` once, with its number of rows in ``copies``.
+
+    Both are written tables. Combinations of more than 1 / ``share`` of all rows are at most ``share`` and are broadcast;
+    the others meet in a shuffled join, in which none of them is larger than that.
+    """
+    most = max(1, rows.count() // share)
+    others = [c for c in partners.columns if c not in keys and c != copies]
+    hot = partners.filter(F.col(copies) > most).select(*keys, F.struct(*others).alias("_hot"))
+    cold = partners.filter(F.col(copies) <= most).select(*keys, *others)
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    met = marked.filter("_hot IS NOT NULL").select(*rows.columns, "_hot.*")
+    return met.unionByName(marked.filter("_hot IS NULL").select(*rows.columns).join(cold, keys, "left"))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to lower case, and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

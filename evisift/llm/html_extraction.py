@@ -16,13 +16,16 @@ usually are. Each node's label is known from its making.
 Defined results: null and empty html have no text; scripts, styles, comments and markup never
 appear; of an unclosed button, select, object, svg, template or noscript what comes before the next
 block element is lost, of an unclosed script, style, textarea, title or iframe the rest of the page; other unclosed and stray tags are repaired the way browsers do for paragraphs, lists and
-table cells; equal pages get equal texts; other columns are ignored.
+table cells; equal pages get equal texts, repeated rows a row each; other columns are ignored, whatever their names.
+Very long pages, and pages of unclosed tags, quotes or comments, take time in proportion to their length; marks of training pages mean
+nothing on given ones.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -88,43 +91,106 @@ def part_of(word: str) -> int:
     return found if found >= 0 else next((i for stem, i in STEMS if word.startswith(stem)), -1)
 
 
+class OpenElements:
+    """The open elements of a page, with counts, so that no question about them walks through them.
+
+    ``since_scope`` counts the elements opened since the innermost of SCOPE, ``since_block`` the inline ones since the innermost
+    block.
+    """
+
+    __slots__ = ("stack", "opened", "scopes", "blocks", "links")
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []  # inline elements carry their block's number
+        self.opened: Counter = Counter()
+        self.scopes: list[Counter] = [Counter()]
+        self.blocks: list[Counter] = [Counter()]
+        self.links = 0
+        self.push("html", 0)
+
+    def push(self, tag: str, node: int) -> None:
+        self.stack.append((tag, node))
+        self.opened[tag] += 1
+        self.scopes[-1][tag] += 1
+        if tag in SCOPE:
+            self.scopes.append(Counter())
+        if tag in INLINE:
+            self.blocks[-1][tag] += 1
+        else:
+            self.blocks.append(Counter())
+        self.links += tag == "a"
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        self.opened[tag] -= 1
+        if tag in SCOPE:
+            self.scopes.pop()
+        self.scopes[-1][tag] -= 1
+        if tag in INLINE:
+            self.blocks[-1][tag] -= 1
+        else:
+            self.blocks.pop()
+        self.links -= tag == "a"
+        return tag
+
+    def node(self) -> int:
+        return self.stack[-1][1]
+
+    def end(self, tag: str) -> bool:
+        """Close the innermost ``tag`` and what is open inside it; a stray end closes nothing."""
+        if not self.opened[tag] or (tag in INLINE and not self.blocks[-1][tag]):
+            return False
+        while self.pop() != tag:
+            pass
+        if not self.stack:
+            self.push("html", 0)
+        return True
+
+    def end_before(self, tag: str) -> None:
+        """Close what the start of a block ends: open paragraphs, and elements of its like, up to the innermost of SCOPE."""
+        ended = ENDS.get(tag, ())
+        since = self.scopes[-1]
+        while since["p"] or any(since[t] for t in ended):
+            self.pop()
+
+
 class Page:
-    """Block elements of a page in document order, and its texts with the element each belongs to."""
+    """Block elements of a page in document order, and its texts with the element each belongs to.
+
+    The time is in proportion to the page, whatever it holds. ``made`` pages are those for training, whose elements
+    say what they are; a given page's attributes are never read for that.
+    """
 
-    __slots__ = ("tags", "parents", "parts", "label", "pieces", "links", "inline")
+    __slots__ = ("tags", "parents", "parts", "label", "pieces", "links", "inline", "made")
 
-    def __init__(self, html: str | None):
+    def __init__(self, html: str | None, made: bool = False):
         self.tags, self.parents, self.parts, self.label = ["html"], [-1], [0], [""]
         self.pieces: list[tuple[int, str]] = []
         self.links, self.inline = [0], [0]
+        self.made = made
         self.parse(html or "")
 
     def parse(self, html: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones carry their block's number
-        node, at, link, size = 0, 0, 0, len(html)
+        opened = OpenElements()
+        node, at = 0, 0
+        size = html.rfind(">") + 1  # no tag ends behind it, so every tag that begins before it has an end
         pieces = self.pieces
         unclosed: set[str] = set()  # no end tag is left on the page
-        for m in iter(lambda: TOKEN.search(html, at), None):
+        for m in iter(lambda: TOKEN.search(html, at, size), None):
             if m.start() > at:
-                self.text(node, html[at : m.start()], link)
+                self.text(node, html[at : m.start()], opened.links)
             at = m.end()
             tag = m.group(2)
             if tag is None:
+                if m.group().startswith("<!--") and not m.group().endswith("-->"):
+                    return  # a comment to the end of the page
                 continue
             tag = tag.lower()
             if m.group(1):
-                if tag in ("html", "body") or not any(t == tag for t, _ in stack):
-                    continue
-                if tag in INLINE and next(t for t, _ in reversed(stack) if t == tag or t not in INLINE) != tag:
-                    continue  # a stray end inside another block
-                while stack[-1][0] != tag:
-                    link -= stack.pop()[0] == "a"
-                link -= stack.pop()[0] == "a"
-                if tag not in INLINE:
-                    pieces.append((-1, ""))
-                node = stack[-1][1] if stack else 0
-                if not stack:
-                    stack = [("html", 0)]
+                if tag not in ("html", "body") and opened.end(tag):
+                    if tag not in INLINE:
+                        pieces.append((-1, ""))
+                    node = opened.node()
                 continue
             if tag in RAW:
                 kind = f"</?{tag}" if tag in NOT_NESTED else f"</{tag}"
@@ -139,9 +205,9 @@ class Page:
                     continue
                 if end < 0 and tag not in TO_END:
                     block = BLOCK_TAG.search(html, at)
-                    at = block.start() if block else size
+                    at = block.start() if block else len(html)
                     continue
-                at = close + 1 if close >= 0 else size
+                at = close + 1 if close >= 0 else len(html)
                 continue
             if tag == "html":
                 continue
@@ -149,19 +215,11 @@ class Page:
                 self.inline[node] += 1
                 if tag == "br":
                     pieces.append((node, " "))
-                elif tag not in VOID and not m.group(3).endswith("/"):
-                    stack.append((tag, node))
-                    link += tag == "a"
+                elif tag not in VOID:  # a slash at the end of a start tag closes nothing, as in browsers
+                    opened.push(tag, node)
                 continue
-            # a block: it ends an open paragraph, and some end their like
-            ended = ENDS.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" or stack[k][0] in ended:
-                    link -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                elif stack[k][0] in SCOPE:
-                    break
-            node = stack[-1][1]
+            opened.end_before(tag)
+            node = opened.node()
             pieces.append((-1, ""))
             number = len(self.tags)
             parts, label = 0, ""
@@ -171,7 +229,7 @@ class Page:
                         found = part_of(word.lower())
                         if found >= 0:
                             parts |= 1 << found
-                if "data-made" in m.group(3):
+                if self.made and "data-made=" in m.group(3):
                     label = m.group(3).split("data-made=")[1][0]
             self.tags.append(tag)
             self.parents.append(node)
@@ -179,11 +237,12 @@ class Page:
             self.label.append(label)
             self.links.append(0)
             self.inline.append(0)
-            if tag not in VOID and not (m.group(3) or "").endswith("/"):
-                stack.append((tag, number))
+            if tag not in VOID:
+                opened.push(tag, number)
                 node = number
-        if at < size:
-            self.text(node, html[at:], link)
+        rest = html[at:].split("<!--", 1)[0]
+        if rest:
+            self.text(node, rest, opened.links)
 
     def text(self, node: int, raw: str, link: int) -> None:
         if link > 0:
@@ -419,16 +478,26 @@ class Boosted:
         return out
 
 
+def lines_of_some(pages: DataFrame, train_pages: int) -> list[list[str]]:
+    """Lines of at most about ``train_pages`` pages, taken by a hash: no more than 200 of 2,000 characters of each reach the driver."""
+    share = min(1.0, train_pages / max(pages.count(), 1))
+    bound = min(2**63 - 1, int((share - 0.5) * 2**64))  # of 64-bit hashes, so that no share rounds to none
+    chosen = pages.filter(F.xxhash64("url", "page_id") <= bound).select("page_id", "url", "html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunked(batches, text="html", chars=1_000_000):
+            lines = []
+            for html in part.column("html").to_pylist():
+                page = Page(html)
+                lines.append([x for x in page.main_text(np.ones(len(page.tags), bool)).split("\n") if len(x) < 2_000][:200])
+            yield pa.RecordBatch.from_pydict({"lines": lines}, schema=pa.schema([("lines", pa.list_(pa.string()))]))
+
+    return sorted(r["lines"] for r in chosen.mapInArrow(run, "lines array<string>").collect())
+
+
 def train(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Boosted:
     """Trees fitted on layouts made from the lines of at most about ``train_pages`` pages."""
-    total = pages.count()
-    share = min(1.0, train_pages / max(total, 1))
-    picked = pages.filter(F.pmod(F.xxhash64("url", "page_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("html").collect()
-    texts = []
-    for (html,) in sorted(picked, key=lambda r: r[0] or ""):
-        page = Page(html)
-        texts.append([x for x in page.main_text(np.ones(len(page.tags), bool)).split("\n") if len(x) < 2_000][:200])
-    made = [Page(html) for html in training_pages(texts)]
+    made = [Page(html, made=True) for html in training_pages(lines_of_some(pages, train_pages))]
     x = np.concatenate([p.features() for p in made])
     label = np.concatenate([np.array(p.label) for p in made])
     return Boosted(x[label != ""], (label[label != ""] == "1").astype(float))

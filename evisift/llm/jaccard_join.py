@@ -25,9 +25,10 @@ A region of more than ``block`` texts is dealt into pairs of blocks, one task ea
 task holds an unbounded region; none of it is dropped.
 
 Defined results: texts without words (or null) link with nothing; with fewer than 5 words the
-whole sequence is the one shingle; repeated rows of a doc_id count as one document if
-their texts are equal (the result has a row for each); a row with a null doc_id has the component
-of the texts with the same set of shingles, else a null one, and links no others.
+whole sequence is the one shingle. The result has a row for every row. An id may have several texts: each links for itself
+and has the smallest id of the texts it is linked with, its own included. A row with a null doc_id has the component
+of the texts with the same set of shingles, else a null one, and links no others. Other columns are ignored, whatever their
+names. A very long text is a chunk of its own.
 """
 
 from __future__ import annotations
@@ -36,25 +37,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisift.llm import chunks
 from evisift.llm.chunks import Arrays
-from evisift.llm.common import SIMILAR_PERCENT, mixed, packed, spaced_words, text_shingles, unpacked, word_hashes
+from evisift.llm.common import (
+    SIMILAR_PERCENT, free_name, mixed, one_array, packed, spaced_words, text_shingles, unpacked, with_partners, word_hashes,
+)
 from evisift.llm.components import components
 from evisift.session import written
 
 #: Hash functions whose smallest shingles make regions.
 PIVOT_FUNCTIONS = 4
+#: Shingles that one bucket counts, and about how many a message's sender holds.
+BUCKET_SHINGLES, PORTION_SHINGLES = 1_000_000, 400_000
 #: Most texts of a region in one task, before it is dealt into blocks.
 BLOCK = 2_000
 #: Pairs across components for each text of a block, up to which a region compares single pairs.
 PAIRS_PER_TEXT = 10
 
-SETS = "doc_id long, n_shingles long, set_a long, set_b long, shingles array<long>, anchors array<long>"
+SETS = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, shingles array<long>, anchors array<long>"
 SETS_ARROW = pa.schema([
-    ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
+    ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
     ("shingles", pa.list_(pa.int64())), ("anchors", pa.list_(pa.int64())),
 ])
 
@@ -82,7 +90,9 @@ def distinct_sets(shingles: np.ndarray, owner: np.ndarray, texts: int) -> tuple[
 
 def pack(part: pa.Table) -> Arrays:
     counts, codes, words = spaced_words(part.column("text"))
-    return {**chunks.ids_of(part), "counts": counts, "codes": codes, "hashes": word_hashes(words)}
+    # as Spark's xxhash64 of the text
+    texts = [xxhash.xxh64_intdigest(t, seed=42) for t in one_array(pc.fill_null(one_array(part.column("text")), "")).cast(pa.binary()).to_pylist()]
+    return {**chunks.ids_of(part), "texts": np.array(texts, np.uint64), "counts": counts, "codes": codes, "hashes": word_hashes(words)}
 
 
 def sets_of(body: Arrays) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +140,7 @@ def shingle_sets(docs: DataFrame, percent: int) -> DataFrame:
         for k in range(PIVOT_FUNCTIONS):
             anchors[:, k] = np.minimum.reduceat(mixed(shingles[kept], 201 + k), starts) if len(starts) else 0
         return pa.RecordBatch.from_arrays([
-            chunks.with_nulls(body), pa.array(sizes.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in identity),
+            chunks.with_nulls(body), pa.array(body["texts"].view(np.int64)), pa.array(sizes.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in identity),
             listed(shingles[kept].view(np.int64), kept_sizes),
             listed(anchors.reshape(-1).view(np.int64), np.where(shared, PIVOT_FUNCTIONS, 0)),
         ], schema=SETS_ARROW)
@@ -146,29 +156,36 @@ def listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 def mostly_common(sets: DataFrame, percent: int) -> DataFrame:
     """The sets of which enough shingles occur in another set; ``sets(doc_id, n_shingles, shingles)`` are distinct sets."""
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    buckets = 1 + total // 1_000_000
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2_000):
-                batch = whole.slice(start, 2_000)
-                lists = batch.column("shingles")
-                keys = lists.flatten().to_numpy().view(np.uint64)
-                ids = np.repeat(batch.column("doc_id").to_numpy(), lists.value_lengths().to_numpy())
-                bucket = (keys % np.uint64(buckets)).astype(int)
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": list(range(buckets)),
-                    "body": [packed(keys=keys[bucket == b], ids=ids[bucket == b]) for b in range(buckets)],
-                }, schema=pa.schema([("bucket", pa.int32()), ("body", pa.binary())]))
+    route = chunks.Route.over(1 + total // BUCKET_SHINGLES)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition = TaskContext.get().partitionId()
+        for number, (lists, ids) in enumerate(portions(batches)):
+            keys = lists.flatten().to_numpy().view(np.uint64)
+            body = packed(key=keys, id=np.repeat(ids.to_numpy(), lists.value_lengths().to_numpy()))
+            yield pa.RecordBatch.from_pydict({
+                "chunk": [chunks.chunk_name(partition, number, body)], "bucket": [0], "body": [body],
+            }, schema=chunks.HELD_ARROW)
+
+    def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.ListArray, pa.Array]]:
+        for batch in batches:
+            sizes = batch.column("shingles").value_lengths().to_numpy()
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PORTION_SHINGLES, prepend=0)).tolist()
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if end > start:
+                    part = batch.slice(start, end - start)
+                    yield part.column("shingles"), part.column("doc_id")
 
     def count(group: pa.Table) -> pa.Table:
-        bodies = [unpacked(x.as_py()) for x in group.column("body")]
-        _, which, counts = np.unique(np.concatenate([b["keys"] for b in bodies]), return_inverse=True, return_counts=True)
-        ids, n = np.unique(np.concatenate([b["ids"] for b in bodies])[counts[which] > 1], return_counts=True)
+        bodies = [unpacked(x.as_py()) for x in group.column("keys")]
+        _, which, counts = np.unique(np.concatenate([b["0.key"] for b in bodies]), return_inverse=True, return_counts=True)
+        ids, n = np.unique(np.concatenate([b["0.id"] for b in bodies])[counts[which] > 1], return_counts=True)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64())})
 
+    deal = chunks.own_keys(lambda body: [(body["key"], body)], route.buckets)
+    holders = sets.select("doc_id", "shingles").mapInArrow(pack, chunks.HELD)
     common = (
-        sets.select("doc_id", "shingles").mapInArrow(deal, "bucket int, body binary")
+        chunks.delivered(holders, deal, route, 1 + total // PORTION_SHINGLES)
         .groupBy("bucket").applyInArrow(count, "doc_id long, n long")
         .groupBy("doc_id").agg(F.sum("n").alias("n_common"))
     )
@@ -327,13 +344,26 @@ class RegionJoin:
             self.parent[self.parent == self.parent[b]] = self.parent[a]
 
 
-def join(docs: DataFrame, percent: int = SIMILAR_PERCENT, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``."""
+SAME_SET = ["set_a", "set_b", "n_shingles"]
+
+
+def classes(docs: DataFrame, percent: int = SIMILAR_PERCENT, block: int = BLOCK) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
+
+    The join works on distinct sets, so copies cost nothing and an id may have several texts: a set is known by its
+    ``node``, and a component of sets gets the smallest id of all its rows.
+    """
     sets = written(shingle_sets(docs, percent), "sets")
-    same_set = ["set_a", "set_b", "n_shingles"]
-    first = sets.filter("n_shingles > 0").groupBy(*same_set).agg(F.min("doc_id").alias("first"))
-    candidates = sets.filter(F.size("shingles") > 0).select("doc_id", "n_shingles", "shingles", "anchors")
-    distinct = candidates.join(first.select(F.col("first").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    firsts = written(
+        sets.filter("n_shingles > 0").groupBy(*SAME_SET).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+        .filter("first IS NOT NULL").withColumn("node", F.xxhash64(*SAME_SET)), "firsts",
+    )
+    candidates = sets.filter(F.size("shingles") > 0).select(
+        "doc_id", F.xxhash64(*SAME_SET).alias("node"), "n_shingles", "shingles", "anchors"
+    )
+    # of each set, the rows of its first id; dealt by both, so no set's copies meet
+    picked = candidates.join(firsts.select(F.col("first").alias("doc_id"), "node"), ["doc_id", "node"]).dropDuplicates(["doc_id", "node"])
+    distinct = picked.select(F.col("node").alias("doc_id"), "n_shingles", "shingles", "anchors")
     near = written(mostly_common(distinct, percent), "near")
     measures = written(pivot_regions(near), "measures")
     pivot_links = linked(measures, percent).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
@@ -341,13 +371,32 @@ def join(docs: DataFrame, percent: int = SIMILAR_PERCENT, block: int = BLOCK) ->
     regions = written(labelled(near.select("doc_id", "shingles").join(placed, "doc_id", "left"), pivot_links), "regions")
     more = boundary_links(regions, percent, block)
     labels = components(pivot_links.union(more))
-    whole = sets.select("doc_id", *same_set).join(first, same_set, "left")
-    return whole.join(labels, F.col("first") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "first", "doc_id").alias("component_id")
+    grouped = labels.join(firsts.select("node", "first"), "node")
+    smallest = grouped.groupBy("label").agg(F.min("first").alias("component"))
+    linked_sets = grouped.join(smallest, "label").select("node", "component")
+    per_set = written(firsts.join(linked_sets, "node", "left").select(
+        *SAME_SET, "copies", F.coalesce("component", "first").alias("component")
+    ), "classes")
+    whole = sets.select("doc_id", "text_hash", *SAME_SET)
+    return with_partners(whole, per_set, SAME_SET, "copies").select(
+        "doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
+def join(docs: DataFrame, percent: int = SIMILAR_PERCENT, block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``."""
+    return classes(docs, percent, block).drop("text_hash")
+
+
 def one_of_each(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all its columns unchanged."""
-    gone = join(docs, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One document of each group, the one with the smallest doc_id, with all its columns unchanged.
+
+    Rows go by their id and text together: where an id has several texts, one may go and another stay. A row with a null id
+    goes where its text has a group, as none of its texts is the group's smallest id.
+    """
+    doc, text = free_name(docs, "_gone_doc"), free_name(docs, "_gone_text")
+    gone = classes(docs, percent).filter(
+        (F.col("doc_id") != F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull())
+    ).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct()
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[doc]) & (own == gone[text]), "left_anti")

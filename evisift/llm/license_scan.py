@@ -13,7 +13,9 @@ The base phrases' labels always stay. The score is the highest confidence among
 detections that are left, 0 without any.
 
 Defined results: null text is empty; texts without a detection have no label, null positions and
-score 0; repeated rows of a doc_id get the same result each; other columns are ignored.
+score 0. Detections belong to a row, known by the hash of its id and text: equal rows get equal results each, and rows
+that share an id, or have none, but differ in their text are scanned each for itself. Other columns are ignored, whatever
+their names. Texts may have any length; one with very many detections is sorted by itself.
 """
 
 from __future__ import annotations
@@ -151,16 +153,21 @@ def normal(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(text), GAP + "+", " ")), F.lit(" "))
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """``(row, doc_id, text)``: ``row`` stands for the pair of the other two."""
+    return docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), "doc_id", "text")
+
+
 def detections(docs: DataFrame, chosen: list[SignatureRule] | None = None) -> DataFrame:
-    """Every place where a rule's words stand: ``doc_id, label, priority, confidence, base, start, end`` (words, end exclusive)."""
+    """Every place where a rule's words stand: ``row, doc_id, label, priority, confidence, base, start, end`` (words, end exclusive)."""
     chosen = rules() if chosen is None else chosen
     table = docs.sparkSession.createDataFrame(
         [(r.key, r.also, rf"(?<= ){r.pattern}(?= )", r.label, r.priority, CONFIDENCE[r.priority], r.base) for r in chosen],
         "key string, also string, pattern string, label string, priority int, confidence double, base boolean",
     )
     keys = F.array(*(F.lit(k) for k in sorted({r.key for r in chosen})))
-    hinted = docs.filter(F.col("text").rlike(HINTS)).select("doc_id", normal(F.col("text")).alias("_normal"))
-    keyed = hinted.select("doc_id", "_normal", F.explode(F.array_intersect(F.split("_normal", " "), keys)).alias("key"))
+    hinted = identified(docs).filter(F.col("text").rlike(HINTS)).select("row", "doc_id", normal(F.col("text")).alias("_normal"))
+    keyed = hinted.select("row", "doc_id", "_normal", F.explode(F.array_intersect(F.split("_normal", " "), keys)).alias("key"))
     # as large as the list of rules
     met = keyed.join(F.broadcast(table), "key").filter(
         ((F.col("also") == "") | F.col("_normal").contains(F.concat(F.lit(" "), "also", F.lit(" ")))) & F.expr("_normal rlike pattern")
@@ -171,8 +178,8 @@ def detections(docs: DataFrame, chosen: list[SignatureRule] | None = None) -> Da
     )
     found = F.regexp_extract_all(F.col("_normal"), F.col("pattern"), F.lit(0))
     places = F.arrays_zip(starts.alias("start"), F.transform(found, lambda m: F.size(F.split(m, " "))).alias("words"))
-    return met.select("doc_id", "label", "priority", "confidence", "base", F.explode(places).alias("p")).select(
-        "doc_id", "label", "priority", "confidence", "base", F.col("p")["start"].cast("long").alias("start"),
+    return met.select("row", "doc_id", "label", "priority", "confidence", "base", F.explode(places).alias("p")).select(
+        "row", "doc_id", "label", "priority", "confidence", "base", F.col("p")["start"].cast("long").alias("start"),
         (F.col("p")["start"] + F.col("p")["words"]).cast("long").alias("end"),
     )
 
@@ -180,7 +187,7 @@ def detections(docs: DataFrame, chosen: list[SignatureRule] | None = None) -> Da
 def suppressed(found: DataFrame) -> DataFrame:
     """``found`` with ``stays``: not inside another detection of the same or a higher priority."""
     before = (
-        Window.partitionBy("doc_id").orderBy("start", F.desc("end"), F.desc("priority"), "label", "base")
+        Window.partitionBy("row").orderBy("start", F.desc("end"), F.desc("priority"), "label", "base")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     inside = F.lit(False)
@@ -195,14 +202,14 @@ def scan(docs: DataFrame, chosen: list[SignatureRule] | None = None) -> DataFram
     base = F.col("base")
     found = suppressed(detections(docs, chosen).distinct())
     listed = lambda label: F.array_join(F.array_sort(F.collect_set(label)), ",")
-    per_doc = found.groupBy(F.col("doc_id").alias("_doc")).agg(
+    per_row = found.groupBy(F.col("row").alias("_row")).agg(
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"),
         F.max(F.when(base, F.col("start"))).alias("last_word"), listed(F.when(base, F.col("label"))).alias("base_labels"),
         listed(F.when(base | F.col("stays"), F.col("label"))).alias("labels"),
         F.max(F.when(F.col("stays"), F.col("confidence"))).alias("score"),
     )
-    counted = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"))
-    return counted.join(per_doc, F.col("doc_id") == F.col("_doc"), "left").select(
+    counted = identified(docs).select("row", "doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"))
+    return counted.join(per_row, F.col("row") == F.col("_row"), "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),

@@ -107,33 +107,23 @@ def answer(asked: list[Arrays]) -> list[Arrays]:
     return [{"0.count": a, "1.count": b} for a, b in zip(ones, twos)]
 
 
-def train_totals(docs: DataFrame, chars: int) -> tuple[int, int]:
-    """Tokens and distinct tokens of the training documents."""
-    buckets = max(1, chars // chunks.BUCKET_CHARS)
+def train_totals(docs: DataFrame) -> tuple[int, int]:
+    """Tokens and distinct tokens of the training documents; a chunk gives one row for each of its words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunked(batches):
             body = pack(part)
             seen = unigrams(body)
-            hashes = body["hashes"][seen > 0]
-            bucket = (hashes % np.uint64(buckets)).astype(int)
-            weights = np.bincount(bucket, weights=seen[seen > 0], minlength=buckets).astype(np.int64)
             yield pa.RecordBatch.from_pydict({
-                "bucket": list(range(buckets)), "tokens": weights,
-                "keys": [packed(key=hashes[bucket == b]) for b in range(buckets)],
-            }, schema=pa.schema([("bucket", pa.int32()), ("tokens", pa.int64()), ("keys", pa.binary())]))
+                "word": body["hashes"][seen > 0].view(np.int64), "n": seen[seen > 0].astype(np.int64),
+            })
 
-    def distinct(asked: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([unpacked(x.as_py())["key"] for x in asked.column("keys")]))
-        return pa.table({"tokens": [sum(asked.column("tokens").to_pylist())], "words": [len(keys)]})
-
-    counted = (
+    words = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(count, "bucket int, tokens long, keys binary")
-        .groupBy("bucket").applyInArrow(distinct, "tokens long, words long")
+        .mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     )
-    total = counted.agg(F.sum("tokens"), F.sum("words")).first()
-    return total[0] or 0, total[1] or 0
+    total = words.agg(F.sum("n"), F.count("*")).first()
+    return total[0] or 0, total[1]
 
 
 class Automaton:
@@ -172,7 +162,7 @@ class Automaton:
 def score(docs: DataFrame, mass: float = BACKOFF_MASS) -> DataFrame:
     """Score every document of ``docs(doc_id, text)``; learn from those that are not held out."""
     chars = chunks.corpus_chars(docs)
-    total, distinct = train_totals(docs, chars)
+    total, distinct = train_totals(docs)
 
     def finish(body: Arrays, reply) -> pa.RecordBatch:
         pairs, _ = bigrams(body)

@@ -138,3 +138,27 @@ def brute_labels(sets):
 def test_one_of_each_keeps_columns(spark):
     docs = spark.createDataFrame([(3, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "other text", "z")], "doc_id long, text string, label string")
     assert sorted(tuple(r) for r in jaccard_join.one_of_each(docs).collect()) == [(1, "a b c d e f", "y"), (2, "other text", "z")]
+
+
+P, Q = " ".join(f"p{i}" for i in range(40)), " ".join(f"q{i}" for i in range(40))
+
+
+def test_ids_with_several_texts_link_each_for_itself(spark):
+    rows = [(1, P), (1, Q), (2, P + " z"), (3, Q + " z"), (9, P), (9, "alone here"), (5, "alone here"), (4, Q), (4, Q), (None, Q), (None, "nobody has this")]
+    docs = spark.createDataFrame([(i, t, "a", 1, 2, "c") for i, t in rows],
+        "doc_id long, text string, text_hash string, node long, _gone_doc long, _Gone_Text string")
+    got = sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard_join.join(docs.repartition(4)).collect())
+    assert got == sorted(map(str, [
+        (1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 37, 1), (9, 36, 1), (9, 1, 5), (5, 1, 5), (4, 36, 1), (4, 36, 1), (None, 36, 1), (None, 1, None)]))
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, [(1, P), (1, Q), (5, "alone here"), (None, "nobody has this")]))
+
+
+def test_hot_copies_are_joined_apart(spark):
+    from evisift.llm.common import with_partners
+
+    rows = spark.createDataFrame([(i, "a" if i < 50 else f"k{i}" if i < 90 else None) for i in range(100)], "i int, k string")
+    partners = spark.createDataFrame([("a", 50, "A")] + [(f"k{i}", 1, f"K{i}") for i in range(50, 80)], "k string, n long, name string")
+    got = {r.i: r.name for r in with_partners(rows, partners, ["k"], "n", share=10).collect()}
+    assert got == {i: "A" if i < 50 else f"K{i}" if i < 80 else None for i in range(100)}

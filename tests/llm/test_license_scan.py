@@ -99,3 +99,14 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = ls.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    rows = [(None, "under the mit license here"), (None, "apache license"), (None, None), (1, "nothing at all"), (1, "the apache license"),
+            (2, "mit license"), (2, "mit license"), (3, ""), (4, "x " * 30_000 + "mit license")]
+    wide = spark.createDataFrame([(i, t, 5, "l", 6, 7) for i, t in rows], "doc_id long, text string, row long, label string, start int, n_base long")
+    got = ls.scan(wide.repartition(3)).collect()
+    assert sorted(str((str(r.doc_id), r.n_words, r.n_base, r.first_word, r.base_labels)) for r in got) == sorted(map(str, [
+        ("None", 5, 1, 2, "mit"), ("None", 2, 1, 0, "apache"), ("None", 0, 0, None, ""), ("1", 3, 0, None, ""), ("1", 3, 1, 1, "apache"),
+        ("2", 2, 1, 0, "mit"), ("2", 2, 1, 0, "mit"), ("3", 0, 0, None, ""), ("4", 30_002, 1, 30_000, "mit"),
+    ]))

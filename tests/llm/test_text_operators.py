@@ -257,6 +257,34 @@ def test_html_parts_of_a_page(spark):
     assert html_extraction.extract(frame.filter("false")).collect() == []
 
 
+def test_marks_of_training_pages_on_given_ones(spark):
+    pages = ["<div data-made><p>one", '<div class="data-made"><p>two</div>', "<p data-made=>three", "<p data-made=1>four", "<p data-made"]
+    frame = spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)] * 2, "page_id long, url string, html string")
+    assert html_extraction.extract(frame).count() == 10
+    assert all(set(html_extraction.Page(h).label) == {""} for h in pages)
+    assert html_extraction.Page("<p data-made=1>x", made=True).label == ["", "1"]
+
+
+HOSTILE = {
+    "unclosed tags": "<a " * 20_000, "open headings": "<h1>" * 15_000, "bold then paragraphs": "<b>" * 10_000 + "<p>x" * 10_000,
+    "list in bold": "<li><ul>" + "<b>" * 10_000 + "<li>x" * 10_000, "stray ends": "<i><p>" + "<b>" * 10_000 + "</i>" * 10_000,
+    "quotes": "<a href='x" * 8_000, "double quotes": '<a "' * 15_000 + ">", "comments": "<!-- " * 12_000, "ends": "</div>" * 10_000,
+    "classes": "<p " + "class=" * 10_000 + ">x", "nested": "<div>" * 12_000 + "x" + "</div>" * 12_000, "less": "<" * 60_000, "buttons": "<button>" * 8_000,
+    "mixed quotes": "<a '\">" * 9_000, "cells": "<table><tr>" + "<td><b>" * 9_000, "svg": "<svg>" * 12_000 + "<p>x",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    import time
+
+    html_extraction.Page(HOSTILE[name][:500])
+    began = time.process_time()
+    page = html_extraction.Page(HOSTILE[name])
+    page.main_text([True] * len(page.tags))
+    assert time.process_time() - began < 1.0
+
+
 def test_decoding_never_contradicts():
     import numpy as np
 

@@ -191,6 +191,34 @@ def plain_url(url):
     return host, path, best
 
 
+def test_decontamination_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE_WORDS", 14)
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(12))
+    rows = [(1, f"x {a} y"), (1, f"x {a} y"), (1, b), (None, b), (None, "nothing here"), (None, f"{b} {a}"), (2, None), (3, "s t"), (4, "z s t z")]
+    docs = spark.createDataFrame([(i, t, "r", 1, "h") for i, t in rows], "doc_id long, text string, row string, n_hit int, _hit_row string").repartition(3)
+    bench = spark.createDataFrame([("q1", a, 1), ("q2", b, 1), (None, b, 1), (None, "s t", 1), ("q1", "s t", 1), ("q3", None, 1), ("q4", "!", 1)], "item_id string, text string, row int")
+    want = sorted(map(str, [
+        (1, 42, 40, ["q1"]), (1, 42, 40, ["q1"]), (1, 12, 12, ["q2", None]), (None, 12, 12, ["q2", None]), (None, 2, 0, []),
+        (None, 52, 52, ["q1", "q2", None]), (2, 0, 0, []), (3, 2, 2, ["q1", None]), (4, 4, 2, ["q1", None])]))
+    spans = []
+    for chars in (None, 10**6, 60):
+        got = decontamination.find(docs, bench, block_chars=chars).collect()
+        assert sorted(str((r.doc_id, r.n_words, r.n_hit, r.item_ids)) for r in got) == want, chars
+        spans.append(sorted(str((r.doc_id, r.hit_words, r.spans)) for r in got))
+        kept = decontamination.clean_documents(docs, bench, block_chars=chars)
+        assert kept.columns == docs.columns and sorted(str((r.doc_id, r.text)) for r in kept.collect()) == ["(2, None)", "(None, 'nothing here')"]
+    assert spans[0] == spans[1] == spans[2]
+    digest = {r.doc_id: (r.n_items, r.items_sha256) for r in decontamination.digest(decontamination.find(docs, bench)).collect() if r.doc_id in (3, 4)}
+    assert digest[3] == digest[4] == (2, hashlib.sha256(b"q1").hexdigest())
+
+
+def test_an_automaton_stays_within_its_bound():
+    text = " ".join(f"word{k}" for k in range(3000))
+    machine = decontamination.automaton((("q", text),))
+    assert machine.get_stats()["nodes_count"] <= decontamination.WINDOW_WORDS * (len(text) + 2)
+    assert decontamination.automaton((("q", text),)) is machine
+
+
 def test_url_rules(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
     for r in url_filter.judge(pages).collect():

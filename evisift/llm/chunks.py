@@ -26,7 +26,7 @@ corpus of any size sends ``FAN_OUT`` messages a chunk and level, and levels grow
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -230,10 +230,12 @@ def ask_all(
     finish: Callable[[Arrays, Callable[[str], np.ndarray]], pa.RecordBatch],
     schema: str,
     chars: int,
+    columns: Sequence[str] = (),
+    chunk_chars: int | None = None,
 ) -> DataFrame:
     """Run the four steps over ``docs(doc_id, text)``; ``chars`` is the size of the corpus.
 
-    ``pack`` turns a table of documents into arrays. ``ask`` gives one item for each bucketed
+    ``pack`` turns a table of documents, with further ``columns`` where asked for, into arrays. ``ask`` gives one item for each bucketed
     set of keys of a chunk: a number for each key, by which it finds its bucket,
     and the arrays with one entry for each key. ``answer`` gets what is asked in one
     bucket, in several parts, and returns arrays with one entry per key for each of them; it may not
@@ -245,7 +247,7 @@ def ask_all(
 
     def pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = TaskContext.get().partitionId()
-        for number, part in enumerate(chunked(batches, chars=CHUNK_CHARS)):
+        for number, part in enumerate(chunked(batches, chars=chunk_chars or CHUNK_CHARS)):
             body = packed(**pack(part))
             yield pa.RecordBatch.from_pydict({"chunk": [chunk_name(partition, number, body)], "bucket": [0], "body": [body]}, schema=HELD_ARROW)
 
@@ -259,9 +261,9 @@ def ask_all(
         return out
 
     chunks = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *columns)
         .mapInArrow(pack_task, HELD)
         .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk")
     )
-    answers = answered(chunks, deal, answer, route, 1 + int(chars) // CHUNK_CHARS)
+    answers = answered(chunks, deal, answer, route, 1 + int(chars) // (chunk_chars or CHUNK_CHARS))
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish_chunk, schema)

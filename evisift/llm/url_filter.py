@@ -8,33 +8,36 @@ compared with a threshold that is calibrated on the decided URLs.
 
 Each model estimates a character after its longest history, drawn to the estimate after the
 next shorter one by ``PRIOR`` characters, and so on down to none. Counts are taken over all
-decided URLs, and kept in a fixed number of slots by hash, so the two models have the same size
-whatever the corpus. The threshold is the one with the best mean of the two
+decided URLs that are learned from, and every history and character keeps a count of its own: the model grows with
+the input. Nobody holds it whole. URLs are gathered in chunks, which bring the counts of their own histories, and get back
+from the buckets those of the whole corpus for the histories they have (``chunks``). The threshold is the one with the best mean of the two
 classes' hit rates on the part of the decided URLs that is not learned from (one in five).
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and meets no
 rule; where the rules decide nothing at all, the models are empty and every such URL is allowed;
-equal URLs get equal verdicts.
+equal URLs get equal verdicts, repeated rows a row each, also those without a page_id. URLs may have any length: a very long one
+is a chunk of its own. An empty table gives an empty result. Other columns are ignored, whatever their names.
+Histories are told apart by 64-bit hashes (see ``common``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
+from evisift.llm.chunks import Arrays, ask_all, corpus_chars, ids_of, with_nulls
 from evisift.llm.common import lower_ascii, mixed
+from evisift.session import written
 
 #: Longest history of the character models.
 ORDER = 5
-#: Slots of characters with histories of one order, and as many of histories alone.
-SLOTS = 2**16
+#: Characters of URLs in one chunk: each makes two keys for every order.
+URL_CHARS = 250_000
 #: Weight of the shorter history's estimate, in characters.
 PRIOR = 4.0
 #: One in so many decided URLs (by their hash) calibrates the threshold.
@@ -88,75 +91,104 @@ def with_rules(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFram
     return split.select("*", rule.alias("rule"), decided.alias("decided"))
 
 
-def slots_of(host: str, path: str) -> np.ndarray:
-    """Slots of each character of a URL with its history (first half of the rows) and of the history alone.
-
-    One row per order, 0 to ORDER. The models read host and path between marks for start and end.
-    """
-    text = f"\x02{host}\x1f{path}\x03"
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes)
-    padded = np.concatenate([np.full(ORDER, 2, np.uint64), codes])
-    history = np.zeros((ORDER + 1, n), np.uint64)
-    for k in range(1, ORDER + 1):
-        history[k] = history[k - 1] * np.uint64(0x100000001B3) + padded[ORDER - k : ORDER - k + n] + np.uint64(1)
-    alone = mixed(history * np.uint64(8) + np.arange(ORDER + 1, dtype=np.uint64)[:, None], 601)
-    together = mixed(alone + codes[None, :] * np.uint64(0x9E3779B97F4A7C15), 602)
-    rows = np.arange(2 * (ORDER + 1), dtype=np.int64)[:, None] * SLOTS
-    return (np.concatenate([together, alone]) % np.uint64(SLOTS)).astype(np.int64) + rows
+SCORED = "page_id long, host string, path string, rule string, decided string, held boolean, ratio double"
+SCORED_ARROW = pa.schema([
+    ("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("decided", pa.string()),
+    ("held", pa.bool_()), ("ratio", pa.float64()),
+])
 
 
-def log_likelihood(counts: np.ndarray, slots: np.ndarray) -> float:
-    """Natural log probability of a URL: each order's estimate is drawn to that of the order below."""
-    half = len(slots) // 2
-    p = np.full(slots.shape[1], 1 / 256)
-    for together, alone in zip(counts[slots[:half]], counts[slots[half:]]):
-        p = (np.minimum(together, alone) + PRIOR * p) / (alone + PRIOR)
-    return float(np.log(p).sum())
+def pack(part: pa.Table) -> Arrays:
+    """Code points of all URLs, host and path between marks for start and end, and what is known of each."""
+    host, path, rule, decided = (part.column(n).to_pylist() for n in ("host", "path", "rule", "decided"))
+    texts = [f"\x02{h}\x1f{p}\x03" for h, p in zip(host, path)]
+    strings = {}
+    for name, values in (("host", host), ("path", path), ("rule", rule), ("decided", decided)):
+        strings[name] = np.empty(len(values), object)
+        strings[name][:] = [v or "" for v in values]
+    return {
+        **ids_of(part), **strings, "held": part.column("held").to_numpy(), "sizes": np.array([len(t) for t in texts], np.int64),
+        "codes": np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32),
+    }
 
 
-def slot_counts(decided: DataFrame) -> dict[str, np.ndarray]:
-    """Per verdict, how often each slot occurs in all decided URLs that are learned from.
+def keys_of(body: Arrays) -> tuple[np.ndarray, np.ndarray]:
+    """For each order and character: the key of the character with its history, and that of the history alone.
 
-    At most ``2 * (ORDER + 1) * SLOTS`` numbers per verdict, whatever the number of URLs.
+    Histories reach back to the start of their URL, and beyond it over start marks.
+    """
+    codes, sizes = body["codes"].astype(np.uint64), body["sizes"]
+    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.arange(len(codes)) - starts
+    history = np.zeros((ORDER + 1, len(codes)), np.uint64)
+    for k in range(1, ORDER + 1):
+        before = np.where(place >= k, np.roll(codes, k), np.uint64(2))
+        history[k] = history[k - 1] * np.uint64(0x100000001B3) + before + np.uint64(1)
+    alone = mixed(history * np.uint64(8) + np.arange(ORDER + 1, dtype=np.uint64)[:, None], 601)
+    return mixed(alone + codes[None, :] * np.uint64(0x9E3779B97F4A7C15), 602), alone
+
+
+def distinct_keys(body: Arrays) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a chunk, and which of them each key is (characters with histories first)."""
+    return np.unique(np.concatenate([x.ravel() for x in keys_of(body)]), return_inverse=True)
+
+
+def ask(body: Arrays) -> list[tuple[np.ndarray, Arrays]]:
+    """Each distinct key with how often the chunk's accepted and rejected URLs have it."""
+    keys, which = distinct_keys(body)
+    times = 2 * (ORDER + 1)
+    counts = {}
+    for verdict in ("allow", "block"):
+        learned = np.repeat((body["decided"] == verdict) & ~body["held"], body["sizes"])
+        counts[verdict] = np.bincount(which, weights=np.tile(learned, times), minlength=len(keys)).astype(np.int64)
+    return [(keys, {"key": keys, **counts})]
+
+
+def answer(asked: list[Arrays]) -> list[Arrays]:
+    """For each key, its counts over all chunks."""
+    every, which = np.unique(np.concatenate([x["0.key"] for x in asked]), return_inverse=True)
+    cuts = np.cumsum([len(x["0.key"]) for x in asked])[:-1]
+    parts = {}
+    for verdict in ("allow", "block"):
+        total = np.bincount(which, weights=np.concatenate([x[f"0.{verdict}"] for x in asked]), minlength=len(every))
+        parts[f"0.{verdict}"] = np.split(total.astype(np.int64)[which], cuts)
+    return [{name: x[i] for name, x in parts.items()} for i in range(len(asked))]
+
+
+def log_likelihoods(together: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Natural log probability of each character: each order's estimate is drawn to that of the order below."""
+    p = np.full(together.shape[1], 1 / 256)
+    for t, a in zip(together, alone):
+        p = (t + PRIOR * p) / (a + PRIOR)
+    return np.log(p)
+
+
+def finish(body: Arrays, reply: Callable[[str], np.ndarray]) -> pa.RecordBatch:
+    _, which = distinct_keys(body)
+    shape = (2, ORDER + 1, len(body["codes"]))
+    sums = []
+    for verdict in ("allow", "block"):
+        together, alone = reply(f"0.{verdict}")[which].reshape(shape)
+        sums.append(np.add.reduceat(log_likelihoods(together, alone), np.cumsum(body["sizes"]) - body["sizes"]))
+    named = [pa.array([x or None for x in body[n].tolist()], pa.string()) for n in ("rule", "decided")]
+    return pa.RecordBatch.from_arrays([
+        with_nulls(body), *(pa.array(body[n].tolist(), pa.string()) for n in ("host", "path")), *named,
+        pa.array(body["held"]), pa.array((sums[0] - sums[1]) / body["sizes"]),
+    ], schema=SCORED_ARROW)
+
+
+def scored(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
+    """``page_id, host, path, rule, decided, held, ratio``: log-likelihood as accepted minus that as rejected, per character.
+
+    ``held`` URLs are not learned from.
     """
-    size = 2 * (ORDER + 1) * SLOTS
-    schema = pa.schema([("verdict", pa.string()), ("slot", pa.int64()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for verdict, host, path in zip(*(batch.column(n).to_pylist() for n in ("decided", "host", "path"))):
-                total = totals.setdefault(verdict, np.zeros(size, np.int64))
-                np.add.at(total, slots_of(host, path).ravel(), 1)
-        for verdict, total in totals.items():
-            slots = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"verdict": [verdict] * len(slots), "slot": slots, "n": total[slots]}, schema=schema)
-
-    counted = decided.select("decided", "host", "path").mapInArrow(run, "verdict string, slot long, n long")
-    rows = counted.groupBy("verdict", "slot").agg(F.sum("n").alias("n")).toArrow()
-    models = {v: np.zeros(size, np.float32) for v in ("allow", "block")}
-    for verdict, model in models.items():
-        mine = rows.filter(pc.equal(rows.column("verdict"), verdict))
-        model[mine.column("slot").to_numpy()] = mine.column("n").to_numpy()
-    return models
-
-
-def with_ratio(urls: DataFrame, models: dict[str, np.ndarray]) -> DataFrame:
-    """``urls`` with ``ratio``: log-likelihood as accepted minus that as rejected, per character."""
-    sent = urls.sparkSession.sparkContext.broadcast(np.stack([models["allow"], models["block"]]))  # of fixed size
-    schema = StructType([*urls.schema.fields, StructField("ratio", DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ratios = []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-                slots = slots_of(host, path)
-                allow, block = (log_likelihood(model, slots) for model in sent.value)
-                ratios.append((allow - block) / slots.shape[1])
-            yield batch.append_column("ratio", pa.array(ratios, pa.float64()))
-
-    return urls.mapInArrow(run, schema)
+    urls = with_rules(pages, rules).select(
+        F.col("page_id").alias("doc_id"), F.concat("host", "path").alias("text"), "host", "path", "rule", "decided",
+        (F.pmod(F.xxhash64("host", "path"), F.lit(HELD)) == 0).alias("held"),
+    )
+    # a URL's characters make many more keys than a text's, so buckets are for fewer of them
+    size = corpus_chars(urls) * 2 * (ORDER + 1)
+    return ask_all(urls, pack, ask, answer, finish, SCORED, size, ["host", "path", "rule", "decided", "held"], URL_CHARS)
 
 
 def calibrated(scored: DataFrame) -> float:
@@ -176,13 +208,20 @@ def calibrated(scored: DataFrame) -> float:
 
 def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, ratio`` of every row of ``pages(page_id, url)``."""
-    urls = with_rules(pages, rules).drop("url")
-    held = F.pmod(F.xxhash64("host", "path"), F.lit(HELD)) == 0
-    decided = urls.filter("decided IS NOT NULL")
-    models = slot_counts(decided.filter(~held))
-    threshold = calibrated(with_ratio(decided.filter(held).select("decided", "host", "path"), models))
-    judged = with_ratio(urls, models)
+    found = written(scored(pages, rules), "urls")
+    threshold = calibrated(found.filter("decided IS NOT NULL AND held").select("decided", "ratio"))
     own = F.when(F.col("ratio") >= threshold, "allow").otherwise("block")
-    return judged.select(
-        "page_id", "host", "path", "rule", F.coalesce("decided", own).alias("verdict"), "ratio",
-    )
+    return found.select("page_id", "host", "path", "rule", F.coalesce("decided", own).alias("verdict"), "ratio")
+
+
+def held_out_rates(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> tuple[float, float]:
+    """Which shares of accepted and of rejected URLs the models tell, on half of those not learned from.
+
+    The other half, by another hash, calibrates the threshold.
+    """
+    found = written(scored(pages, rules).filter("decided IS NOT NULL AND held"), "urls")
+    half = F.pmod(F.xxhash64("path", "host", F.lit(1)), F.lit(2)) == 0
+    threshold = calibrated(found.filter(half))
+    rates = found.filter(~half).groupBy("decided").agg(F.avg((F.col("ratio") >= threshold).cast("double")).alias("allowed")).collect()
+    allowed = {r["decided"]: r["allowed"] for r in rates}
+    return allowed.get("allow", float("nan")), 1 - allowed.get("block", float("nan"))

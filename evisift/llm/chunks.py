@@ -20,7 +20,7 @@ Messages stay in proportion to the corpus. A chunk never sends more than ``FAN_O
 more buckets, a message is for a group of buckets. In the group, messages of about as many chunks are merged to a chunk of
 their own, which again sends at most ``FAN_OUT``, and so on, like a radix sort; answers take the same way back. So a
 corpus of any size sends ``FAN_OUT`` messages a chunk and level, and levels grow with its logarithm (one up to
-0.7 GB, two up to 49 GB, three up to 3 TB, four up to 200 TB).
+12 GB, two up to 12 TB, three up to 12 PB). A message of some kB is the price of one row.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from evisift.llm.common import CHUNK_CHARS, chunked, give_back, packed, unpacked
 BUCKET_CHARS = 12_000_000
 
 #: Most messages of a chunk, and about as many messages that are merged on their way.
-FAN_OUT = 64
+FAN_OUT = 1024
 
 HELD, HELD_ARROW = "chunk string, bucket long, body binary", pa.schema([("chunk", pa.string()), ("bucket", pa.int64()), ("body", pa.binary())])
 ASKED, ASKED_ARROW = "bucket long, chunk string, keys binary", pa.schema([("bucket", pa.int64()), ("chunk", pa.string()), ("keys", pa.binary())])

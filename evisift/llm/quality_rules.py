@@ -1,16 +1,21 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions alone.
 
-A rule rejects a document. The cascade first runs every rule over a sample of the documents,
-which gives its selectivity (the share that it rejects) and its cost (the time it takes for
-the sample). Rules are then ordered by rejection per cost and put into one conditional
+A rule rejects a document. The cascade first runs every rule over a sample of the documents, which is written once:
+that gives its selectivity (the share that it rejects) and its cost (the time it takes for
+the sample, less that of a job without a rule). Rules are then ordered by rejection per cost and put into one conditional
 expression, so that a document that an early rule rejects is never tested by a later one. The
 order changes the work, never the verdict.
 
+Some rules compare the base measures, which every row has anyway and which cost next to nothing; others read the text
+in their own way, word by word or line by line. Those are what the order saves: a document that the measures, or a cheaper
+rule, reject is not read again.
+
 The measures need no Python and no shuffle: windows of five words are hashed inside the row,
 and a text whose windows are all different is recognised with one set operation.
 
 Defined results: null text is the empty text; a text without words fails the rule on the number
-of words; an empty table gives an empty result; other columns are not looked at.
+of words; repeated rows get a row each, also without a doc_id; an empty table gives an empty result; other columns are
+not looked at, whatever their names. Texts and lines may have any length.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisift.llm.common import SPACED_WORD
+from evisift.session import written
 
 WINDOW = 5
 #: Documents (about) of which costs and selectivities are estimated.
@@ -30,6 +36,10 @@ SAMPLE_DOCS = 2_000
 #: A rejection share that rules start from, so that a rule that rejects nothing still has a place.
 LEAST_SHARE = 1e-4
 
+#: Words with an ASCII letter or anything beyond ASCII.
+LETTERED_WORD = r"[^\x20\x09-\x0D]*[^\x00-\x40\x5B-\x60\x7B-\x7F][^\x20\x09-\x0D]*"
+BULLET_LINE = r"^[\x20\x09-\x0D]*[-*\x{2022}]"
+CUT_LINE = r"(\.\.\.|\x{2026})[\x20\x09-\x0D]*$"
 SYMBOL = r"[#*$%&|<>]"
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -117,11 +127,11 @@ def n_repeat_words(text: Column) -> Column:
     return bound(hashes, lambda h: bound(window_hashes(h), some))
 
 
-def with_measures(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the base measures of every row of ``docs(doc_id, text)``."""
+def with_measures(docs: DataFrame, *keep: str) -> DataFrame:
+    """``doc_id`` and the base measures of every row of ``docs(doc_id, text)``; and the columns to ``keep``."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
-        "doc_id", n_words(text).alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"),
+        "doc_id", *keep, n_words(text).alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"),
         n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(text).alias("n_repeat_words"),
     )
 
@@ -143,8 +153,34 @@ def standard_rules() -> list[Rule]:
     ]
 
 
+def content_lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(SPACED_WORD))
+
+
+def share_of_lines(text: Column, pattern: str, percent: int, least: int = 5) -> Column:
+    """At least ``least`` lines with a word, and more than ``percent`` of them with the pattern."""
+    def many(lines: Column) -> Column:
+        return (F.size(lines) >= least) & (100 * F.size(F.filter(lines, lambda x: x.rlike(pattern))) > percent * F.size(lines))
+
+    return bound(content_lines(text), many)
+
+
+def reading_rules(n: Column) -> list[Rule]:
+    """Rules that read ``text`` in a way of their own; ``n`` is its number of words."""
+    text = F.coalesce("text", F.lit(""))
+    lettered = F.regexp_count(text, F.lit(LETTERED_WORD))
+    return [
+        Rule("mostly_markup", F.lit(2) * F.regexp_count(text, F.lit("<[A-Za-z/][^<>]*>")) > n),
+        Rule("mostly_links", F.lit(4) * F.regexp_count(text, F.lit("https?://")) > n),
+        Rule("few_letters", F.lit(100) * lettered < F.lit(40) * n),
+        Rule("few_distinct_words", (n >= 100) & (F.size(F.array_distinct(words(text))) <= 15)),
+        Rule("mostly_bullets", share_of_lines(text, BULLET_LINE, 90)),
+        Rule("cut_lines", share_of_lines(text, CUT_LINE, 60)),
+    ]
+
+
 def text_rules() -> list[Rule]:
-    """Those of the rules that look at ``text`` alone, for a pipeline that only filters: a rejected text is not measured further."""
+    """The rules straight on ``text``, for a pipeline that only filters: a rejected text is not measured further."""
     text = F.coalesce("text", F.lit(""))
     n = n_words(text)
     return [
@@ -153,20 +189,33 @@ def text_rules() -> list[Rule]:
         Rule("short_words", word_chars(text) < F.lit(2) * n),
         Rule("long_words", word_chars(text) > F.lit(14) * n),
         Rule("repeated_lines", (F.lit(10) * n_dup_lines(text) > n) & (n_dup_lines(text) >= 3)),
+        *reading_rules(n),
     ]
 
 
-def estimate(docs: DataFrame, rules: list[Rule], sample_docs: int = SAMPLE_DOCS) -> list[Estimate]:
-    """Selectivity and cost of each rule, from the same sample of about ``sample_docs`` rows."""
-    total = docs.count()
-    share = min(1.0, sample_docs / max(total, 1))
-    sample = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
+def sampled(docs: DataFrame, sample_docs: int) -> DataFrame:
+    """About ``sample_docs`` rows, by a hash of their id, written once."""
+    share = min(1.0, sample_docs / max(docs.count(), 1))
+    bound_of_share = min(2**63 - 1, int((share - 0.5) * 2**64))  # of 64-bit hashes, so that no share rounds to none
+    picked = docs.filter(F.xxhash64(F.col("doc_id").cast("string")) <= bound_of_share)
+    return written(picked, "sample")
+
+
+def estimate(sample: DataFrame, rules: list[Rule]) -> list[Estimate]:
+    """Selectivity and cost of each rule over the rows of a written sample."""
     rows = max(sample.count(), 1)
+
+    def timed(rejects: Column) -> tuple[int, float]:
+        started = time.perf_counter()
+        rejected = sample.filter(rejects).count()
+        return rejected, time.perf_counter() - started
+
+    for _ in range(2):  # the second is without the cost of starting
+        _, idle = timed(F.length(F.coalesce("text", F.lit(""))) < 0)
     found = []
     for rule in rules:
-        started = time.perf_counter()
-        rejected = sample.filter(rule.rejects).count()
-        found.append(Estimate(rule.name, rejected / rows, time.perf_counter() - started))
+        rejected, seconds = timed(rule.rejects)
+        found.append(Estimate(rule.name, rejected / rows, max(seconds - idle, 1e-4)))
     return found
 
 
@@ -186,16 +235,17 @@ def verdict(rules: list[Rule]) -> tuple[Column, Column]:
 def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``docs`` with ``kept`` and ``rejected_by``; rules default to those straight on the text."""
     chosen = text_rules() if rules is None else rules
-    kept, rejected_by = verdict(ordered(chosen, estimate(docs, chosen, sample_docs)))
+    kept, rejected_by = verdict(ordered(chosen, estimate(sampled(docs, sample_docs), chosen)))
     return docs.select("*", kept.alias("kept"), rejected_by.alias("rejected_by"))
 
 
 def judged(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Base measures of every document, ``base_failed``, and the verdict of the cascade."""
-    measured = with_measures(docs)
-    rules = standard_rules()
-    kept, _ = verdict(ordered(rules, estimate(measured, rules, sample_docs)))
-    return measured.select("*", base_failed().alias("base_failed"), kept.alias("kept"))
+    rules = standard_rules() + reading_rules(F.col("n_words"))
+    sample = written(with_measures(sampled(docs.select("doc_id", "text"), sample_docs), "text"), "measured")
+    kept, _ = verdict(ordered(rules, estimate(sample, rules)))
+    measured = with_measures(docs, "text")
+    return measured.select("*", base_failed().alias("base_failed"), kept.alias("kept")).drop("text")
 
 
 #: The same in SQL.
@@ -207,15 +257,22 @@ grams AS (
 twice AS (SELECT doc_id, unnest(list(i)) AS i FROM grams GROUP BY doc_id, g HAVING count(*) > 1),
 covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM twice) GROUP BY doc_id),
 lines AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n, count(*) AS n_lines,
+         count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*\x{2022}]')) AS n_bullets,
+         count(*) FILTER (regexp_matches(line, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$')) AS n_cut FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+         CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+         len(regexp_extract_all(t, '<[A-Za-z/][^<>]*>')) AS tags, len(regexp_extract_all(t, 'https?://')) AS links,
+         len(list_filter(w, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS lettered,
+         len(list_distinct(w)) AS n_distinct, coalesce(n_lines, 0) AS n_lines, coalesce(n_bullets, 0) AS n_bullets, coalesce(n_cut, 0) AS n_cut
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id))
-SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words
-            OR word_chars > 14 * n_words OR (10 * n_dup_lines > n_words AND n_dup_lines >= 3)) AS kept
+            OR word_chars > 14 * n_words OR (10 * n_dup_lines > n_words AND n_dup_lines >= 3)
+            OR 2 * tags > n_words OR 4 * links > n_words OR 100 * lettered < 40 * n_words OR (n_words >= 100 AND n_distinct <= 15)
+            OR (n_lines >= 5 AND 100 * n_bullets > 90 * n_lines) OR (n_lines >= 5 AND 100 * n_cut > 60 * n_lines)) AS kept
 FROM m
 """

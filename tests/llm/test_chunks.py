@@ -38,7 +38,8 @@ def test_a_table_landed_twice_and_null_ids(spark, name):
 
 
 @pytest.mark.parametrize(("buckets", "levels", "fan"), [(1, 1, 1), (2, 1, 2), (64, 1, 64), (65, 2, 9), (4096, 2, 64), (5000, 3, 18)])
-def test_levels_grow_with_the_logarithm(buckets, levels, fan):
+def test_levels_grow_with_the_logarithm(monkeypatch, buckets, levels, fan):
+    monkeypatch.setattr(chunks, "FAN_OUT", 64)
     route = chunks.Route.over(buckets)
     assert (route.levels, route.fan) == (levels, fan) and route.buckets >= buckets
 

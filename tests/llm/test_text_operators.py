@@ -140,6 +140,56 @@ def test_cascade_order_does_not_change_the_verdict(spark):
     assert quality_rules.judged(table(spark, [])).collect() == []
 
 
+def test_a_costly_rule_is_skipped_for_rejected_rows(spark):
+    texts = ["w " * 3] * 30 + [" ".join(f"w{i}" for i in range(40 + k)) for k in range(30)]
+    docs = table(spark, texts)
+    short = quality_rules.n_words(quality_rules.F.col("text")) < 10
+    # reading a short text with this rule ends the job
+    costly = quality_rules.F.when(short, quality_rules.F.raise_error(quality_rules.F.lit("read after all")).cast("boolean")).otherwise(
+        quality_rules.n_repeat_words(quality_rules.F.col("text")) > 99)
+    rules = [quality_rules.Rule("costly", costly), quality_rules.Rule("few_words", short)]
+    cheap_first = quality_rules.ordered(rules, [quality_rules.Estimate("costly", 0.5, 2.0), quality_rules.Estimate("few_words", 0.5, 0.01)])
+    assert [r.name for r in cheap_first] == ["few_words", "costly"]
+    kept, by = quality_rules.verdict(cheap_first)
+    assert docs.select(by.alias("by")).groupBy("by").count().collect() and docs.filter(kept).count() == 30
+    with pytest.raises(Exception, match="read after all"):
+        docs.filter(quality_rules.verdict(rules)[0]).count()
+
+
+def test_costs_come_from_a_sample_written_once(spark, monkeypatch):
+    written = []
+    real = quality_rules.written
+    monkeypatch.setattr(quality_rules, "written", lambda t, name: written.append(real(t, name)) or written[-1])
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat(concat('word', id % 7, ' '), 30) AS text")
+    assert 0 < quality_rules.sampled(docs, 40).count() < 120
+    found = quality_rules.estimate(written[0], quality_rules.text_rules())
+    assert [e.name for e in found] == [r.name for r in quality_rules.text_rules()] and all(e.seconds > 0 for e in found)
+    assert {e.name for e in found if e.share == 1.0} == set()
+    quality_rules.judged(docs, 40)
+    assert len(written) == 3  # the sample, and its measures
+
+
+def test_rules_that_read_the_text(spark):
+    prose = " ".join(f"word{i}" for i in range(40))
+    texts = {
+        "mostly_markup": "<b>one</b> <i>two</i> " * 9, "mostly_links": "see http://a/b and https://c " * 9, "few_letters": "12 34 5.6 x " * 9,
+        "few_distinct_words": " ".join("abcdefghijkl"[i % 12] + "oo" for i in range(120)), "mostly_bullets": "\n".join(f" - item number {i} of it" for i in range(9)),
+        "cut_lines": "\n".join(f"line {i} goes on and ..." for i in range(9)), None: prose,
+    }
+    n = quality_rules.n_words(quality_rules.F.col("text"))
+    _, by = quality_rules.verdict(quality_rules.reading_rules(n))
+    docs = table(spark, list(texts.values()))
+    got = {r.doc_id: r.by for r in docs.select("doc_id", by.alias("by")).collect()}
+    assert got == dict(enumerate(texts))
+
+
+def test_quality_of_repeated_rows_null_ids_and_clashing_columns(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (1, " ".join(f"w{i}" for i in range(30))), (1, "x"), (2, None), (3, "y" * 100_000 + " z" * 20)]
+    docs = spark.createDataFrame([(i, t, 9, True, "n") for i, t in rows], "doc_id long, text string, n_words int, kept boolean, rejected_by string")
+    got = sorted(str((r.doc_id, r.n_words, r.base_failed, r.kept)) for r in quality_rules.judged(docs.repartition(2)).collect())
+    assert got == sorted(map(str, [(None, 3, True, False), (None, 3, True, False), (1, 30, False, True), (1, 1, True, False), (2, 0, True, False), (3, 21, True, False)]))
+
+
 # --- decontamination ---
 
 

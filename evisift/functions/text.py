@@ -48,6 +48,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def clipped(text: Column, most: int | None) -> Column:
+    """The first ``most`` characters; None cuts nothing."""
+    return text if most is None else F.left(text, F.lit(most))
+
+
 def strip(text: Column) -> Column:
     """Remove white space of every kind from both ends."""
     return F.btrim(text, F.lit(SPACE_CHARS))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evisift.functions.text import squeeze, strip, word_count
+from evisift.functions.text import clipped, squeeze, strip, word_count
 from evisift.operators.landed_keys import one_per_key
 from evisift.operators.projects import DOMAINS, SIGNAL_TYPE, SIGNALS
 from evisift.params import Limits
@@ -95,8 +95,8 @@ def trimmed_names(values: Column) -> Column:
 def normal_project(p: Column, limits: Limits) -> Column:
     none = F.array().cast("array<string>")
     return F.struct(
-        F.left(strip(text_of(p, "name")), F.lit(limits.title)).alias("name"),
-        F.left(strip(text_of(p, "description")), F.lit(limits.judged_description)).alias("description"),
+        clipped(strip(text_of(p, "name")), limits.title).alias("name"),
+        clipped(strip(text_of(p, "description")), limits.judged_description).alias("description"),
         F.array_sort(F.array_distinct(trimmed_names(
             F.coalesce(F.try_variant_get(p, "$.technologies", "array<string>"), none)
         ))).alias("technologies"),

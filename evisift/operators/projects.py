@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisift.functions.points import half_up
-from evisift.functions.text import any_of, escape, let, squeeze, strip, word_count
+from evisift.functions.text import any_of, clipped, escape, let, squeeze, strip, word_count
 from evisift.operators.matching import match_rows, skill_list
 from evisift.operators.sections import SECTION_ALIASES, with_line_sections
 from evisift.operators.signals import PHRASE, TERM, SignalTable
@@ -141,10 +141,9 @@ def with_project_blocks(docs: DataFrame, limits: Limits = Limits()) -> DataFrame
         rest = strip(F.array_join(F.slice(lines, 2, 2**30), "\n"))
         tail = F.when(title.contains("|"), strip(F.regexp_extract(title, r"(?s)^[^|]*\|(.*)$", 1)))
         return F.struct(
-            F.left(strip(F.substring_index(title, "|", 1)), F.lit(limits.title)).alias("name"),
-            F.left(
-                F.when(F.length(rest) > 0, rest).otherwise(F.coalesce(tail, F.lit(""))),
-                F.lit(limits.description),
+            clipped(strip(F.substring_index(title, "|", 1)), limits.title).alias("name"),
+            clipped(
+                F.when(F.length(rest) > 0, rest).otherwise(F.coalesce(tail, F.lit(""))), limits.description
             ).alias("description"),
             F.array_join(lines, "\n").alias("body"),
         )
@@ -336,6 +335,6 @@ def project_summary(projects: Column, limits: Limits = Limits()) -> Column:
     told = squeeze(F.coalesce(first["description"], F.lit("")))
     return (
         F.when(F.size(projects) == 0, F.lit("No projects described."))
-        .when(F.length(told) > 0, F.concat(name, F.lit(": "), F.left(told, F.lit(limits.summary))))
+        .when(F.length(told) > 0, F.concat(name, F.lit(": "), clipped(told, limits.summary)))
         .otherwise(name)
     )

@@ -73,15 +73,15 @@ class Thresholds:
 
 @dataclass(frozen=True)
 class Limits:
-    """Text lengths that are part of the output format."""
+    """Text lengths that are part of the output format; None: the whole text, in the outputs and where signals are counted."""
 
     context: int = 140
-    title: int = 120
-    description: int = 1200
-    judged_description: int = 1500
+    title: int | None = 120
+    description: int | None = 1200
+    judged_description: int | None = 1500
     scoring_context: int = 6000
     full_context: int = 14000
-    summary: int = 240
+    summary: int | None = 240
 
 
 @dataclass(frozen=True)

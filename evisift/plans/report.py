@@ -79,17 +79,17 @@ def comparison(results: DataFrame) -> DataFrame:
     )
 
 
-def rejected(results: DataFrame) -> DataFrame:
-    """Documents without a rank, why, and the first skills that were found."""
+def rejected(results: DataFrame, skills: int = REJECTED_SKILLS) -> DataFrame:
+    """Documents without a rank, why, and the first ``skills`` that were found."""
     return results.filter(~F.col("eligible")).select(
         "doc_id", "candidate_name",
         F.array_join("rejection_reasons", "; ").alias("reasons"),
-        F.array_join(F.slice("matched_skills", 1, REJECTED_SKILLS), ", ").alias("skills"),
+        F.array_join(F.slice("matched_skills", 1, skills), ", ").alias("skills"),
         "source_file",
     )
 
 
-def top_reasons(results: DataFrame, top: int = 5) -> DataFrame:
+def top_reasons(results: DataFrame, top: int = 5, reasons: int = TOP_REASONS) -> DataFrame:
     """Why the first documents stand where they stand: activity (NULL where there is nothing to say), depth reasons and penalties."""
     rationale = F.col("score_breakdown")["rationale"]
     penalties = F.filter(rationale["penalties"], lambda r: ~r.contains(NO_PENALTIES))
@@ -97,7 +97,7 @@ def top_reasons(results: DataFrame, top: int = 5) -> DataFrame:
         "rank", "candidate_name", "total_score",
         clip_words(F.col("project_summary"), 240).alias("project"),
         F.when(F.length("github_summary") > 0, F.col("github_summary")).alias("activity"),
-        F.slice(rationale["ai_project_depth"], 1, TOP_REASONS).alias("reasons"),
+        F.slice(rationale["ai_project_depth"], 1, reasons).alias("reasons"),
         penalties.alias("penalties"),
     )
 

@@ -87,3 +87,15 @@ def test_a_vocabulary_table_screens_like_the_object(spark, docs_of, vocab):
     docs = docs_of({"a.txt": AGENTIC, "b.txt": WEB, "e.txt": THIN, "c.txt": AGENTIC, "none.txt": ""})
     by_object, by_table = by_file(screen(docs)), by_file(screen(docs, vocab.table(spark)))
     assert {k: str(v) for k, v in by_object.items()} == {k: str(v) for k, v in by_table.items()}
+
+
+def test_limits_may_be_none(spark, docs_of):
+    from evisift.params import Limits
+
+    text = "Skills: Python\nProjects\nLong Tale | 2023\n" + "words of a tale " * 90 + "with retrieval and a planner for LangGraph\n"
+    docs = docs_of({"a.txt": text})
+    cut = by_file(screen(docs))["a.txt"]
+    whole = by_file(screen(docs, params=ScreenParams(limits=Limits(title=None, description=None, summary=None))))["a.txt"]
+    assert len(cut.project_summary) < 300 < 1400 < len(whole.project_summary)
+    # signals beyond the limit count as soon as nothing is cut
+    assert whole.score_breakdown.ai_project_depth > cut.score_breakdown.ai_project_depth

@@ -52,13 +52,15 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def with_partners(rows: DataFrame, partners: DataFrame, keys: list[str], copies: str, share: int = 10_000) -> DataFrame:
+def with_partners(
+    rows: DataFrame, partners: DataFrame, keys: list[str], copies: str, share: int = 10_000, total: int | None = None
+) -> DataFrame:
     """``rows`` LEFT JOIN ``partners``, which have each combination of ``keys`` once, with its number of rows in ``copies``.
 
-    Both are written tables. Combinations of more than 1 / ``share`` of all rows are at most ``share`` and are broadcast;
-    the others meet in a shuffled join, in which none of them is larger than that.
+    Both are written tables, and partners are narrow. Combinations of more than 1 / ``share`` of all rows are at most ``share`` and
+    are broadcast; the others meet in a shuffled join, in which none of them is larger than that.
     """
-    most = max(1, rows.count() // share)
+    most = max(1, (rows.count() if total is None else total) // share)
     others = [c for c in partners.columns if c not in keys and c != copies]
     hot = partners.filter(F.col(copies) > most).select(*keys, F.struct(*others).alias("_hot"))
     cold = partners.filter(F.col(copies) <= most).select(*keys, *others)
@@ -67,6 +69,22 @@ def with_partners(rows: DataFrame, partners: DataFrame, keys: list[str], copies:
     return met.unionByName(marked.filter("_hot IS NULL").select(*rows.columns).join(cold, keys, "left"))
 
 
+def salted_join(rows: DataFrame, partners: DataFrame, key: str, spread: str, share: int = 200) -> DataFrame:
+    """``rows`` JOIN ``partners``, which have each ``key`` once and may be wide; both are written tables.
+
+    A key of more than 1 / ``share`` of all rows is dealt over as many parts as it has such shares, by a hash of ``spread``, and its
+    partner is copied to each: at most ``share`` copies more in all.
+    """
+    most = max(1, rows.count() // share)
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    # fewer keys than shares
+    hot = F.broadcast(counts.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    copied = partners.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"]).drop("_part")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to lower case, and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -1,4 +1,9 @@
-"""A training-data pipeline over ``documents``, in stages that are written and read again."""
+"""A training-data pipeline over ``documents``, in stages that are written and read again.
+
+In every stage, rows are judged by their own text: repeated rows meet the same decision, a null ``doc_id`` is no id (such a row
+is a copy of nobody's smallest id, and shares its passages with no one), null text is empty, an empty table gives an empty
+one, and further columns, whatever their names, go through unchanged up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +18,38 @@ from evisift.session import shared_folder
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of good quality that are not toxic."""
+    """Documents of good quality that are not toxic.
+
+    Empty and null texts go as low quality. Without any labels the heuristics decide; several labels of a document count as bad if
+    one is.
+    """
     return quality_classifier.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that similar ones link."""
+    """One document of each group of texts that similar ones link: the one with the smallest doc_id.
+
+    Texts without words are in no group and stay. Where an id has several texts, each is judged for itself; a row without an id goes
+    if its text's shingles are those of a document with one.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each passage that documents share stays in the first of them only."""
+    """Each passage that documents share stays in the first of them only.
+
+    A text that was a repeat from end to end goes; ``n_chars``, where it exists, follows the text. Rows without an id keep theirs.
+    """
     return substring_dedup.cut(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. An empty benchmark takes none; items without an id count like others."""
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, and proof that they decode to it."""
+    """Token ids of what is left, and proof that they decode to it: a row for every row, an empty text has no ids."""
     return bpe.encode(docs, TOKENIZER).drop("decoded")
 
 

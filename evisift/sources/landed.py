@@ -28,13 +28,18 @@ class Kind:
     times: tuple[str, ...] = ()
 
 
-PROFILES = Kind("profiles", "username string, http_status int, public_repos int, error string", "username")
-EVENTS = Kind("events", "username string, created_at string", "username", ("created_at",))
-REPOS = Kind("repos", (
+PROFILES = "username string, http_status int, public_repos int, error string"
+EVENTS = "username string, created_at string"
+REPOS = (
     "username string, name string, description string, language string, topics array<string>, "
     "fork boolean, pushed_at string"
-), "username", ("pushed_at",))
-RESPONSES = Kind("responses", "doc_id string, response string", "doc_id")
+)
+RESPONSES = "doc_id string, response string"
+
+PROFILE_LINES = Kind("profiles", PROFILES, "username")
+EVENT_LINES = Kind("events", EVENTS, "username", ("created_at",))
+REPO_LINES = Kind("repos", REPOS, "username", ("pushed_at",))
+RESPONSE_LINES = Kind("responses", RESPONSES, "doc_id")
 
 # What can be wrong with a line.
 UNREADABLE, NO_KEY = "unreadable line", "no key"
@@ -88,17 +93,17 @@ def quarantined(spark: SparkSession, quarantine: str) -> DataFrame:
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    return sound(read(spark, path, PROFILES))
+    return sound(read(spark, path, PROFILE_LINES))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Events; a time that cannot be read becomes NULL."""
-    return sound(read(spark, path, EVENTS))
+    return sound(read(spark, path, EVENT_LINES))
 
 
 def read_repos(spark: SparkSession, path: str) -> DataFrame:
-    return sound(read(spark, path, REPOS))
+    return sound(read(spark, path, REPO_LINES))
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    return sound(read(spark, path, RESPONSES))
+    return sound(read(spark, path, RESPONSE_LINES))

@@ -870,7 +870,7 @@ def landed_round_trip(spark, sf_dir):
         "profiles": F.col("public_repos"), "events": F.col("created_at").isNotNull().cast("int"), "repos": F.col("fork").cast("int"),
     }
     inputs = {"profiles": corpus.ACTIVITY_PROFILES, "events": corpus.ACTIVITY_EVENTS, "repos": corpus.ACTIVITY_REPOS}
-    for kind in (landed.PROFILES, landed.EVENTS, landed.REPOS):
+    for kind in (landed.PROFILE_LINES, landed.EVENT_LINES, landed.REPO_LINES):
         rows = composed(spark, sf_dir, inputs[kind.name])
         spoil = F.ascii(F.right("username", F.lit(1))) % 5
         line = F.regexp_replace(F.to_json(F.struct("*")), '"http_status":404', '"http_status":"gone"')

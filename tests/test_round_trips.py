@@ -24,7 +24,7 @@ def snapshots(tmp_path):
 
 
 def test_faulty_lines_are_told_and_the_others_read(spark, snapshots):
-    rows = landed.read(spark, snapshots, landed.PROFILES).collect()
+    rows = landed.read(spark, snapshots, landed.PROFILE_LINES).collect()
     good = {r.username: (r.http_status, r.public_repos) for r in rows if r.fault is None}
     assert good == {"ann": (200, 3), "bob": (404, None), "eve": (None, None), "zoe": (200, 3)}
     faults = sorted((r.fault, r.line) for r in rows if r.fault)
@@ -38,14 +38,14 @@ def test_faulty_lines_are_told_and_the_others_read(spark, snapshots):
 
 def test_landing_sets_faulty_lines_aside(spark, snapshots, tmp_path):
     aside = str(tmp_path / "quarantine")
-    sound = landed.land(spark, snapshots, landed.PROFILES, aside)
+    sound = landed.land(spark, snapshots, landed.PROFILE_LINES, aside)
     assert sound.count() == 4
     rows = landed.quarantined(spark, aside).collect()
     assert len(rows) == 6 and {r.kind for r in rows} == {"profiles"} and all(r.line and r.landed_file for r in rows)
     # a mended line is landed like any other, and a second batch adds to the first
     (tmp_path / "mended").mkdir()
     (tmp_path / "mended" / "c.json").write_text('{"username":"cut","http_status":200}\nbroken again')
-    assert [r.username for r in landed.land(spark, str(tmp_path / "mended"), landed.PROFILES, aside).collect()] == ["cut"]
+    assert [r.username for r in landed.land(spark, str(tmp_path / "mended"), landed.PROFILE_LINES, aside).collect()] == ["cut"]
     assert landed.quarantined(spark, aside).count() == 7
 
 

@@ -16,8 +16,8 @@ The scan is vectorised: the bytes are cut into lanes that advance in step. The f
 all lanes at zero; the register each lane really starts with follows from the one before
 by a shift over the lane's length, and the second pass stores the running CRCs.
 
-Only one count for each bucket leaves a task and reaches the driver. Documents are read twice (to count
-features, to weigh); ranks come from a range sort of narrow rows.
+Documents are read once: the buckets of their features are written, two bytes each, and both counting and weighing read that
+table. Only one count for each bucket leaves a task and reaches the driver; ranks come from a range sort of narrow rows.
 
 Defined results: null or empty text has no words: no features, weight 0, never drawn. A null
 ``doc_id`` hashes as the empty text and ranks behind others of its score; among repeated rows each is a document of its
@@ -166,16 +166,45 @@ def features(texts: pa.ChunkedArray | pa.Array, how: Resampling) -> tuple[np.nda
     return counts, np.concatenate(buckets), np.concatenate(owners)
 
 
+def featured(texts: DataFrame, how: Resampling, *keep: str) -> DataFrame:
+    """The columns to ``keep``, ``n_words``, and ``buckets``: the bucket of every feature of a text, one after the other."""
+    kind = np.dtype(np.uint16 if how.buckets <= 2**16 else np.uint32)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunked(batches):
+            counts, buckets, owner = features(part.column("text"), how)
+            if how.longest > how.shortest:
+                buckets = buckets[np.argsort(owner, kind="stable")]
+            ends = np.cumsum(np.bincount(owner, minlength=len(counts))) * kind.itemsize
+            offsets = np.concatenate([[0], ends]).astype(np.int64)
+            data = pa.py_buffer(np.ascontiguousarray(buckets.astype(kind)))
+            listed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), data])
+            arrays = [*(one_array(part.column(n)) for n in keep), pa.array(counts.astype(np.int64)), listed.cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_words", "buckets"])
+
+    schema = "".join(f"{n} long, " for n in keep) + "n_words long, buckets binary"
+    return texts.select(*keep, "text").mapInArrow(task, schema)
+
+
+def numbers_of(column: pa.ChunkedArray | pa.Array, how: Resampling) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets of a column of texts, and how many each text has."""
+    kind = np.dtype(np.uint16 if how.buckets <= 2**16 else np.uint32)
+    listed = one_array(column).cast(pa.large_binary())
+    offsets = np.frombuffer(listed.buffers()[1], np.int64)[listed.offset : listed.offset + len(listed) + 1]
+    data = np.frombuffer(listed.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(listed) else np.empty(0, np.uint8)
+    return data.view(kind), np.diff(offsets) // kind.itemsize
+
+
 def bucket_counts(rows: DataFrame, how: Resampling) -> np.ndarray:
     """How many features of all texts fall into each bucket: one number for each leaves a task."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(how.buckets, np.int64)
-        for part in chunked(batches):
-            total += np.bincount(features(part.column("text"), how)[1], minlength=how.buckets)
+        for batch in batches:
+            total += np.bincount(numbers_of(batch.column(0), how)[0], minlength=how.buckets)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": found, "n": total[found]})
 
-    counted = rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = rows.select("buckets").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(how.buckets, np.int64)
     for bucket, n in counted.collect():  # at most one row for each bucket
         out[bucket] = n
@@ -198,26 +227,29 @@ def noise(doc_id: int | None, seed: str) -> int:
     return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
 
 
-def weigh(docs: DataFrame, gain: np.ndarray, how: Resampling) -> DataFrame:
-    """``(doc_id, n_words, n_features, weight, score)`` of every document."""
+def weigh(found: DataFrame, gain: np.ndarray, how: Resampling) -> DataFrame:
+    """``(doc_id, n_words, n_features, weight, score)`` of every row of ``found(doc_id, n_words, buckets)``."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunked(batches):
-            counts, buckets, owner = features(part.column("text"), how)
-            n = np.bincount(owner, minlength=len(counts))
-            # sums of whole numbers below 2 ** 53 are exact in doubles
-            total = np.bincount(owner, gain[buckets], minlength=len(counts)).astype(np.int64)
-            weight = np.where(n > 0, total // np.maximum(n, 1), 0)
+        for part in batches:
+            buckets, n = numbers_of(part.column("buckets"), how)
+            sums = np.concatenate([[0], np.cumsum(gain[buckets])])
+            ends = np.cumsum(n)
+            weight = np.where(n > 0, (sums[ends] - sums[ends - n]) // np.maximum(n, 1), 0)
             ids = part.column("doc_id")
             score = weight + np.array([noise(i, how.seed) for i in ids.to_pylist()], np.int64)
-            yield from pa.table([one_array(ids), counts, n, weight, score], schema=WEIGHED_ARROW).to_batches()
+            yield pa.RecordBatch.from_arrays(
+                [ids, part.column("n_words"), pa.array(n), pa.array(weight), pa.array(score)], schema=WEIGHED_ARROW
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, WEIGHED)
+    return found.select("doc_id", "n_words", "buckets").mapInArrow(task, WEIGHED)
 
 
 def resample(docs: DataFrame, target: DataFrame, how: Resampling = Resampling()) -> DataFrame:
     """``(doc_id, n_features, weight, score, rank)`` of every document; ``rank`` is null for those not drawn."""
-    gain = gains(bucket_counts(docs, how), bucket_counts(target, how))
-    weighed = written(weigh(docs, gain, how), "weighed")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = written(featured(given, how, "doc_id"), "features")
+    gain = gains(bucket_counts(found, how), bucket_counts(featured(target, how), how))
+    weighed = written(weigh(found, gain, how), "weighed")
     long_enough = F.col("n_words") >= how.min_words
     drawn = how.percent * weighed.filter(long_enough).count() // 100
     order = [

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisift.llm.common import CHUNK_CHARS, chunked, give_back, packed, unpacked
+from evisift.llm.common import CHUNK_CHARS, chunked, give_back, packed, small_batches, unpacked
 
 #: Characters of text whose keys share one bucket: with it a bucket stays at some MB.
 BUCKET_CHARS = 12_000_000
@@ -242,6 +242,7 @@ def ask_all(
     depend on how keys are dealt to parts. ``finish`` gets the
     chunk and a function that returns an answer array in the order of the keys asked.
     """
+    small_batches(docs.sparkSession)
     route = Route.over(max(1, int(chars) // BUCKET_CHARS))
     deal = own_keys(ask, route.buckets)
 

@@ -30,6 +30,8 @@ SHINGLE_WORDS = 5
 #: Similarity from which texts and passages are near duplicates, as percent.
 SIMILAR_PERCENT = 75
 
+#: Rows of one batch between Spark and Python.
+BATCH_ROWS = 1_000
 #: The C library's call that returns free memory, where there is one.
 TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -110,6 +112,13 @@ def chunked(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int =
         give_back()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let texts go to Python in batches of no more than ``BATCH_ROWS``, which both sides hold whole, unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def give_back() -> None:
     """Return free memory to the machine: a Python worker lives on after its task, with other workers beside it."""
     pa.default_memory_pool().release_unused()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisift.llm.common import PLAIN_WORD, free_name
+from evisift.llm.common import PLAIN_WORD, free_name, small_batches
 from evisift.session import written
 
 WINDOW_WORDS = 10
@@ -166,6 +166,7 @@ def item_blocks(benchmark: DataFrame, window: int, block_chars: int | None) -> I
 
     ``block_chars`` is how much text a block may have; every character stands in at most ``window`` windows.
     """
+    small_batches(benchmark.sparkSession)
     most = BLOCK_NODES // window if block_chars is None else block_chars
     pieces = pieces_of(benchmark, window)
     chars = pieces.agg(F.coalesce(F.sum(F.length("text") + 2), F.lit(0))).first()[0]

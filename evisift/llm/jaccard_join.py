@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from evisift.llm import chunks
 from evisift.llm.chunks import Arrays
 from evisift.llm.common import (
-    SIMILAR_PERCENT, free_name, mixed, one_array, packed, spaced_words, text_shingles, unpacked, with_partners, word_hashes,
+    SIMILAR_PERCENT, free_name, give_back, mixed, one_array, packed, spaced_words, text_shingles, unpacked, with_partners, word_hashes,
 )
 from evisift.llm.components import components
 from evisift.session import written
@@ -180,6 +180,8 @@ def mostly_common(sets: DataFrame, percent: int) -> DataFrame:
         bodies = [unpacked(x.as_py()) for x in group.column("keys")]
         _, which, counts = np.unique(np.concatenate([b["0.key"] for b in bodies]), return_inverse=True, return_counts=True)
         ids, n = np.unique(np.concatenate([b["0.id"] for b in bodies])[counts[which] > 1], return_counts=True)
+        del bodies, which, counts
+        give_back()
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64())})
 
     deal = chunks.own_keys(lambda body: [(body["key"], body)], route.buckets)
@@ -293,6 +295,8 @@ def boundary_links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFra
             group.column("doc_id").to_numpy(), group.column("label").to_numpy(), lists.flatten().to_numpy(),
             lists.value_lengths().to_numpy(), percent,
         ).links()
+        del lists
+        give_back()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return few.union(with_sets.groupBy("seat", "i", "j").applyInArrow(join_region, "a long, b long"))
@@ -330,12 +334,18 @@ class RegionJoin:
         return self.found
 
     def measure(self, pivot: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Common and all shingles of the pivot and each other, some ``PORTION_SHINGLES`` at a time."""
         mine = np.sort(self.shingles[self.starts[pivot] : self.starts[pivot] + self.sizes[pivot]])
         sizes = self.sizes[others]
-        place = np.repeat(self.starts[others] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        values = self.shingles[place]
-        hit = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
-        common = np.add.reduceat(hit, np.cumsum(sizes) - sizes)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PORTION_SHINGLES, prepend=0))
+        common = np.empty(len(others), np.int64)
+        for part in np.split(np.arange(len(others)), cuts):
+            if len(part):
+                n = sizes[part]
+                place = np.repeat(self.starts[others[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                values = self.shingles[place]
+                hit = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
+                common[part] = np.add.reduceat(hit, np.cumsum(n) - n)
         return common, sizes + self.sizes[pivot] - common
 
     def unite(self, a: int, b: int) -> None:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisift.llm.common import UPPER, chunked, one_array, spaced_words, word_hashes
+from evisift.llm.common import UPPER, chunked, one_array, small_batches, spaced_words, word_hashes
 
 SLOTS = 2**18
 #: Most labelled documents (about) that the linear scorer is fitted on.
@@ -275,6 +275,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample_docs: int) -> pa.
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the two linear scorers: low quality, toxicity."""
+    small_batches(docs.sparkSession)
     votes = with_human(text_votes(docs), labels)
     counted = votes.groupBy(*dict.fromkeys(QUALITY + TOXICITY)).count().withColumnRenamed("count", "n")
     patterns = counted.toPandas()  # at most 3 ** labellers rows

@@ -103,6 +103,8 @@ def pieces(path: str) -> list[bytes]:
     table = [b""] * model.get_vocab_size()
     for piece, number in model.get_vocab().items():
         table[number] = piece.encode() if piece in specials else bytes(byte_of[c] for c in piece)
+    del model
+    tokenizer.cache_clear()
     return table
 
 
@@ -110,6 +112,7 @@ def encode_words(words: np.ndarray, path: str) -> np.ndarray:
     """For each of distinct words, its ids in decimal, joined by commas."""
     out = np.empty(len(words), object)
     out[:] = [",".join(map(str, e.ids)) for e in tokenizer(path).encode_batch(words.tolist(), add_special_tokens=False)]
+    tokenizer.cache_clear()  # of about 100 MB, which would stay with the worker
     return out
 
 

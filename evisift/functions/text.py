@@ -82,6 +82,31 @@ def any_of(literals: Iterable[str]) -> str:
     return "(?:" + "|".join(escape(x) for x in literals) + ")"
 
 
+#: Most words of a pattern that is a prefix tree.
+TREE_WORDS = 2000
+
+
+def word_tree(words: Iterable[str]) -> str:
+    """A pattern for any of these words of letters and digits, as a prefix tree; the shorter of two that begin alike comes last.
+
+    Whoever uses it says what may stand before and behind the word.
+    """
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for char in word:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = [escape(char) + pattern(below) for char, below in sorted(node.items(), reverse=True) if char]
+        if "" in node and parts:
+            parts.append("")
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+
+    return pattern(tree) if tree else "(?!)"
+
+
 def clean(text: Column) -> Column:
     """Drop glyph artefacts, strip every line and keep at most one blank line in a row."""
     def lines(flat: Column) -> Column:

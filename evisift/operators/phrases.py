@@ -9,7 +9,9 @@ What the form asks before its first and after its last run (``c++``, ``.net``) i
 characters around the core that travel with it.
 
 So neither the text nor a single unselective word crosses an exchange, and a row that does is as long as a form.
-Rows of one core, however frequent, are dealt over ``SPREAD`` tasks.
+Rows of one core, however frequent, are dealt over ``SPREAD`` tasks. Of a large vocabulary, the forms whose core stands
+in some text are found first, by one exchange of the forms; only they are repeated for these tasks. Of a small one, the
+first runs are part of the pattern, so a text explodes to n-grams that begin like a form.
 """
 
 from __future__ import annotations
@@ -19,11 +21,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evisift.functions.text import SPACE_CLASS
+from evisift.functions.text import SPACE_CLASS, TREE_WORDS, word_tree
+from evisift.session import written
 
 #: Tasks that the rows of one core are dealt over; every form stands once in each.
 SPREAD = 8
+#: With more forms, those without any text are left out before the others are repeated.
+MANY_FORMS = 100_000
+VOCAB = ("grp", "grp_ord", "canonical", "ord", "surface", "tier")
 GLUE = rf"[{SPACE_CLASS}\-_]+"
+INNER = r"(?s)^[^a-z0-9]*(.*[a-z0-9])"  # a form from its first to its last run
 EDGE = "\x00"  # stands for nothing where the text begins and ends
 
 
@@ -31,53 +38,89 @@ def core_of(text: Column) -> Column:
     return F.regexp_replace(text, GLUE, " ")
 
 
-def forms(vocab: DataFrame) -> DataFrame:
+def forms(vocab: DataFrame, *also: str) -> DataFrame:
     """The surface forms of a vocabulary table with their cores, and what they ask around them.
 
-    ``_exact`` marks the few forms of which a core says too little (such as ``fine-tuning``, where nothing but the hyphen will
-    do); their own pattern decides.
+    ``_exact`` is the pattern of the few forms of which a core says too little (such as ``fine-tuning``, where nothing but the
+    hyphen will do); else NULL.
     """
     surface = F.lower("surface")
-    inner = F.regexp_extract(surface, r"(?s)^[^a-z0-9]*(.*[a-z0-9])", 1)
+    inner = F.regexp_extract(surface, INNER, 1)
     lead = F.regexp_extract(surface, "(?s)^[^a-z0-9]*", 0)
     trail = F.regexp_extract(surface, "(?s)[^a-z0-9]*$", 0)
+    exact = (core_of(surface) != surface) | surface.rlike(f"^{GLUE}|{GLUE}$")
     escaped = F.regexp_replace(surface, r"([^a-z0-9 _])", r"\\$1")
     pattern = F.replace(escaped, F.lit(" "), F.lit(GLUE))
+    bounded = F.concat(F.lit("(?<![a-z0-9])"), pattern, F.lit("(?![a-z0-9])"))
     return vocab.select(
         core_of(inner).alias("_core"), lead.alias("_lead"), trail.alias("_trail"),
         F.size(F.regexp_extract_all(surface, F.lit("[a-z0-9]+"), F.lit(0))).alias("_runs"),
-        ((core_of(surface) != surface) | surface.rlike(f"^{GLUE}|{GLUE}$")).alias("_exact"),
-        F.concat(F.lit("(?<![a-z0-9])"), pattern, F.lit("(?![a-z0-9])")).alias("_pattern"),
+        F.when(exact, bounded).alias("_exact"),
         "grp", "canonical", "tier", "surface",
         F.struct("grp_ord", "ord").alias("term_ord"),
+        *also,
     )
 
 
-def shape(vocab: DataFrame) -> tuple[list[int], int, int]:
-    """The numbers of runs that forms have, the characters to look at on either side, and the longest core: one row."""
+def shape(vocab: DataFrame) -> tuple[list[int], int, int, int]:
+    """The numbers of runs that forms have, the characters to look at on either side, the longest core, and how many forms: one row."""
     asked = forms(vocab).agg(
         F.array_sort(F.collect_set("_runs")).alias("runs"),
         F.coalesce(F.max(F.greatest(F.length("_lead"), F.length("_trail"))), F.lit(0)).alias("beside"),
         F.coalesce(F.max(F.length("_core")), F.lit(0)).alias("longest"),
+        F.count("*").alias("forms"),
     ).first()
-    return [n for n in asked["runs"] if n > 0], asked["beside"] + 1, asked["longest"]
+    return [n for n in asked["runs"] if n > 0], asked["beside"] + 1, asked["longest"], asked["forms"]
 
 
-def gram_pattern(runs: int, beside: int) -> str:
-    """Captures, at every place where they stand, ``runs`` runs with ``beside`` characters on either side."""
-    side = f".{{{beside}}}"
-    more = f"(?:[^a-z0-9]++[a-z0-9]++){{{runs - 1}}}" if runs > 1 else ""
-    return f"(?s)(?=({side}(?<![a-z0-9])[a-z0-9]++{more}{side}))"
+def first_run() -> Column:
+    return F.regexp_extract("_core", "[a-z0-9]+", 0)
 
 
-def grams(body: Column, runs: Sequence[int], beside: int) -> Column:
+def heads_by_runs(vocab: DataFrame, n_forms: int) -> dict[int, list[str]]:
+    """The first runs of forms, by the number of runs; nothing where there are more than a pattern should hold."""
+    if n_forms > TREE_WORDS:
+        return {}
+    rows = forms(vocab).select("_runs", first_run().alias("head")).distinct().collect()
+    out: dict[int, list[str]] = {}
+    for row in rows:
+        out.setdefault(row["_runs"], []).append(row["head"])
+    return out
+
+
+def gram_pattern(runs: int, beside: int, heads: Sequence[str] | None = None) -> str:
+    """Captures, at every place where they stand, ``runs`` runs with what stands beside them.
+
+    What stands beside is what is neither letter nor digit, up to ``beside`` characters; where it is shorter, a run is next to it.
+    ``heads``: what the first run may be, where not all are wanted.
+    """
+    other = "[^a-z0-9]"
+    before = f"(?:(?<!{other}){other}{{1,{beside}}}|{other}{{{beside}}})"
+    first = "[a-z0-9]++" if heads is None else f"{word_tree(heads)}(?![a-z0-9])"
+    more = f"(?:{other}++[a-z0-9]++){{{runs - 1}}}" if runs > 1 else ""
+    return f"(?=({before}{first}{more}{other}{{1,{beside}}}))"
+
+
+def grams(body: Column, runs: Sequence[int], beside: int, heads: dict[int, list[str]] | None = None) -> Column:
     """The distinct n-grams of a text, each with the characters beside it."""
     edge = EDGE * beside
     padded = F.concat(F.lit(edge), F.lower(body), F.lit(edge))
-    found = [F.regexp_extract_all(padded, F.lit(gram_pattern(n, beside)), F.lit(1)) for n in runs]
+    found = [
+        F.regexp_extract_all(padded, F.lit(gram_pattern(n, beside, heads[n] if heads else None)), F.lit(1)) for n in runs
+    ]
     return F.array_distinct(F.concat(*found) if found else F.array().cast("array<string>"))
 
 
+def with_text(vocab: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of a vocabulary whose core has a hash that is ``asked(_hash, _part)`` for, in the parts that ask.
+
+    Each row of the vocabulary crosses one exchange, once. One that shares no more than the hash finds no partner later.
+    """
+    own = core_of(F.regexp_extract(F.lower("surface"), INNER, 1))
+    keyed = vocab.select(*VOCAB, F.xxhash64(own).alias("_hash"))
+    return written(keyed.join(asked.distinct(), "_hash").select(*VOCAB, "_part"), "forms")
+
+
 def match_grams(
     units: DataFrame, keys: Sequence[str], body: str, vocab: DataFrame, columns: Sequence[str], carry: Column | None = None,
 ) -> DataFrame:
@@ -85,27 +128,34 @@ def match_grams(
 
     Rows for which ``carry`` holds pass through once with NULL terms, also where nothing matches.
     """
-    runs, beside, longest = shape(vocab)
+    runs, beside, longest, n_forms = shape(vocab)
     carried = F.lit(False) if carry is None else carry
-    cut = units.select(*keys, carried.alias("_carry"), F.explode_outer(grams(F.col(body), runs, beside)).alias("_gram"))
-    core = core_of(F.substring(F.col("_gram"), F.lit(beside + 1), F.length("_gram") - 2 * beside))
+    found_grams = grams(F.col(body), runs, beside, heads_by_runs(vocab, n_forms))
+    core = core_of(F.regexp_extract("_gram", INNER, 1))
+    share = F.pmod(F.xxhash64(*keys), F.lit(SPREAD)).cast("int")
+    if n_forms > MANY_FORMS:
+        own = units.select(share.alias("_part"), F.explode(found_grams).alias("_gram")).select("_part", core.alias("_own"))
+        asked = own.filter(F.length("_own") <= longest).select(F.xxhash64("_own").alias("_hash"), "_part")
+        # the files of these forms are far smaller than their rows, so their size is no reason to broadcast them
+        side = forms(with_text(vocab, asked), "_part").hint("merge")
+    else:
+        side = forms(vocab).select("*", F.explode(F.array(*map(F.lit, range(SPREAD)))).alias("_part"))
+    cut = units.select(*keys, carried.alias("_carry"), F.explode_outer(found_grams).alias("_gram"))
     # rows without a core, such as carriers, find no partner; keys of their own keep them from meeting in one task
     alone = F.concat(F.lit(EDGE), F.xxhash64(*keys).cast("string"))
     keyed = cut.withColumn("_own", core).filter((F.length("_own") <= longest) | F.col("_carry")).select(
-        *keys, "_carry", "_gram",
-        F.coalesce("_own", alone).alias("_key"), F.pmod(F.xxhash64(*keys), F.lit(SPREAD)).cast("int").alias("_share"),
+        *keys, "_carry", "_gram", F.coalesce("_own", alone).alias("_key"), share.alias("_share"),
     )
-    shares = F.explode(F.array(*map(F.lit, range(SPREAD))))
-    side = forms(vocab).select("*", shares.alias("_part"))
     joined = keyed.join(
         side, (F.col("_key") == F.col("_core")) & (F.col("_share") == F.col("_part")), "inner" if carry is None else "left"
     )
-    before = F.left("_gram", F.lit(beside))
-    after = F.right("_gram", F.lit(beside))
+    before = F.regexp_extract("_gram", "^[^a-z0-9]+", 0)
+    after = F.regexp_extract("_gram", "[^a-z0-9]+$", 0)
     fits = (
-        before.endswith(F.col("_lead")) & after.startswith(F.col("_trail"))
-        & ~F.substring(before, beside - F.length("_lead"), 1).rlike("[a-z0-9]")
-        & ~F.substring(after, F.length("_trail") + 1, 1).rlike("[a-z0-9]")
+        before.endswith(F.col("_lead")) & (F.length(before) > F.length("_lead"))
+        & after.startswith(F.col("_trail")) & (F.length(after) > F.length("_trail"))
     )
-    found = F.when(F.col("_exact"), F.rlike("_gram", "_pattern")).otherwise(fits)
+    # where less stands beside the runs than was looked for, a letter or digit is next to it
+    alike = F.rlike(F.concat(F.lit("x"), "_gram", F.lit("x")), "_exact")
+    found = F.when(F.col("_exact").isNotNull(), alike).otherwise(fits)
     return joined.filter(found | F.col("_carry")).select(*keys, *columns)

@@ -339,11 +339,11 @@ def phrases_of_documents(spark, sf_dir) -> DataFrame:
     pairs = listed.select(F.explode(F.transform(
         F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.slice("words", i, 2))
     )).alias("surface"))
-    known = pairs.distinct().filter(F.col("surface").rlike("[a-z0-9]"))
-    return written(known.select(
+    known = written(pairs.filter(F.col("surface").rlike("[a-z0-9]")).distinct(), "phrases")
+    return known.select(
         F.lit("given").alias("grp"), F.lit(0).alias("grp_ord"), F.col("surface").alias("canonical"),
         F.lit(0).alias("ord"), "surface", F.lit(None).cast("string").alias("tier"),
-    ), "phrases")
+    )
 
 
 _PAIR_FORMS = rf"""

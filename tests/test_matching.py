@@ -175,3 +175,30 @@ def test_a_frequent_core_is_dealt_over_several_tasks(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     # "the the" gives two grams of "the": the characters beside them differ
     assert len(counts) == 2 * SPREAD and sum(counts.values()) == 600 and max(counts.values()) < 600 / 4
+
+
+def test_a_large_vocabulary_is_repeated_only_where_texts_ask(spark, monkeypatch):
+    from evisift.operators import phrases
+
+    rows = [("g", 0, f"T{k}", k, f"word{k} x", None) for k in range(40)] + [("g", 0, "Odd", 40, "fine-tuning", None)]
+    table = spark.createDataFrame(rows, "grp string, grp_ord int, canonical string, ord int, surface string, tier string")
+    docs = spark.createDataFrame([(k, f"word{k} x, then word1 X; fine-tuning") for k in range(6)], "doc_id int, text string")
+    expected = {(k, name) for k in range(6) for name in (f"T{k}", "T1", "Odd")}
+    kept = []
+    real = phrases.with_text
+    monkeypatch.setattr(phrases, "MANY_FORMS", 10)
+    monkeypatch.setattr(phrases, "with_text", lambda *a: kept.append(real(*a)) or kept[-1])
+    found = {(r.doc_id, r.canonical) for r in terms_in_text(docs, table).collect()}
+    assert found == expected
+    stored = kept[0].groupBy("canonical").count().collect()
+    assert {r.canonical for r in stored} == {"Odd", *(f"T{k}" for k in range(6))}
+    # a form that one text asks for stands in one part, not in all
+    assert all(r["count"] == 1 for r in stored if r.canonical not in ("Odd", "T1"))
+
+
+def test_first_runs_that_begin_alike_are_told_apart(spark):
+    small = Vocabulary.of({"g": {"Java": ["java"], "Script": ["javascript"], "Two": ["java script"]}})
+    texts = ["java", "javascript", "Java-Script", "javas", "xjava", "9java", "java javascript"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = sorted((r.doc_id, r.canonical) for r in terms_in_text(docs, small.table(spark)).collect())
+    assert found == [(0, "Java"), (1, "Script"), (2, "Java"), (2, "Two"), (6, "Java"), (6, "Script")]

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -42,6 +43,9 @@ DIGEST_ARROW = pa.schema([
 ])
 CODES_ARROW = pa.schema([*DIGEST_ARROW, ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
+#: Words handed to the tokenizer at once: what it returns for a word takes about a kilobyte.
+ENCODED_WORDS = 10_000
+
 
 @lru_cache(4)
 def tokenizer(path: str) -> Tokenizer:
@@ -111,7 +115,10 @@ def pieces(path: str) -> list[bytes]:
 def encode_words(words: np.ndarray, path: str) -> np.ndarray:
     """For each of distinct words, its ids in decimal, joined by commas."""
     out = np.empty(len(words), object)
-    out[:] = [",".join(map(str, e.ids)) for e in tokenizer(path).encode_batch(words.tolist(), add_special_tokens=False)]
+    for at in range(0, len(words), ENCODED_WORDS):
+        portion = tokenizer(path).encode_batch(words[at : at + ENCODED_WORDS].tolist(), add_special_tokens=False)
+        out[at : at + ENCODED_WORDS] = [",".join(map(str, e.ids)) for e in portion]
+        del portion
     tokenizer.cache_clear()  # of about 100 MB, which would stay with the worker
     return out
 
@@ -132,19 +139,20 @@ def encode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
     chars = chunks.corpus_chars(docs)
 
     def pack(part: pa.Table) -> Arrays:
-        counts, flat = [], []
+        counts, codes = [], array("i")
+        number: dict[str, int] = {}  # only distinct words are held, not one string for each word of a chunk
         for text in part.column("text").to_pylist():
             words = split_text(text, specials, odd) if text else []
             counts.append(len(words))
-            flat += words
-        coded = pa.array(flat, pa.string()).dictionary_encode()
-        order = pc.sort_indices(coded.dictionary)  # sorted words and their ids take less room
+            codes.extend([number.setdefault(w, len(number)) for w in words])
+        distinct = pa.array(list(number), pa.string())
+        order = pc.sort_indices(distinct)  # sorted words and their ids take less room
         place = np.empty(len(order), np.int32)
         place[order.to_numpy(zero_copy_only=False)] = np.arange(len(order), dtype=np.int32)
         return {
             **chunks.ids_of(part), "counts": np.array(counts, np.int64),
-            "codes": place[coded.indices.to_numpy(zero_copy_only=False)],
-            "words": coded.dictionary.take(order).to_numpy(zero_copy_only=False),
+            "codes": place[np.array(codes, np.int32)],
+            "words": distinct.take(order).to_numpy(zero_copy_only=False),
         }
 
     def ask(body: Arrays) -> list[tuple[np.ndarray, Arrays]]:
@@ -160,13 +168,13 @@ def encode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
         of_word = reply("0.ids")
         decoded_word = decode_words(of_word, pieces(path))
         n_ids = np.array([x.count(",") + 1 for x in of_word.tolist()], np.int64)
-        ids, decoded = (x[body["codes"]].tolist() for x in (of_word, decoded_word))
-        sizes = np.concatenate([[0], np.cumsum(n_ids[body["codes"]] if len(n_ids) else [])]).astype(np.int64)
+        codes = body["codes"]
+        sizes = np.concatenate([[0], np.cumsum(n_ids[codes] if len(n_ids) else [])]).astype(np.int64)
         ends = np.cumsum(body["counts"])
         out = {f.name: [] for f in (CODES_ARROW if texts else DIGEST_ARROW)}
         for doc, a, b in zip(chunks.with_nulls(body).to_pylist(), (ends - body["counts"]).tolist(), ends.tolist()):
-            all_ids = ",".join(ids[a:b])
-            text = b"".join(decoded[a:b]).decode("utf-8", "replace")
+            all_ids = ",".join(of_word[codes[a:b]].tolist())
+            text = b"".join(decoded_word[codes[a:b]].tolist()).decode("utf-8", "replace")
             out["doc_id"].append(doc)
             out["n_tokens"].append(int(sizes[b] - sizes[a]))
             out["ids_sha256"].append(hashlib.sha256(all_ids.encode()).hexdigest())

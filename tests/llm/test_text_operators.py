@@ -407,3 +407,29 @@ def test_expectation_maximisation_finds_good_labellers():
     patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     bad = quality_classifier.expectation_maximisation(patterns, counts.astype(float))
     assert ((bad > 0.5)[which.ravel()] == truth).mean() > 0.9
+
+
+def test_words_reach_the_tokenizer_in_portions(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+
+    from evisift.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = np.array([f" word{k}" for k in range(25)] + ["\n", "é"], object)
+    whole = bpe.encode_words(words, path).tolist()
+    real, sizes = bpe.tokenizer(path), []
+
+    class Counting:
+        def encode_batch(self, given, **how):
+            sizes.append(len(given))
+            return real.encode_batch(given, **how)
+
+    def counting(_):
+        return Counting()
+
+    counting.cache_clear = lambda: None
+    monkeypatch.setattr(bpe, "tokenizer", counting)
+    monkeypatch.setattr(bpe, "ENCODED_WORDS", 10)
+    assert bpe.encode_words(words, path).tolist() == whole
+    assert sizes == [10, 10, 7]

@@ -3,31 +3,31 @@
 The tokens of a document are its 5-word shingles. Under a hash function, all passages whose
 smallest token is the one at place c form one *compact window* (l, c, r): those that start in
 [l, c] and end in [c, r]. The compact windows are the nodes of the Cartesian tree over the
-hashes; only nodes that span a passage of ``passage_words`` are needed, and the parent of such
-a node is one too, so the tree is built over these few places (about 2 in 47) alone.
+hashes; only nodes that span a run of ``sure_run`` tokens are needed, and the parent of such
+a node is one too, so the tree is built over these few places (about 2 in 21) alone.
 
-1. Every document asks for each of its windows, under ``functions`` hash functions, which
+A stretch of ``passage_words`` words is a near duplicate of another one if at least ``least_common`` of its 46 shingles
+are equal in place, which is a similarity of 0.75 or more. One differing word inside it costs five shingles, so at most one gap
+fits, and 20 of the equal shingles stand in a row (``sure_run``). The smallest token of that row is chosen in both documents:
+no near duplicate is missed for want of a common token, and one hash function is enough.
+
+1. Every document asks for each of its windows which
    document is the first (smallest doc_id) with the same signature (``chunks``). A signature is
-   the smallest token together with the token 15 places before it, or with the one 15 places
-   behind: a passage of 50 words has one of them inside, and texts that share no more than
-   a set phrase do not meet. Groups of any size cost one entry
-   per window: a member meets the first document of its group and the one before it, not all.
-2. Windows of one document that meet the same other document at the same shift, under whichever
-   hash functions, are joined to one interval.
+   the smallest token together with the 10 tokens before it, or with the 10 behind:
+   a row of 20 has one of them inside. Groups of any size cost one entry
+   per window: a member meets the first document of its group, and the first one that has the same tokens around the
+   window's smallest (its *context*: all stretches that hold the token), or else the one before it.
+2. Windows of one document that meet the same other document at the same shift are joined to one interval.
 3. Verification: in the interval, every stretch of ``passage_words`` words is compared with the
-   first document's at that shift. It is a near duplicate if at least ``least_common`` of its 46
-   shingles are equal in place, which is a similarity of 0.75 or more. Passages are the
-   unions of such stretches, from their first to their last common shingle.
-4. Where a group has three or more documents, two of its members may share what neither shares
-   with the first. So every stretch around a window's smallest shingle that is no near duplicate of
-   the first document's, or not from end to end, goes by the hash of all its shingles: documents with the same one meet the
-   first of them. Equal stretches compare alike with the first of their group, so either all of
-   them are found in step 3 or all of them meet here, whatever the size of the group.
-
-A word-for-word repeat of 50 words or more has equal min-hashes under every function, so it is
-always found, in groups of any size. A passage with edits is found if one function's smallest shingle is common (with a
-similarity of s under f functions: 1 - (1 - s) ** f at least, for each stretch of 50 words) and its
-document or the other one is the group's first, or they stand side by side in the group.
+   first document's at that shift. Passages are the
+   unions of the stretches that are near duplicates, from their first to their last common shingle.
+4. Where a group has three or more different contexts, two of its members may share what neither shares
+   with the first. So one member for each context is compared with that of every other context, stretch by stretch. Copies
+   cost nothing here, as their context is the same; groups of more than ``BLOCK`` contexts are dealt over tasks in pairs of blocks.
+
+So all passages are found, in groups of any size, edited or not. Step 4 takes time by the square of the contexts
+in a group (a line that documents share in different surroundings) only beyond ``BLOCK``, memory by two blocks: in a block of many, contexts meet
+by hashes of 40 tokens, for each way to leave out six of 46 (six at the ends, or a gap of five or six).
 
 Defined results: null, empty and short texts have no passages; repeats inside one document do
 not count; repeated rows of a doc_id count as one document; a row with a null doc_id meets no other
@@ -38,7 +38,7 @@ space, ASCII lower-cased.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,31 +48,36 @@ from pyspark.sql import functions as F
 from evisift.llm import chunks
 from evisift.llm.chunks import Arrays
 from evisift.llm.common import (
-    SHINGLE_WORDS, SIMILAR_PERCENT, SPACED_WORD, free_name, mixed, packed, run_hashes, salted_join, spaced_words, unpacked,
-    with_partners, word_hashes,
+    SHINGLE_WORDS, SIMILAR_PERCENT, SPACED_WORD, free_name, give_back, mixed, packed, run_hashes, salted_join, spaced_words,
+    unpacked, word_hashes,
 )
 from evisift.llm.components import components
 from evisift.session import written
 
 PASSAGE_WORDS = 50
-FUNCTIONS = 3
-#: Distance between the smallest token of a window and the token that its signature also holds.
-BESIDE = 15
+FUNCTIONS = 1
+#: Contexts of one group that are compared in one go.
+BLOCK = 20_000
+#: From so many contexts on, a group is compared by what its members have in common, not pair by pair.
+CROWD = 400
+#: Of the hash of a range of tokens.
+BASE = 0x9E3779B97F4A7C15
 
 FOUND = (
-    "doc_id long, kind int, n_words long, first_doc long, shift long, low long, high long, n_hashes int, body binary"
+    "doc_id long, kind int, n_words long, first_doc long, shift long, low long, high long, n_hashes int, body binary, key long, "
+    "seat long"
 )
 FOUND_ARROW = pa.schema([
     ("doc_id", pa.int64()), ("kind", pa.int32()), ("n_words", pa.int64()), ("first_doc", pa.int64()), ("shift", pa.int64()),
-    ("low", pa.int64()), ("high", pa.int64()), ("n_hashes", pa.int32()), ("body", pa.binary()),
+    ("low", pa.int64()), ("high", pa.int64()), ("n_hashes", pa.int32()), ("body", pa.binary()), ("key", pa.int64()), ("seat", pa.int64()),
 ])
-#: Kinds of rows above: every document; one that others may meet; an interval that meets an earlier document.
-DOCUMENT, FIRST, MEMBER = 0, 1, 2
+#: Kinds of rows above: every document; one that others may meet; an interval that meets an earlier document; a context that other
+#: contexts of its group are compared with; a context that a later document has too, at a further place of the first one.
+DOCUMENT, FIRST, MEMBER, CONTEXT, AGAIN = 0, 1, 2, 3, 4
 
+#: Either side is null where a row tells only the other one's words, and both where it tells only that two documents share some.
 PASSAGES = "doc_id long, first_doc long, start long, end long, first_start long, first_end long"
-#: With a key: a stretch that is no near duplicate of the first document's.
-COMPARED = PASSAGES + ", key long"
-COMPARED_ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "first_doc", "start", "end", "first_start", "first_end", "key")])
+PASSAGES_ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "first_doc", "start", "end", "first_start", "first_end")])
 
 
 def least_common(tokens: int, percent: int = SIMILAR_PERCENT) -> int:
@@ -80,6 +85,11 @@ def least_common(tokens: int, percent: int = SIMILAR_PERCENT) -> int:
     return -(-2 * percent * tokens // (100 + percent))
 
 
+def sure_run(width: int, least: int) -> int:
+    """Tokens in a row that are equal wherever ``least`` of ``width`` tokens are: a differing word inside costs ``SHINGLE_WORDS``."""
+    return -(-least // ((width - least) // SHINGLE_WORDS + 1))
+
+
 def sliding(extreme: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     """Minimum or maximum of every ``width`` consecutive values."""
     span, out = 1, values
@@ -90,7 +100,7 @@ def sliding(extreme: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Tokens:
-    """The shingle sequences of a chunk's documents, one after the other."""
+    """The shingle sequences of a chunk's documents, one after the other; ``width`` tokens in a row have a window."""
 
     def __init__(self, body: Arrays, width: int):
         counts = np.maximum(body["counts"].astype(np.int64) - SHINGLE_WORDS + 1, 0)
@@ -146,17 +156,33 @@ class Tokens:
     def seats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place, hash function and signature of every window; each place has one or two signatures."""
         places, functions, keys = [], [], []
+        beside = self.width // 2
         for f in range(FUNCTIONS):
             place = self.thinned(self.places(f), f)
-            hashed = self.hashed(f)[place]
-            for side in (-BESIDE, BESIDE):
-                beside = place + side
-                inside = (beside >= self.starts[self.owner[place]]) & (beside < self.ends[self.owner[place]])
+            for low, high in ((place - beside, place + 1), (place, place + beside + 1)):
+                inside = (low >= self.starts[self.owner[place]]) & (high <= self.ends[self.owner[place]])
                 places.append(place[inside])
                 functions.append(np.full(int(inside.sum()), f))
-                keys.append(mixed(hashed[inside] + mixed(self.values[beside[inside]], 401 + side), 501 + f))
+                keys.append(mixed(self.ranges(low[inside], high[inside]), 501 + f))
         return np.concatenate(places), np.concatenate(functions), np.concatenate(keys)
 
+    def ranges(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A hash of the tokens from ``low`` to before ``high``."""
+        powers, inverse = (np.multiply.accumulate(np.full(len(self.values) + 1, x, np.uint64)) for x in (BASE, pow(BASE, -1, 2**64)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values * powers[:-1], dtype=np.uint64)])
+        return mixed((sums[high] - sums[low]) * inverse[low], 401)
+
+    def around(self, places: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last (exclusive) token of the context: ``reach`` tokens on either side, as far as the document goes."""
+        owner = self.owner[places]
+        return np.maximum(places - reach, self.starts[owner]), np.minimum(places + reach + 1, self.ends[owner])
+
+    def contexts(self, places: np.ndarray, reach: int) -> np.ndarray:
+        """A hash of each place's context, and of where the place stands in it."""
+        low, high = self.around(places, reach)
+        where = (places - low) * (2 * reach + 1) + (high - places)
+        return mixed(self.ranges(low, high) + mixed(where.astype(np.uint64), 402), 403)
+
     def windows(self, function: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Compact windows: place, first and last token, from the Cartesian tree over the places."""
         places = self.places(function)
@@ -179,92 +205,128 @@ def pack(part: pa.Table) -> Arrays:
     return {**chunks.ids_of(part), "counts": counts, "codes": codes.astype(np.int32), "hashes": word_hashes(words)}
 
 
-def earlier_with_key(keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> Arrays:
-    """For each entry: does its key occur in several documents; where first, and where in the document before.
+def earlier_with_key(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, contexts: np.ndarray) -> Arrays:
+    """For each entry: does its key occur in several documents; where first, and where with the same context, or else in the document before.
 
-    In the first document itself both are its own place. ``wanted``: a later document has the key. ``crowded``: three documents or more have it.
+    In the first document itself all are its own place. ``wanted``: a later document has the key. ``compare``: the entry stands
+    for its context, and the first of the key doesn't tell all about it: there are three contexts or more, or a document has the key twice.
+    ``again``: a further place of the first document with this context, which others have too.
     """
+    names = ("several", "wanted", "compare", "again")
+    if not len(keys):
+        return {n: np.empty(0, bool) for n in names} | {n: np.empty(0, x.dtype) for n, x in (("first", docs), ("at", places), ("before", docs), ("before_at", places))}
     order = np.lexsort((places, docs, keys))
-    keys, docs, places = keys[order], docs[order], places[order]
-    new_key = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, bool)
-    new_doc = new_key | np.concatenate([[True], docs[1:] != docs[:-1]]) if len(keys) else new_key
+    keys, docs, places, contexts = keys[order], docs[order], places[order], contexts[order]
     spot = np.arange(len(keys))
-    key_start = np.maximum.accumulate(np.where(new_key, spot, 0)) if len(keys) else spot
-    doc_start = np.maximum.accumulate(np.where(new_doc, spot, 0)) if len(keys) else spot
+    new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
+    new_doc = new_key | np.concatenate([[True], docs[1:] != docs[:-1]])
+    group, groups = np.cumsum(new_key) - 1, np.flatnonzero(new_key)
+    key_start = groups[group]
+    doc_start = np.maximum.accumulate(np.where(new_doc, spot, 0))
     before = np.where(doc_start > key_start, doc_start - 1, key_start)
-    key_end = np.append(np.flatnonzero(new_key)[1:], len(keys)) - 1
-    several = (docs[key_end] != docs[np.flatnonzero(new_key)])[np.cumsum(new_key) - 1] if len(keys) else new_key
+    last_doc = docs[np.append(groups[1:], len(keys)) - 1]
+    several = (last_doc != docs[groups])[group]
+    wanted = docs != last_doc[group]
+
+    # entries of a context one after the other; groups stay where they are
+    by_context = np.lexsort((contexts, group))
+    new_context = new_key | np.concatenate([[True], np.diff(contexts[by_context]) != 0])
+    starts = np.flatnonzero(new_context)
+    context = np.cumsum(new_context) - 1
+    stands = by_context[starts[context]]
+    other = docs[by_context] != docs[stands]
+    second = other & ~np.concatenate([[False], other[:-1]])
+    twice = (np.add.reduceat(new_doc.astype(np.int64), groups) < np.diff(np.append(groups, len(keys))))[group]
+    many = (np.add.reduceat(new_context.astype(np.int64), groups) > 2)[group]
+    of_entry = np.empty((3, len(keys)), np.int64)
+    of_entry[:, by_context] = [
+        stands, (many | twice) & (new_context | (twice & second)), np.logical_or.reduceat(other, starts)[context] & ~other & ~new_context,
+    ]
+    stands, compare, again = of_entry[0], of_entry[1] > 0, of_entry[2] > 0
+    before = np.where(docs[stands] != docs, stands, before)
     back = np.empty(len(order), np.int64)
     back[order] = spot
-    wanted = docs != (docs[key_end])[np.cumsum(new_key) - 1] if len(keys) else new_key
-    in_group = np.add.reduceat(new_doc.astype(np.int64), np.flatnonzero(new_key)) if len(keys) else np.empty(0, np.int64)
-    crowded = (in_group > 2)[np.cumsum(new_key) - 1] if len(keys) else new_key
-    found = {"several": several, "wanted": wanted, "crowded": crowded, "first": docs[key_start], "at": places[key_start], "before": docs[before], "before_at": places[before]}
+    found = {
+        "several": several, "wanted": wanted, "compare": compare, "again": again, "first": docs[key_start], "at": places[key_start],
+        "before": docs[before], "before_at": places[before],
+    }
     return {name: np.where(several, x, 0).astype(x.dtype)[back] for name, x in found.items()}
 
 
-def shared_windows(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+def shared_windows(docs: DataFrame, passage_words: int = PASSAGE_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """Intervals that share a signature with an earlier document, and the tokens to verify them by."""
-    width = passage_words - SHINGLE_WORDS + 1
+    reach = passage_words - SHINGLE_WORDS
+    width = sure_run(reach + 1, least_common(reach + 1, percent))
     chars = chunks.corpus_chars(docs)
 
     def ask(body: Arrays) -> list[tuple[np.ndarray, Arrays]]:
         tokens = Tokens(body, width)
         places, _, keys = tokens.seats()
         owner = tokens.owner[places]
-        return [(keys, {"key": keys, "doc": body["ids"][owner], "place": (places - tokens.starts[owner]).astype(np.int32)})]
+        asked = {
+            "key": keys, "doc": body["ids"][owner], "place": (places - tokens.starts[owner]).astype(np.int32),
+            "context": tokens.contexts(places, reach),
+        }
+        return [(keys, asked)]
 
     def answer(asked: list[Arrays]) -> list[Arrays]:
-        found = earlier_with_key(*(np.concatenate([x[f"0.{n}"] for x in asked]) for n in ("key", "doc", "place")))
+        found = earlier_with_key(*(np.concatenate([x[f"0.{n}"] for x in asked]) for n in ("key", "doc", "place", "context")))
         cuts = np.cumsum([len(x["0.key"]) for x in asked])[:-1]
         split = {f"0.{name}": np.split(x, cuts) for name, x in found.items()}
         return [{name: parts[k] for name, parts in split.items()} for k in range(len(asked))]
 
     def finish(body: Arrays, reply) -> pa.RecordBatch:
         tokens = Tokens(body, width)
-        places, functions, _ = tokens.seats()
-        several, wanted = reply("0.several"), reply("0.wanted")
+        places, functions, keys = tokens.seats()
+        several, wanted, compare, again = (reply(f"0.{n}") for n in ("several", "wanted", "compare", "again"))
         wanted = np.unique(tokens.owner[places[wanted]]).tolist()
-        crowded = np.concatenate([(reply("0.crowded") & (functions == 0))[several], np.zeros(int(several.sum()), bool)])
-        places, functions = (np.tile(x[several], 2) for x in (places, functions))
-        first = np.concatenate([reply("0.first")[several], reply("0.before")[several]])
-        at = np.concatenate([reply("0.at")[several], reply("0.before_at")[several]])
-        owner = tokens.owner[places]
+        short = tokens.values.astype(np.uint32)  # enough to compare tokens in place
         ids = body["ids"]
         out: dict[str, list] = {f.name: [] for f in FOUND_ARROW}
 
-        def add(kind: int, doc: int, words=None, first_doc=None, shift=None, low=None, high=None, hashes=None, **values) -> None:
-            for name, value in zip(out, (doc, kind, words, first_doc, shift, low, high, hashes, packed(**values) if values else None)):
+        def add(kind: int, doc: int, words=None, first_doc=None, shift=None, low=None, high=None, hashes=None, body=None, key=None, seat=None) -> None:
+            for name, value in zip(out, (doc, kind, words, first_doc, shift, low, high, hashes, body, key, seat)):
                 out[name].append(value)
 
+        for kind, entries in ((CONTEXT, compare), (AGAIN, again)):
+            owner = tokens.owner[places[entries]]
+            a, b = tokens.around(places[entries], reach)
+            columns = (x.tolist() for x in (ids[owner], tokens.starts[owner], a, b, places[entries], keys[entries].view(np.int64)))
+            for doc, base, low, high, place, key in zip(*columns):
+                context = {"body": short[low:high].tobytes(), "key": key, "seat": place - base} if kind == CONTEXT else {}
+                add(kind, doc, low=low - base, high=high - base, **context)
+        places, functions = (np.tile(x[several], 2) for x in (places, functions))
+        first = np.concatenate([reply("0.first")[several], reply("0.before")[several]])
+        at = np.concatenate([reply("0.at")[several], reply("0.before_at")[several]])
+        owner = tokens.owner[places]
         for doc, words in zip(chunks.with_nulls(body).to_pylist(), body["counts"].tolist()):
             add(DOCUMENT, doc, words=words)
-        short = tokens.values.astype(np.uint32)  # enough to compare tokens in place
         for k in wanted:
-            add(FIRST, int(ids[k]), t=short[tokens.starts[k] : tokens.ends[k]])
+            add(FIRST, int(ids[k]), body=packed(t=short[tokens.starts[k] : tokens.ends[k]]))
         member = first != ids[owner]
-        places, functions, first, at, owner, crowded = (x[member] for x in (places, functions, first, at, owner, crowded))
-        low, high = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        places, functions, first, at, owner = (x[member] for x in (places, functions, first, at, owner))
+        # a window spans all rows of tokens that have this smallest one; the stretches around such a row may go further
+        low, high = tokens.around(places, reach)
+        high = high - 1
         for f in range(FUNCTIONS) if len(places) else ():
             centre, left, right = tokens.windows(f)
             mine = functions == f
             found = np.searchsorted(centre, places[mine])
-            low[mine], high[mine] = left[found], right[found]
+            low[mine], high[mine] = np.minimum(low[mine], left[found]), np.maximum(high[mine], right[found])
         start = tokens.starts[owner]
         shift = at - (places - start)
         order = np.lexsort((low, shift, first, owner))
-        owner, first, shift, low, high, functions, places, crowded = (x[order] for x in (owner, first, shift, low, high, functions, places, crowded))
+        owner, first, shift, low, high, functions = (x[order] for x in (owner, first, shift, low, high, functions))
         if len(owner):  # intervals that meet at the same shift, whichever function they come from
             new = np.ones(len(owner), bool)
             new[1:] = (owner[1:] != owner[:-1]) | (first[1:] != first[:-1]) | (shift[1:] != shift[:-1])
             groups = np.flatnonzero(new)
             bits = np.bitwise_or.reduceat(1 << functions, groups)
-            ends = np.append(groups[1:], len(owner))
-            for k, end, a, b, n in zip(groups.tolist(), ends.tolist(), np.minimum.reduceat(low, groups).tolist(), np.maximum.reduceat(high, groups).tolist(), bits.tolist()):
+            for k, a, b, n in zip(groups.tolist(), np.minimum.reduceat(low, groups).tolist(), np.maximum.reduceat(high, groups).tolist(), bits.tolist()):
                 base = int(tokens.starts[owner[k]])
                 add(
                     MEMBER, int(ids[owner[k]]), first_doc=int(first[k]), shift=int(shift[k]), low=a - base, high=b - base,
-                    hashes=n.bit_count(), t=short[a : b + 1], s=np.unique(places[k:end][crowded[k:end]] - a).astype(np.int32),
+                    hashes=n.bit_count(), body=packed(t=short[a : b + 1]),
                 )
         return pa.RecordBatch.from_pydict(out, schema=FOUND_ARROW)
 
@@ -295,26 +357,178 @@ def common_runs(mine: np.ndarray, theirs: np.ndarray, width: int, least: int) ->
     return runs
 
 
-def unlike(mine: np.ndarray, seats: np.ndarray, good: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the stretches around these seats begin that are not good, and the hash of each one's tokens."""
-    around = np.zeros(max(len(mine) - width + 1, 0), bool)
-    for seat in seats.tolist():
-        around[max(seat - width + 1, 0) : seat + 1] = True
-    starts = np.flatnonzero(around & ~good)
-    return starts, run_hashes(mine.astype(np.uint64), width)[starts] if len(starts) else np.empty(0, np.uint64)
+class Contexts:
+    """Contexts of whole groups, sorted by group and doc_id, one a row, each with its seat in the middle column."""
 
+    def __init__(self, rows: pa.Table, width: int):
+        self.width = width
+        number = lambda n: rows.column(n).to_numpy()
+        self.docs, self.block, self.paired = number("doc_id"), number("block"), number("a") != number("b")
+        self.origin = number("seat") - width + 1
+        new = np.zeros(len(self.docs), bool)
+        for n in ("key", "a", "b"):
+            new[1:] |= number(n)[1:] != number(n)[:-1]
+        self.group = np.cumsum(new)
+        self.tokens, self.valid = np.zeros((len(new), 2 * width - 1), np.uint32), np.zeros((len(new), 2 * width - 1), bool)
+        for k, (body, skip) in enumerate(zip(rows.column("body").to_pylist(), (number("low") - self.origin).tolist())):
+            tokens = np.frombuffer(body, np.uint32)
+            self.tokens[k, skip : skip + len(tokens)] = tokens
+            self.valid[k, skip : skip + len(tokens)] = True
+
+    def near(self, a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those pairs of rows that have a near duplicate stretch around the seat, and which columns these stretches cover."""
+        same = (self.tokens[a] == self.tokens[b]) & self.valid[a] & self.valid[b]
+        some = same.sum(axis=1) >= least
+        a, b, same = a[some], b[some], same[some]
+        both, width, columns = self.valid[a] & self.valid[b], self.width, 2 * self.width - 1
+        total = np.zeros((len(a), columns + 1), np.int32)
+        np.cumsum(same, axis=1, out=total[:, 1:])
+        good = (total[:, width:] - total[:, :-width] >= least) & both[:, :width] & both[:, width - 1 :]
+        some = good.any(axis=1)
+        a, b, same, good = a[some], b[some], same[some], good[some]
+        at = np.arange(columns)
+        following = np.minimum.accumulate(np.where(same, at, columns)[:, ::-1], axis=1)[:, ::-1]
+        last = np.maximum.accumulate(np.where(same, at, -1), axis=1)
+        row, start = np.nonzero(good)
+        edges = np.zeros((len(a), columns + 1), np.int32)
+        np.add.at(edges, (row, following[row, start]), 1)
+        np.add.at(edges, (row, last[row, start + width - 1] + 1), -1)
+        return a, b, np.cumsum(edges[:, :-1], axis=1) > 0
+
+    def patterns(self, least: int, common: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """First column, gap (first and last, exclusive) and end of ``least`` tokens; no gap over a column that all have in common."""
+        columns = 2 * self.width - 1
+        for first in range(columns - least + 1):
+            yield first, first, first, first + least
+        for gap in range(SHINGLE_WORDS, self.width - least + 1):
+            for first in range(columns - least - gap + 1):
+                for low in range(first + 1, first + least):
+                    if not common[low : low + gap].any():
+                        yield first, low, low + gap, first + least + gap
+
+    def crowd(self, rows: slice, least: int, later: np.ndarray, earlier: np.ndarray, join: Callable[[int, int], None], label: np.ndarray) -> None:
+        """As pair by pair, for one group: all that have a pattern's tokens in common are near duplicates of each other."""
+        width, tokens, valid = self.width, self.tokens[rows], self.valid[rows]
+        docs, at = self.docs[rows], np.arange(rows.start, rows.stop)
+        powers = np.multiply.accumulate(np.full(tokens.shape[1], BASE, np.uint64))
+        sums = np.zeros((tokens.shape[1] + 1, len(tokens)), np.uint64)
+        np.cumsum((tokens * powers).T, axis=0, out=sums[1:])
+        edges = np.zeros((2, tokens.shape[1] + 1, len(tokens)), np.int32)
+        common = (tokens == tokens[0]).all(axis=0) & valid.all(axis=0)
+        for first, low, high, end in self.patterns(least, common):
+            whole = sums[low] - sums[first] + sums[end] - sums[high]
+            told: list[np.ndarray] = []
+            for start in range(max(end - width, 0), min(first, width - 1) + 1):  # a stretch around it that both have
+                inside = valid[:, start] & valid[:, start + width - 1]
+                if any((inside <= other).all() for other in told):
+                    continue
+                told.append(inside)
+                rows_in = np.flatnonzero(inside)
+                keys = whole[rows_in]
+                ordered = np.sort(keys)
+                twice = ordered[1:][ordered[1:] == ordered[:-1]]
+                if not len(twice):
+                    continue
+                some = np.isin(keys, twice)
+                rows_in, keys = rows_in[some], keys[some]
+                order = np.argsort(keys, kind="stable")  # documents of a key stay in their order
+                rows_in, keys = rows_in[order], keys[order]
+                begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                which = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(keys))))
+                least_doc, most_doc = docs[rows_in[begin]], docs[rows_in[np.append(begin[1:], len(keys)) - 1]]
+                for side, has in ((0, docs[rows_in] > least_doc[which]), (1, docs[rows_in] < most_doc[which])):
+                    edges[side, first, rows_in[has]] += 1
+                    edges[side, end, rows_in[has]] -= 1
+                heads, members = at[rows_in[begin[which]]], at[rows_in]
+                apart = (label[heads] != label[members]) & (self.docs[heads] != self.docs[members])
+                for i, j in zip(heads[apart].tolist(), members[apart].tolist()):
+                    join(i, j)
+        later[rows] |= (np.cumsum(edges[0, :-1], axis=0) > 0).T
+        earlier[rows] |= (np.cumsum(edges[1, :-1], axis=0) > 0).T
+
+    def passages(self, least: int) -> list[pa.RecordBatch]:
+        """What each context shares with smaller and with larger documents, and pairs of documents that connect all that share."""
+        later, earlier = np.zeros_like(self.valid), np.zeros_like(self.valid)
+        label, links = np.arange(len(self.docs)), set()
+
+        def join(i: int, j: int) -> None:
+            if label[i] != label[j]:
+                links.add((int(self.docs[j]), int(self.docs[i])))
+                low, high = np.searchsorted(self.group, [self.group[i], self.group[i] + 1])
+                part = label[low:high]
+                part[part == label[j]] = label[i]
+
+        begin = np.flatnonzero(np.diff(self.group, prepend=-1))
+        sizes = np.diff(np.append(begin, len(self.group)))
+        pair_by_pair = np.ones(len(self.group), bool)
+        if self.width - least < 2 * SHINGLE_WORDS:  # one gap at most
+            for a, n in zip(begin[sizes >= CROWD].tolist(), sizes[sizes >= CROWD].tolist()):
+                pair_by_pair[a : a + n] = False
+                self.crowd(slice(a, a + n), least, later, earlier, join, label)
+        for step in range(1, len(self.docs)):
+            a = np.flatnonzero((self.group[:-step] == self.group[step:]) & pair_by_pair[step:])
+            if not len(a):
+                break
+            b = a + step
+            a = a[(self.docs[a] != self.docs[b]) & ~(self.paired[a] & (self.block[a] == self.block[b]))]
+            a, b, cover = self.near(a, a + step, least)
+            earlier[a] |= cover
+            later[b] |= cover
+            for i, j in np.column_stack([a, b])[label[a] != label[b]].tolist():
+                join(i, j)
+        none = pa.nulls
+        out = [pa.table([[x[0] for x in links], [x[1] for x in links], *[none(len(links), pa.int64())] * 4], schema=PASSAGES_ARROW)]
+        for cover, is_later in ((later, True), (earlier, False)):
+            padded = np.zeros((len(cover), cover.shape[1] + 2), np.int8)
+            padded[:, 1:-1] = cover
+            edges = np.diff(padded, axis=1)
+            (row, start), end = np.nonzero(edges == 1), np.nonzero(edges == -1)[1]
+            told = [pa.array(x, pa.int64()) for x in (self.docs[row], self.origin[row] + start, self.origin[row] + end + SHINGLE_WORDS - 1)]
+            empty = none(len(row), pa.int64())
+            columns = [told[0], empty, told[1], told[2], empty, empty] if is_later else [empty, told[0], empty, empty, told[1], told[2]]
+            out.append(pa.table(columns, schema=PASSAGES_ARROW))
+        return pa.concat_tables(out).combine_chunks().to_batches()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], least_rows: int = 1_000) -> Iterator[pa.Table]:
+    """The sorted rows of a task, some groups at a time: no group is cut."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held.append(rows)
+        if sum(x.num_rows for x in held) < least_rows:
+            continue
+        rows = pa.concat_tables(held)
+        ends = [rows.column(n).to_numpy() for n in ("key", "a", "b")]
+        inner = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ends], axis=0)) + 1
+        cut = int(inner[-1]) if len(inner) else 0
+        if cut:
+            yield rows.slice(0, cut)
+        held = [rows.slice(cut)]
+    if held:
+        yield pa.concat_tables(held)
+
+
+def met_in_groups(found: DataFrame, passage_words: int, percent: int, block: int | None = None) -> DataFrame:
+    """Passages that contexts of one group share, each compared with every other one."""
+    width = passage_words - SHINGLE_WORDS + 1
+    least, block = least_common(width, percent), block or BLOCK
+    rows = found.filter(F.col("kind") == CONTEXT).select("key", "doc_id", "low", "seat", "body")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > block)
+    # fewer keys than blocks
+    large = F.broadcast(sizes.select("key", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
+    blocks = F.coalesce("_blocks", F.lit(1))
+    dealt = rows.join(large, "key", "left").withColumns({"block": F.pmod(F.xxhash64("doc_id", "seat"), blocks).cast("int"), "_blocks": blocks})
+    paired = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    paired = paired.withColumns({"a": F.least("block", "_other"), "b": F.greatest("block", "_other")}).drop("_blocks", "_other")
 
-def met_again(loose: DataFrame, passage_words: int) -> DataFrame:
-    """Equal stretches of ``loose(doc_id, start, key)`` in several documents, each with the first document that has it."""
-    firsts = loose.groupBy("key").agg(
-        F.min(F.struct("doc_id", "start")).alias("_first"), F.max("doc_id").alias("_last"), F.count("*").alias("_copies")
-    )
-    several = written(firsts.filter("_first.doc_id <> _last").drop("_last"), "stretches")
-    pairs = with_partners(loose, several, ["key"], "_copies").filter("doc_id <> _first.doc_id")
-    return pairs.select(
-        "doc_id", F.col("_first.doc_id").alias("first_doc"), "start", (F.col("start") + passage_words).alias("end"),
-        F.col("_first.start").alias("first_start"), (F.col("_first.start") + passage_words).alias("first_end"),
-    )
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches):
+            yield from Contexts(part, width).passages(least)
+            give_back()
+
+    groups = paired.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "doc_id", "seat")
+    return groups.mapInArrow(compare, PASSAGES)
 
 
 def verified(found: DataFrame, passage_words: int = PASSAGE_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
@@ -327,33 +541,27 @@ def verified(found: DataFrame, passage_words: int = PASSAGE_WORDS, percent: int
             out: list[tuple[int | None, ...]] = []
             columns = (batch.column(n).to_pylist() for n in ("doc_id", "first_doc", "shift", "low"))
             for doc, first, shift, low, mine, theirs in zip(*columns, batch.column("body"), batch.column("first_body")):
-                whole, b = unpacked(mine.as_py()), unpacked(theirs.as_py())["t"]
-                a = whole["t"]
+                a, b = (unpacked(x.as_py())["t"] for x in (mine, theirs))
                 skip = max(0, -(low + shift))
                 begin = low + skip
                 a, b = a[skip:], b[begin + shift : begin + shift + len(a) - skip]
                 n = min(len(a), len(b))
                 for s, e in common_runs(a[:n], b[:n], width, least):
                     start, end = begin + s, begin + e + SHINGLE_WORDS - 1
-                    out.append((doc, first, start, end, start + shift, end + shift, None))
-                if len(whole["s"]):
-                    good = np.zeros(max(len(whole["t"]) - width + 1, 0), bool)
-                    same = a[:n] == b[:n]
-                    near = alike(same, width, least)
-                    near &= same[: len(near)] & same[width - 1 :][: len(near)]  # otherwise its ends are not in the passage
-                    good[skip : skip + len(near)] = near
-                    for s, key in zip(*(x.tolist() for x in unlike(whole["t"], whole["s"], good, width))):
-                        out.append((doc, None, low + s, None, None, None, key - 2**63))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * 7, schema=COMPARED_ARROW)
+                    out.append((doc, first, start, end, start + shift, end + shift))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * 6, schema=PASSAGES_ARROW)
 
     firsts = found.filter(F.col("kind") == FIRST).select(F.col("doc_id").alias("first_doc"), F.col("body").alias("first_body"))
     firsts = written(firsts.dropDuplicates(["first_doc"]), "firsts")
     members = found.filter(F.col("kind") == MEMBER).select("doc_id", "first_doc", "shift", "low", "body")
     # a document that very many meet is met in several tasks
     pairs = salted_join(members, firsts, "first_doc", "doc_id")
-    compared = written(pairs.mapInArrow(check, COMPARED), "compared")
-    again = met_again(compared.filter("key IS NOT NULL").select("doc_id", "start", "key"), passage_words)
-    return compared.filter("key IS NULL").drop("key").union(again)
+    null = F.lit(None).cast("long")
+    again = found.filter(F.col("kind") == AGAIN).select(
+        null.alias("doc_id"), F.col("doc_id").alias("first_doc"), null.alias("start"), null.alias("end"),
+        F.col("low").alias("first_start"), (F.col("high") + SHINGLE_WORDS - 1).alias("first_end"),
+    )
+    return pairs.mapInArrow(check, PASSAGES).union(again).union(met_in_groups(found, passage_words, percent))
 
 
 def merged(ranges: DataFrame, name: str) -> DataFrame:
@@ -381,10 +589,11 @@ def passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """
     found = written(shared_windows(docs, passage_words), "windows")
     met = written(verified(found, passage_words), "passages")
-    later = met.select("doc_id", "start", "end")
-    earlier = met.select(F.col("first_doc").alias("doc_id"), F.col("first_start").alias("start"), F.col("first_end").alias("end"))
-    first_docs = met.groupBy("doc_id").agg(F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
-    classes = components(met.select(F.col("doc_id").alias("a"), F.col("first_doc").alias("b")))
+    later = met.filter("start IS NOT NULL").select("doc_id", "start", "end")
+    earlier = met.filter("first_start IS NOT NULL").select(F.col("first_doc").alias("doc_id"), F.col("first_start").alias("start"), F.col("first_end").alias("end"))
+    links = met.filter("doc_id IS NOT NULL AND first_doc IS NOT NULL")
+    first_docs = links.groupBy("doc_id").agg(F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
+    classes = components(links.select(F.col("doc_id").alias("a"), F.col("first_doc").alias("b")))
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
     rows = (
         found.filter(F.col("kind") == DOCUMENT).select("doc_id", "n_words")
@@ -419,7 +628,8 @@ def cut(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """
     found = written(shared_windows(docs, passage_words), "windows")
     doc, where = free_name(docs, "_doc"), free_name(docs, "_spans")
-    spans = merged(verified(found, passage_words).select("doc_id", "start", "end"), where).withColumnRenamed("doc_id", doc)
+    later = verified(found, passage_words).filter("start IS NOT NULL").select("doc_id", "start", "end")
+    spans = merged(later, where).withColumnRenamed("doc_id", doc)
     joined = docs.join(spans, docs["doc_id"] == spans[doc], "left").drop(spans[doc])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,3 +167,48 @@ def test_windows_are_the_cartesian_tree(function):
             expected.append((c, l, r))
     got = [(c, l, r) for c, l, r in zip(*(x.tolist() for x in tokens.windows(function))) if r - l + 1 >= 20]
     assert got == expected
+
+
+def edited_middles(seed):
+    """Documents around one line; some pairs far apart in its group share more, but for a word or two."""
+    draw = random.Random(seed)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    line = [f"line{k}" for k in range(30)]
+    texts = [[word() for _ in range(40)] + line + [word() for _ in range(40)] for _ in range(90)]
+    for k in range(5, 40):
+        behind, edit = [word() for _ in range(40)], draw.randrange(40)
+        for doc in (k, k + 41):
+            texts[doc][70:110] = [*behind]
+        for more in range(k % 3):  # none, one or two words side by side
+            texts[k][70 + min(edit + more, 39)] = word()
+    return [(i, " ".join(w)) for i, w in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("block", "crowd"), [(20_000, 400), (7, 400), (20_000, 3), (40, 5)])
+def test_edited_repeats_in_the_middle_of_a_group(spark, monkeypatch, block, crowd):
+    monkeypatch.setattr(sd, "BLOCK", block, raising=False)
+    monkeypatch.setattr(sd, "CROWD", crowd, raising=False)
+    rows = edited_middles(block + crowd)
+    expected = brute(rows)
+    assert sum(bool(x) for x in expected.values()) > 40
+    assert ours(spark, rows) == expected
+    found = {r["doc_id"]: r for r in sd.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [k for k in range(5, 40) if expected[k]]
+    assert [k for k in linked if found[k]["class_id"] != k or found[k + 41]["class_id"] != k] == []
+    assert all(found[k]["n_later"] == 0 and found[k + 41]["n_later"] == len(expected[k + 41]) for k in linked)
+
+
+def test_every_edited_passage_is_found(spark):
+    """Edits wherever they still leave 40 of 46 shingles, and passages that a document has twice."""
+    draw = random.Random(8)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    rows = []
+    for i in range(0, 120, 3):
+        passage = [word() for _ in range(50)]
+        for doc in range(3):
+            own, at = [*passage], draw.randrange(50)
+            if doc:
+                own[at : at + 1 + i % 2] = [word() for _ in own[at : at + 1 + i % 2]]
+            twice = own if i % 5 == 0 and doc == i % 3 else []
+            rows.append((i + doc, " ".join([*(word() for _ in range(i % 7)), *own, *(word() for _ in range(i % 4)), *twice])))
+    assert ours(spark, rows) == brute(rows)

@@ -586,6 +586,7 @@ def passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     ``repeated``: its passages (ranges of words) that another document also has. ``later``: those
     of them that a document with a smaller doc_id has. ``class_id``: the smallest doc_id that can
     be reached from one document to the next over shared passages.
+    ``first_docs``: earlier documents that link it to its class; others of the class may share the same passages.
     """
     found = written(shared_windows(docs, passage_words), "windows")
     met = written(verified(found, passage_words), "passages")

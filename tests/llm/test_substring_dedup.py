@@ -212,3 +212,20 @@ def test_every_edited_passage_is_found(spark):
             twice = own if i % 5 == 0 and doc == i % 3 else []
             rows.append((i + doc, " ".join([*(word() for _ in range(i % 7)), *own, *(word() for _ in range(i % 4)), *twice])))
     assert ours(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("crowd", [400, 3])
+def test_edits_beside_a_line_that_all_share(spark, monkeypatch, crowd):
+    """Only the line's own windows lead from one member to the other: behind it (or before) they share nine words after a differing one."""
+    monkeypatch.setattr(sd, "CROWD", crowd, raising=False)
+    draw = random.Random(21)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    line = [f"line{k}" for k in range(40)]
+    texts = [[word() for _ in range(20)] + line + [word() for _ in range(20)] for _ in range(120)]
+    for k in range(10, 50):
+        place = slice(61, 70) if k % 2 else slice(10, 19)
+        texts[k + 53][place] = texts[k][place]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    expected = brute(rows)
+    assert sum(bool(x) for x in expected.values()) == 80
+    assert ours(spark, rows) == expected

@@ -58,6 +58,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 
 
+def is_blank(text: Column) -> Column:
+    """TRUE for a text without anything but white space: :func:`strip` would leave nothing, at the price of its whole length."""
+    return F.length(F.ltrim(text, F.lit(SPACE_CHARS))) == 0
+
+
 def squeeze(text: Column) -> Column:
     """Strip, and turn inner runs of white space into one space."""
     return F.regexp_replace(strip(text), SPACES, " ")

@@ -6,20 +6,21 @@ white space, ``-`` and ``_``.
 
 The match is an equi-join in either of two forms, and nothing is ever compared pair by pair.
 A :class:`Vocabulary` is an object of the driver, so its size is bounded and its rows are
-broadcast: the distinct letter/digit runs of a text are exploded and joined to the surface
-forms by the first run of each form; forms of several runs are confirmed on the few rows
-that remain. A vocabulary *table* may have any size and meets the texts' word n-grams
+broadcast: the distinct letter/digit runs of a text that begin a form (of a vocabulary with many first runs: all)
+are exploded and joined to the surface forms by the first run of each form; forms of several runs are confirmed on
+the few rows that remain. A vocabulary *table* may have any size and meets the texts' word n-grams
 (:mod:`evisift.operators.phrases`), so that no text crosses an exchange.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evisift.functions.text import SPACE_CLASS, escape, strip
+from evisift.functions.text import SPACE_CLASS, TREE_WORDS, escape, strip, word_tree
 from evisift.operators.phrases import match_grams
 from evisift.operators.sections import source_of
 from evisift.vocabulary import Vocabulary
@@ -27,6 +28,9 @@ from evisift.vocabulary import Vocabulary
 TERM_COLUMNS = ["grp", "canonical", "term_ord", "tier", "surface"]
 NOT_ALNUM = r"\P{Alnum}+"  # ASCII letters and digits only
 
+#: First characters that share a tree of first runs.
+FIRSTS = 6
+
 EVIDENCE_GROUP = {"python": "python", "ai": "ai"}
 
 
@@ -46,6 +50,19 @@ def surface_table(spark, vocab: Vocabulary) -> DataFrame:
     )
 
 
+def first_runs(lowered: str, vocab: Vocabulary) -> Column:
+    """The letter/digit runs of a lowered text that may begin a surface form; of a large vocabulary, all of them."""
+    heads = {run.group() for e in vocab.entries if (run := re.search("[a-z0-9]+", e.surface.lower()))}
+    if len(heads) > TREE_WORDS:
+        return F.split(lowered, NOT_ALNUM)
+    # a tree for every few first characters: of a run that begins otherwise, only these are looked at
+    firsts = sorted({head[0] for head in heads})
+    groups = [firsts[i : i + FIRSTS] for i in range(0, len(firsts), FIRSTS)]
+    trees = [f"(?=[{''.join(g)}])" + word_tree(head for head in heads if head[0] in g) for g in groups]
+    wanted = f"[^a-z0-9]({'|'.join(trees) or '(?!)'})(?![a-z0-9])"
+    return F.regexp_extract_all(F.concat(F.lit(" "), F.col(lowered)), F.lit(wanted), F.lit(1))
+
+
 def match_rows(
     units: DataFrame,
     keys: Sequence[str],
@@ -63,7 +80,7 @@ def match_rows(
     surfaces = surface_table(units.sparkSession, vocab)
     lowered = units.withColumn("_body", F.lower(F.col(body)))
     # a text is confirmed once per form, however often the form's first run occurs
-    tokens = F.array_distinct(F.split("_body", NOT_ALNUM))
+    tokens = F.array_distinct(first_runs("_body", vocab))
     exploded = lowered.select(*keys, "_body", F.explode_outer(tokens).alias("_token"))
     found = F.col("_single") | (
         F.contains("_body", "_tail") & F.rlike("_body", "_pattern")

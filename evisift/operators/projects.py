@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisift.functions.points import half_up
-from evisift.functions.text import any_of, clipped, escape, let, squeeze, strip, word_count
+from evisift.functions.text import any_of, clipped, escape, is_blank, let, squeeze, strip, word_count
 from evisift.operators.matching import match_rows, skill_list
 from evisift.operators.sections import SECTION_ALIASES, with_line_sections
 from evisift.operators.signals import PHRASE, TERM, SignalTable
@@ -112,7 +112,7 @@ def with_project_blocks(docs: DataFrame, limits: Limits = Limits()) -> DataFrame
         F.transform(
             F.filter(
                 "line_sections",
-                lambda x: (x["section"] == "projects") & (F.length(strip(x["line"])) > 0),
+                lambda x: (x["section"] == "projects") & ~is_blank(x["line"]),
             ),
             lambda x: x["line"],
         ),

@@ -9,10 +9,12 @@ carrier unit, so the text is read once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evisift.functions.text import strip
+from evisift.functions.text import is_blank
 from evisift.operators.fields import choose_name, with_contact_fields
 from evisift.operators.gate import OK, shows_ai, shows_python
 from evisift.operators.judgements import PROJECT_TYPE, rough_project
@@ -24,6 +26,8 @@ from evisift.params import ScreenParams
 from evisift.vocabulary import Vocabulary
 
 DOC, TEXT, LINE, PROJECT, NAME = "doc", "text", "line", "project", "name"
+TERM_ORDER = ("grp_ord", "ord")
+PLACE_ORDER = ("part", "line_no", *TERM_ORDER)
 UNIT = "struct<kind:string,idx:int,source:string,body:string>"
 
 
@@ -41,7 +45,7 @@ def units(docs: DataFrame, params: ScreenParams) -> DataFrame:
     aliases = SECTION_ALIASES if params.aliases is None else params.aliases
     known = with_contact_fields(docs.withColumn("text", F.coalesce(text, F.lit(""))), aliases)
     parsed = with_project_blocks(with_line_sections(known, aliases), params.limits)
-    content = F.filter("line_sections", lambda x: F.length(strip(x["line"])) > 0)
+    content = F.filter("line_sections", lambda x: ~is_blank(x["line"]))
     rough = F.transform("blocks", lambda b: F.struct(b["name"].alias("name"), b["description"].alias("description")))
     payload = F.struct(
         "source_file", "filename", "parse_status", "error", "content_hash",
@@ -80,6 +84,8 @@ def features(docs: DataFrame, vocab: Vocabulary | DataFrame, params: ScreenParam
     line_no = F.when(is_line, F.col("idx")).otherwise(0).cast("long")
     is_python = F.col("grp") == "python"
     scored = F.col("grp") != "ai"
+    # orders are flat structs: Spark makes a new ordering for each comparison of a struct within a struct
+    ords = [F.col("term_ord")[part].alias(part) for part in TERM_ORDER]
 
     # 1. one row per document, unit (all lines together) and term
     terms = hits.groupBy(
@@ -93,8 +99,8 @@ def features(docs: DataFrame, vocab: Vocabulary | DataFrame, params: ScreenParam
         F.bool_or(F.col("grp") == "engineering").alias("engineering"),
         F.min(domain_rank(F.col("grp"), F.col("canonical"), F.col("tier"))).alias("domain_rank"),
         F.max(F.when(scored, source_multiplier(F.col("source"), params))).alias("best"),
-        F.min(F.when(scored, F.struct((~is_python).alias("part"), line_no.alias("line_no"), "term_ord"))).alias("python_at"),
-        F.min(F.when(scored, F.struct(is_python.alias("part"), line_no.alias("line_no"), "term_ord"))).alias("other_at"),
+        F.min(F.when(scored, F.struct((~is_python).alias("part"), line_no.alias("line_no"), *ords))).alias("python_at"),
+        F.min(F.when(scored, F.struct(is_python.alias("part"), line_no.alias("line_no"), *ords))).alias("other_at"),
     )
 
     # 2. one row per document and unit
@@ -103,23 +109,24 @@ def features(docs: DataFrame, vocab: Vocabulary | DataFrame, params: ScreenParam
     python_weight = F.when(F.col("best").isNotNull(), by_name(params.python_backend_tenths, name))
     cloud_weight = F.when(F.col("best").isNotNull(), by_name(params.cloud_fullstack_tenths, name))
 
-    def in_order(condition: Column, order: Column, value: Column) -> Column:
-        pairs = F.collect_list(F.when(condition, F.struct(order.alias("at"), value.alias("value"))))
-        return F.transform(F.array_sort(pairs), lambda x: x["value"])
+    def in_order(condition: Column, order: str, parts: Sequence[str], value: Column) -> Column:
+        at = [F.col(order)[part].alias(part) for part in parts]
+        pairs = F.collect_list(F.when(condition, F.struct(*at, value.alias("value"))))
+        return F.sort_array(pairs)["value"]
 
     folded = terms.groupBy("doc_id", "kind", "idx").agg(
         F.first("payload", ignorenulls=True).alias("payload"),
-        in_order(name.isNotNull(), F.col("term_ord"), name).alias("names"),
+        in_order(name.isNotNull(), "term_ord", TERM_ORDER, name).alias("names"),
         F.min("domain_rank").alias("domain_rank"),
         F.struct(
             F.bool_or("python").alias("has_python"),
             F.bool_or("ai").alias("has_ai"),
             F.sum(python_weight * F.col("best")).alias("python_sum"),
             F.sum(cloud_weight * F.col("best")).alias("cloud_sum"),
-            in_order(python_weight.isNotNull(), F.col("python_at"), told).alias("python_terms"),
-            in_order(cloud_weight.isNotNull(), F.col("other_at"), told).alias("cloud_terms"),
-            F.array_sort(F.collect_list(F.when(F.col("engineering"), name))).alias("engineering_terms"),
-            F.array_sort(F.collect_list(F.when(F.col("tier") == "core", name))).alias("core_terms"),
+            in_order(python_weight.isNotNull(), "python_at", PLACE_ORDER, told).alias("python_terms"),
+            in_order(cloud_weight.isNotNull(), "other_at", PLACE_ORDER, told).alias("cloud_terms"),
+            F.sort_array(F.collect_list(F.when(F.col("engineering"), name))).alias("engineering_terms"),
+            F.sort_array(F.collect_list(F.when(F.col("tier") == "core", name))).alias("core_terms"),
         ).alias("line"),
     )
 

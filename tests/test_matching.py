@@ -4,7 +4,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from evisift.functions.text import SPACE_CHARS, is_blank, strip
+from evisift.operators import matching
 from evisift.operators.matching import any_term, evidence, match_rows, skills, terms_in_text
+from evisift.params import ScreenParams
+from evisift.plans.features import features
 from evisift.operators.sections import lines
 from evisift.vocabulary import Vocabulary
 from plan_shape import exchanges
@@ -202,3 +206,25 @@ def test_first_runs_that_begin_alike_are_told_apart(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     found = sorted((r.doc_id, r.canonical) for r in terms_in_text(docs, small.table(spark)).collect())
     assert found == [(0, "Java"), (1, "Script"), (2, "Java"), (2, "Two"), (6, "Java"), (6, "Script")]
+
+
+def test_only_first_runs_of_forms_are_exploded(spark, vocab, monkeypatch):
+    texts = ["Python, zebra and c++ in REST-api; pythonic node.js", "", None, "\u212aafka \U0001f600gcp\u00e9aws", "sql sql,sql"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    told = docs.select("doc_id", F.lower("text").alias("t"))
+    runs = {r.doc_id: r.runs for r in told.select("doc_id", matching.first_runs("t", vocab).alias("runs")).collect()}
+    assert runs == {0: ["python", "c", "rest", "node", "js"], 1: [], 2: None, 3: ["kafka", "gcp", "aws"], 4: ["sql", "sql", "sql"]}
+    found = {tuple(r) for r in match_rows(docs, ["doc_id"], "text", vocab).drop("term_ord").collect()}
+    monkeypatch.setattr(matching, "TREE_WORDS", 1)  # a large vocabulary: all runs
+    assert {tuple(r) for r in match_rows(docs, ["doc_id"], "text", vocab).drop("term_ord").collect()} == found
+
+
+def test_blank_is_what_strip_leaves_nothing_of(apply):
+    values = ["", " ", "a", f" {SPACE_CHARS}", f"{SPACE_CHARS}x{SPACE_CHARS}", "\u200b", None, *SPACE_CHARS]
+    assert apply(is_blank, values) == apply(lambda x: F.length(strip(x)) == 0, values)
+
+
+def test_no_order_of_the_features_is_a_struct_within_a_struct(docs_of, vocab):
+    docs = docs_of({"a.txt": "Ana Bo\nSkills: Docker, Python, Redis, FastAPI, pytest"})
+    plan = features(docs, vocab, ScreenParams())._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(collect_list(" in plan and "array_sort(collect_list(" not in plan

@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -112,8 +113,9 @@ def pieces(path: str) -> list[bytes]:
     return table
 
 
-def encode_words(words: np.ndarray, path: str) -> np.ndarray:
+def encode_words(words: np.ndarray | pa.Array, path: str) -> np.ndarray:
     """For each of distinct words, its ids in decimal, joined by commas."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep memory of its own
     out = np.empty(len(words), object)
     for at in range(0, len(words), ENCODED_WORDS):
         portion = tokenizer(path).encode_batch(words[at : at + ENCODED_WORDS].tolist(), add_special_tokens=False)
@@ -158,11 +160,14 @@ def encode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
     def ask(body: Arrays) -> list[tuple[np.ndarray, Arrays]]:
         return [(word_hashes(pa.array(body["words"], pa.string())), {"word": body["words"]})]
 
-    def answer(asked: list[Arrays]) -> list[Arrays]:
-        lists = [x["0.word"] for x in asked]
-        which, distinct = pd.factorize(np.concatenate(lists))
-        ids = encode_words(distinct, path)[which] if len(distinct) else np.empty(0, object)
-        return [{"0.ids": x} for x in np.split(ids, np.cumsum([len(x) for x in lists])[:-1])]
+    def answer(asked: Iterator[Arrays]) -> Iterator[Arrays]:
+        # as Arrow strings: only one message's words at a time are Python strings, of which each takes ten times the room
+        lists = [pa.array(x["0.word"], pa.large_string()) for x in asked]
+        ends = np.cumsum([len(x) for x in lists])
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        del lists
+        ids, which = encode_words(coded.dictionary, path), coded.indices.to_numpy(zero_copy_only=False)
+        return ({"0.ids": ids[x]} for x in np.split(which, ends[:-1]))
 
     def finish(body: Arrays, reply) -> pa.RecordBatch:
         of_word = reply("0.ids")
@@ -187,4 +192,4 @@ def encode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
             out["ids"] = pc.coalesce(listed, pa.scalar([], pa.list_(pa.int32())))
         return pa.RecordBatch.from_pydict(out, schema=CODES_ARROW if texts else DIGEST_ARROW)
 
-    return chunks.ask_all(docs, pack, ask, answer, finish, CODES if texts else DIGEST, chars)
+    return chunks.ask_all(docs, pack, ask, answer, finish, CODES if texts else DIGEST, chars, one_pass=True)

@@ -26,7 +26,7 @@ corpus of any size sends ``FAN_OUT`` messages a chunk and level, and levels grow
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -186,18 +186,20 @@ def delivered(holders: DataFrame, deal: Deal, route: Route, count: int, level: i
 
 
 def answered(
-    holders: DataFrame, deal: Deal, answer: Callable[[list[Arrays]], list[Arrays]], route: Route, count: int, level: int = 1
+    holders: DataFrame, deal: Deal, answer: Callable[[Iterable[Arrays]], Iterable[Arrays]], route: Route, count: int, level: int = 1,
+    one_pass: bool = False,
 ) -> DataFrame:
     """The answers to all messages, back at the chunks that sent them: ``bucket, chunk, keys``."""
     asked = sent(holders, deal, route, level == route.levels)
     if level == route.levels:
         def answer_bucket(group: pa.Table) -> pa.Table:
-            replies = answer([unpacked(x.as_py()) for x in group.column("keys")])
+            bodies = (unpacked(x.as_py()) for x in group.column("keys"))
+            replies = answer(bodies if one_pass else list(bodies))
             out = pa.table({
                 "bucket": group.column("bucket"), "chunk": group.column("chunk"),
                 "keys": pa.array([packed(**x) for x in replies], pa.binary()),
             }, schema=ASKED_ARROW)
-            del replies
+            del bodies, replies
             give_back()
             return out
 
@@ -218,7 +220,7 @@ def answered(
 
     blocks = max(1, -(-count // FAN_OUT))
     together = merged(asked, level, blocks)
-    below = answered(together, merged_keys, answer, route, blocks, level + 1)
+    below = answered(together, merged_keys, answer, route, blocks, level + 1, one_pass)
     return together.groupBy("chunk").cogroup(below.groupBy("chunk")).applyInArrow(part, ASKED)
 
 
@@ -226,12 +228,13 @@ def ask_all(
     docs: DataFrame,
     pack: Callable[[pa.Table], Arrays],
     ask: Callable[[Arrays], list[tuple[np.ndarray, Arrays]]],
-    answer: Callable[[list[Arrays]], list[Arrays]],
+    answer: Callable[[Iterable[Arrays]], Iterable[Arrays]],
     finish: Callable[[Arrays, Callable[[str], np.ndarray]], pa.RecordBatch],
     schema: str,
     chars: int,
     columns: Sequence[str] = (),
     chunk_chars: int | None = None,
+    one_pass: bool = False,
 ) -> DataFrame:
     """Run the four steps over ``docs(doc_id, text)``; ``chars`` is the size of the corpus.
 
@@ -239,7 +242,8 @@ def ask_all(
     set of keys of a chunk: a number for each key, by which it finds its bucket,
     and the arrays with one entry for each key. ``answer`` gets what is asked in one
     bucket, in several parts, and returns arrays with one entry per key for each of them; it may not
-    depend on how keys are dealt to parts. ``finish`` gets the
+    depend on how keys are dealt to parts; with ``one_pass`` it gets them one by one, each unpacked as it is asked for, and may give
+    its own likewise, so that they need not be held together. ``finish`` gets the
     chunk and a function that returns an answer array in the order of the keys asked.
     """
     small_batches(docs.sparkSession)
@@ -266,5 +270,5 @@ def ask_all(
         .mapInArrow(pack_task, HELD)
         .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk")
     )
-    answers = answered(chunks, deal, answer, route, 1 + int(chars) // (chunk_chars or CHUNK_CHARS))
+    answers = answered(chunks, deal, answer, route, 1 + int(chars) // (chunk_chars or CHUNK_CHARS), one_pass=one_pass)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish_chunk, schema)

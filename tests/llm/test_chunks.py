@@ -99,3 +99,23 @@ def test_several_levels_give_the_same_result(spark, monkeypatch, name):
         assert all(abs(a.score - b.score) < 1e-6 * abs(b.score) + 1e-9 for a, b in zip(got, want))
     else:
         assert got == want
+
+
+def test_messages_may_be_unpacked_one_by_one(spark):
+    docs = table(spark, [(i, "x" * (1 + i % 5)) for i in range(20)])
+
+    def pack(part):
+        return {**chunks.ids_of(part), "key": np.array([len(t) for t in part.column("text").to_pylist()], np.uint64)}
+
+    def answer(asked):
+        if hasattr(asked, "__len__"):
+            raise ValueError("all messages were unpacked together")
+        return ({"0.n": x["0.key"].astype(np.int64) * 10} for x in asked)
+
+    def finish(body, reply):
+        return pa.RecordBatch.from_pydict({"doc_id": chunks.with_nulls(body), "n": reply("0.n")})
+
+    found = chunks.ask_all(
+        docs, pack, lambda body: [(body["key"], {"key": body["key"]})], answer, finish, "doc_id long, n long", 20, one_pass=True
+    )
+    assert {r.doc_id: r.n for r in found.collect()} == {i: 10 * (1 + i % 5) for i in range(20)}

@@ -80,9 +80,12 @@ def prefix_rule(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct_sets(shingles: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct shingles in ascending order, text after text, and how many each text has."""
-    order = np.lexsort((shingles, owner))
-    shingles, owner = shingles[order], owner[order]
+    """Each text's distinct shingles in ascending order, text after text, and how many each text has; ``owner`` is in order."""
+    shingles = shingles.copy()
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=texts))]).tolist()
+    for start, end in zip(bounds, bounds[1:]):
+        if end - start > 1:
+            shingles[start:end].sort()
     first = np.ones(len(shingles), bool)
     first[1:] = (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])
     return shingles[first], np.bincount(owner[first], minlength=texts)
@@ -96,7 +99,11 @@ def pack(part: pa.Table) -> Arrays:
 
 
 def sets_of(body: Arrays) -> tuple[np.ndarray, np.ndarray]:
-    return distinct_sets(*text_shingles(body["hashes"][body["codes"]], body["counts"]), len(body["counts"]))
+    """Made once for each unpacked chunk, which keeps them."""
+    if "shingles" not in body:
+        hashes = body["hashes"][body["codes"]]
+        body["shingles"], body["sizes"] = distinct_sets(*text_shingles(hashes, body["counts"]), len(body["counts"]))
+    return body["shingles"], body["sizes"]
 
 
 def ranks(sizes: np.ndarray) -> np.ndarray:
@@ -238,7 +245,8 @@ def rarest_shingles(sets: DataFrame, percent: int) -> DataFrame:
 
 def boundary_seats(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Who stands on a boundary: ``doc_id, label, n, pivot, distance, seat`` for each of the rarest shingles of
-    ``sets``; and the regions (shingles) whose texts are of several components, with the number of pairs across.
+    ``sets``; and the regions (shingles) whose texts are of several components, with the number of pairs across and
+    the component ``around`` which they are, the one with most of their texts.
     """
     about = sets.select("doc_id", "label", F.size("shingles").alias("n"), "pivot", "distance")
     seats = written(rarest_shingles(sets, percent).join(about, "doc_id"), "seats")
@@ -247,10 +255,10 @@ def boundary_seats(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     )
     regions = counted.groupBy("seat").agg(
         F.sum("c").alias("size"), F.count("*").alias("labels"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("across"),
-        F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"),
+        F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"), F.max_by("label", F.struct("c", "label")).alias("around"),
     ).filter("labels > 1")
     # several hashes often gather the same texts: one of them is enough
-    alike = ["size", "labels", "across", "sum", "xor"]
+    alike = ["size", "labels", "across", "around", "sum", "xor"]
     return seats, regions.groupBy(*alike).agg(F.min("seat").alias("seat")).drop("sum", "xor")
 
 
@@ -271,21 +279,39 @@ def crossing_pairs(seats: DataFrame, regions: DataFrame, percent: int) -> DataFr
     return pairs.select("doc_id", F.col("_doc_id").alias("pivot")).distinct()
 
 
+def joined_regions(seats: DataFrame, regions: DataFrame) -> DataFrame:
+    """The texts of these regions, each once in a region: ``doc_id, label, joined, region, size``.
+
+    Near copies of one text share many seats, so their regions have the same texts over and over. The regions around one
+    component are joined to one region, unless that makes more pairs of texts than all of them have. A region that stays alone has
+    the number of its seat.
+    """
+    members = seats.join(regions.select("seat", "around", "size"), "seat").select("doc_id", "label", "seat", "around", "size")
+    apart = regions.groupBy("around").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("apart"))
+    union = members.select("around", "doc_id").distinct().groupBy("around").agg(F.count("*").alias("texts"))
+    ways = union.join(apart, "around").select("around", "texts", (F.col("texts").cast("double") * F.col("texts") <= F.col("apart")).alias("joined"))
+    return members.join(ways, "around").select(
+        "doc_id", "label", "joined", F.when(F.col("joined"), F.col("around")).otherwise(F.col("seat")).alias("region"),
+        F.when(F.col("joined"), F.col("texts")).otherwise(F.col("size")).alias("size"),
+    ).distinct()
+
+
 def boundary_links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Links between different components of ``sets(doc_id, shingles, label, pivot, distance)``, enough to join them all: ``a, b``.
 
     Regions with few pairs across components compare these pairs, each once however many
-    regions have it; the others are joined region by region.
+    regions have it; the others are joined region by region, those around one component together.
     """
     seats, found = boundary_seats(sets, percent)
     regions = written(found, "regions")
     pairs = crossing_pairs(seats, regions.filter(F.col("across") <= block * PAIRS_PER_TEXT), percent)
     few = linked(measured(pairs, sets), percent).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-    split = regions.filter(F.col("across") > block * PAIRS_PER_TEXT).select("seat", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    members = seats.join(split, "seat").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    members = joined_regions(seats, regions.filter(F.col("across") > block * PAIRS_PER_TEXT)).withColumn(
+        "blocks", F.ceil(F.col("size") / block).cast("int")
+    ).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # block i meets block j in task (i, j), i <= j; with one block that is the region itself
     tasks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "doc_id", "label", "seat", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        "doc_id", "label", "joined", "region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     ).distinct()
     with_sets = tasks.join(sets.select("doc_id", "shingles"), "doc_id")
 
@@ -299,15 +325,25 @@ def boundary_links(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFra
         give_back()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return few.union(with_sets.groupBy("seat", "i", "j").applyInArrow(join_region, "a long, b long"))
+    return few.union(with_sets.groupBy("joined", "region", "i", "j").applyInArrow(join_region, "a long, b long"))
 
 
 class RegionJoin:
-    """The links of a region that join its components, by pivots and triangle-inequality windows."""
+    """The links of a region that join its components, by pivots and triangle-inequality windows.
+
+    ``holders`` lists the texts of each distinct shingle, so a pivot is measured by those that share shingles with it.
+    """
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, percent: int):
-        self.ids, self.percent, self.sizes, self.shingles = ids, percent, sizes, shingles
+        self.ids, self.percent, self.sizes = ids, percent, sizes
         self.starts = np.cumsum(sizes) - sizes
+        order = np.argsort(shingles, kind="stable")
+        new = np.diff(shingles[order], prepend=0) != 0
+        new[:1] = True
+        self.codes = np.empty(len(shingles), np.int32)
+        self.codes[order] = np.cumsum(new) - 1
+        self.holders = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order]
+        self.begins = np.append(np.flatnonzero(new), len(shingles))
         self.parent = np.unique(labels, return_inverse=True)[1]
         self.found: list[tuple[int, int]] = []
 
@@ -335,18 +371,14 @@ class RegionJoin:
 
     def measure(self, pivot: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Common and all shingles of the pivot and each other, some ``PORTION_SHINGLES`` at a time."""
-        mine = np.sort(self.shingles[self.starts[pivot] : self.starts[pivot] + self.sizes[pivot]])
-        sizes = self.sizes[others]
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PORTION_SHINGLES, prepend=0))
-        common = np.empty(len(others), np.int64)
-        for part in np.split(np.arange(len(others)), cuts):
-            if len(part):
-                n = sizes[part]
-                place = np.repeat(self.starts[others[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                values = self.shingles[place]
-                hit = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
-                common[part] = np.add.reduceat(hit, np.cumsum(n) - n)
-        return common, sizes + self.sizes[pivot] - common
+        mine = self.codes[self.starts[pivot] : self.starts[pivot] + self.sizes[pivot]]
+        first, n = self.begins[mine], self.begins[mine + 1] - self.begins[mine]
+        cuts = np.flatnonzero(np.diff(np.cumsum(n) // PORTION_SHINGLES, prepend=0))
+        common = np.zeros(len(self.ids), np.int64)
+        for begin, size in zip(np.split(first, cuts), np.split(n, cuts)):
+            place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            common += np.bincount(self.holders[place], minlength=len(self.ids))
+        return common[others], self.sizes[others] + self.sizes[pivot] - common[others]
 
     def unite(self, a: int, b: int) -> None:
         if self.parent[a] != self.parent[b]:

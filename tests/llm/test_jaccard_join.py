@@ -162,3 +162,40 @@ def test_hot_copies_are_joined_apart(spark):
     partners = spark.createDataFrame([("a", 50, "A")] + [(f"k{i}", 1, f"K{i}") for i in range(50, 80)], "k string, n long, name string")
     got = {r.i: r.name for r in with_partners(rows, partners, ["k"], "n", share=10).collect()}
     assert got == {i: "A" if i < 50 else f"K{i}" if i < 80 else None for i in range(100)}
+
+
+def test_regions_around_one_component_are_joined(spark):
+    # texts 0 to 9 share five seats, two texts without each; of seats 100 and 101 only text 20 is in both, so they stay apart
+    rows = [(i, 7 if i < 6 else i, s) for s in range(5) for i in range(10) if i not in (s, s + 5)]
+    rows += [(i, 20 if i in (20, 21, 31) else i, 100 + (i > 30)) for i in [20, *range(21, 25), *range(31, 35)]] + [(20, 20, 101)]
+    seats = spark.createDataFrame(rows, "doc_id long, label long, seat long")
+    regions = spark.createDataFrame([(s, 7, 8) for s in range(5)] + [(100, 20, 5), (101, 20, 5)], "seat long, around long, size long")
+    got = sorted(tuple(r) for r in jaccard_join.joined_regions(seats, regions).collect())
+    joined = [(i, 7 if i < 6 else i, True, 7, 10) for i in range(10)]
+    apart = [(i, label, False, s, 5) for i, label, s in rows if s >= 100]
+    assert got == sorted(joined + apart)
+
+
+def test_region_join_measures_all_shingles_in_portions(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard_join, "PORTION_SHINGLES", 10)
+    sets = [[-5, 1, 2, 9], [1, 2], [3], [-5, 1, 2, 3, 9], [7, 8]] * 3
+    sizes = np.array([len(s) for s in sets])
+    region = jaccard_join.RegionJoin(np.arange(15), np.arange(15), np.concatenate([np.array(s) for s in sets]), sizes, 75)
+    for pivot in range(15):
+        common, whole = region.measure(pivot, np.arange(15))
+        assert common.tolist() == [len(set(sets[pivot]) & set(s)) for s in sets]
+        assert whole.tolist() == [len(set(sets[pivot]) | set(s)) for s in sets]
+
+
+def test_a_chunk_makes_its_sets_once(monkeypatch):
+    import numpy as np
+
+    made = []
+    plain = jaccard_join.distinct_sets
+    monkeypatch.setattr(jaccard_join, "distinct_sets", lambda *args: made.append(1) or plain(*args))
+    body = {"hashes": np.arange(9, dtype=np.uint64), "codes": np.array([0, 1, 2, 3, 4, 5, 0, 1, 2, 3, 4, 5, 8]), "counts": np.array([12, 0, 1])}
+    first, again = jaccard_join.sets_of(body), jaccard_join.sets_of(body)
+    assert made == [1] and all(np.array_equal(a, b) for a, b in zip(first, again))
+    assert first[1].tolist() == [6, 0, 1] and first[0][:6].tolist() == sorted(set(first[0][:6].tolist()))

@@ -55,6 +55,8 @@ from evisift.session import written
 PIVOT_FUNCTIONS = 4
 #: Shingles that one bucket counts, and about how many a message's sender holds.
 BUCKET_SHINGLES, PORTION_SHINGLES = 1_000_000, 400_000
+#: Characters of text in one chunk. No keys are told apart inside a chunk, so small ones cost no shuffle.
+CHARS = 1_500_000
 #: Most texts of a region in one task, before it is dealt into blocks.
 BLOCK = 2_000
 #: Pairs across components for each text of a block, up to which a region compares single pairs.
@@ -152,7 +154,7 @@ def shingle_sets(docs: DataFrame, percent: int) -> DataFrame:
             listed(anchors.reshape(-1).view(np.int64), np.where(shared, PIVOT_FUNCTIONS, 0)),
         ], schema=SETS_ARROW)
 
-    return chunks.ask_all(docs, pack, ask, answer, finish, SETS, chars)
+    return chunks.ask_all(docs, pack, ask, answer, finish, SETS, chars, chunk_chars=CHARS)
 
 
 def listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:

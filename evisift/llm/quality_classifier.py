@@ -40,7 +40,7 @@ SAMPLE_DOCS = 8_000
 LEAST_DOCS = 5
 THRESHOLD = 0.5
 #: Characters of text in one chunk, of which all words are held at once.
-CHARS = 2_000_000
+CHARS = 1_000_000
 #: Weight of the prior that a labeller is right, in its own votes; that of labellers named here differs.
 TRUST = 0.2
 TRUST_IN = {"human": 2.0, "toxic_human": 2.0}

@@ -118,7 +118,8 @@ def with_text(vocab: DataFrame, asked: DataFrame) -> DataFrame:
     """
     own = core_of(F.regexp_extract(F.lower("surface"), INNER, 1))
     keyed = vocab.select(*VOCAB, F.xxhash64(own).alias("_hash"))
-    return written(keyed.join(asked.distinct(), "_hash").select(*VOCAB, "_part"), "forms")
+    # what a text explodes to is far larger than its files, so their size is no reason to broadcast it
+    return written(keyed.join(asked.distinct().hint("merge"), "_hash").select(*VOCAB, "_part"), "forms")
 
 
 def match_grams(
@@ -140,6 +141,8 @@ def match_grams(
         side = forms(with_text(vocab, asked), "_part").hint("merge")
     else:
         side = forms(vocab).select("*", F.explode(F.array(*map(F.lit, range(SPREAD)))).alias("_part"))
+        # all n-grams of the texts are far larger than the files of the texts, too
+        side = side.hint("merge") if n_forms > TREE_WORDS else side
     cut = units.select(*keys, carried.alias("_carry"), F.explode_outer(found_grams).alias("_gram"))
     # rows without a core, such as carriers, find no partner; keys of their own keep them from meeting in one task
     alone = F.concat(F.lit(EDGE), F.xxhash64(*keys).cast("string"))

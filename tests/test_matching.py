@@ -11,7 +11,7 @@ from evisift.params import ScreenParams
 from evisift.plans.features import features
 from evisift.operators.sections import lines
 from evisift.vocabulary import Vocabulary
-from plan_shape import exchanges
+from plan_shape import count, exchanges
 
 
 def names(spark, vocab, text, grp=None):
@@ -200,6 +200,23 @@ def test_a_large_vocabulary_is_repeated_only_where_texts_ask(spark, monkeypatch)
     assert all(r["count"] == 1 for r in stored if r.canonical not in ("Odd", "T1"))
 
 
+@pytest.mark.parametrize("limit", ["MANY_FORMS", "TREE_WORDS"])
+def test_no_n_grams_of_texts_are_broadcast(spark, monkeypatch, tmp_path, limit):
+    from evisift.operators import phrases
+
+    rows = [("g", 0, f"T{k}", k, f"word{k} x", None) for k in range(200)]
+    table = spark.createDataFrame(rows, "grp string, grp_ord int, canonical string, ord int, surface string, tier string")
+    spark.createDataFrame([(k, f"word{k} x, then word1 X") for k in range(6)], "doc_id int, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))  # files far below the size that is broadcast
+    frames = []
+    real = phrases.written
+    monkeypatch.setattr(phrases, limit, 10)
+    monkeypatch.setattr(phrases, "written", lambda t, name: frames.append(t) or real(t, name))
+    found = match_rows(docs, ["doc_id"], "text", table)
+    assert sorted({(r.doc_id, r.canonical) for r in found.collect()}) == sorted({(k, n) for k in range(6) for n in (f"T{k}", "T1")})
+    assert [count(f, "Broadcast") for f in [*frames, found]] == [0] * (len(frames) + 1)
+
+
 def test_first_runs_that_begin_alike_are_told_apart(spark):
     small = Vocabulary.of({"g": {"Java": ["java"], "Script": ["javascript"], "Two": ["java script"]}})
     texts = ["java", "javascript", "Java-Script", "javas", "xjava", "9java", "java javascript"]

@@ -203,20 +203,48 @@ def test_a_large_vocabulary_is_repeated_only_where_texts_ask(spark, monkeypatch)
 @pytest.mark.parametrize("limit", ["MANY_FORMS", "TREE_WORDS"])
 def test_no_n_grams_of_texts_are_broadcast(spark, monkeypatch, tmp_path, limit):
     from evisift.operators import phrases
+    from evisift.session import written as real
 
     rows = [("g", 0, f"T{k}", k, f"word{k} x", None) for k in range(200)]
     table = spark.createDataFrame(rows, "grp string, grp_ord int, canonical string, ord int, surface string, tier string")
     spark.createDataFrame([(k, f"word{k} x, then word1 X") for k in range(6)], "doc_id int, text string").write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))  # files far below the size that is broadcast
     frames = []
-    real = phrases.written
     monkeypatch.setattr(phrases, limit, 10)
-    monkeypatch.setattr(phrases, "written", lambda t, name: frames.append(t) or real(t, name))
+    monkeypatch.setattr(phrases, "written", lambda t, name: frames.append(t) or real(t, name), raising=False)
     found = match_rows(docs, ["doc_id"], "text", table)
     assert sorted({(r.doc_id, r.canonical) for r in found.collect()}) == sorted({(k, n) for k in range(6) for n in (f"T{k}", "T1")})
     assert [count(f, "Broadcast") for f in [*frames, found]] == [0] * (len(frames) + 1)
 
 
+def test_a_large_vocabulary_finds_what_a_small_one_does(spark, vocab, monkeypatch):
+    from evisift.operators import phrases
+
+    rng = random.Random(11)
+    odd = [("odd", 9, None if k % 3 == 0 or f is None else f.upper(), k, f, None) for k, f in enumerate([*ODD_FORMS, "( ok", "b\u00e9 2", None, "--"])]
+    schema = "grp string, grp_ord int, canonical string, ord int, surface string, tier string"
+    table = vocab.table(spark).select("grp", "grp_ord", "canonical", "ord", "surface", "tier").union(spark.createDataFrame(odd, schema))
+    pieces = [*(f for f in ODD_FORMS), "python", "c++", "node", "js", "ok", "b\u00e9", "2", "fine", "tuning", "ci/cd"]
+    glue = [" ", " ", "  ", "-", "_", "\n", ".", "/", "(", ")", "( ", "(  ", " & ", "\x00", "\u3000", "-" * 40]
+    texts = [(k, "".join(rng.choice(pieces) + rng.choice(glue) for _ in range(rng.randint(0, 9)))) for k in range(200)]
+    # keys that repeat or are null
+    texts += [(None, "python c++ fine-tuning"), (7, "python"), (7, "python"), (8, None), (None, None), (9, ""), (8, "no term"), (8, "ok " * 60)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string").withColumn("len", F.length("text")).repartition(4)
+
+    def found(carry):
+        rows = match_rows(docs, ["doc_id", "len"], "text", table, carry).collect()
+        return sorted(map(str, rows))
+
+    carries = [None, F.col("doc_id").isin(8, 9) | F.col("text").isNull()]
+    monkeypatch.setattr(phrases, "TREE_WORDS", 10)
+    small = [found(c) for c in carries]
+    monkeypatch.setattr(phrases, "MANY_FORMS", 10)
+    assert [found(c) for c in carries] == small
+    monkeypatch.setattr(phrases, "EXACT_LISTED", 2)
+    assert found(None) == small[0]
+    assert len(small[0]) > 500 and len(small[1]) > len(small[0])
+
+
 def test_first_runs_that_begin_alike_are_told_apart(spark):
     small = Vocabulary.of({"g": {"Java": ["java"], "Script": ["javascript"], "Two": ["java script"]}})
     texts = ["java", "javascript", "Java-Script", "javas", "xjava", "9java", "java javascript"]
